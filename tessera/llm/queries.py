@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import quality, simhash
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op9_quality_rules": quality.SQL}
 
 
 def queries() -> dict:
     return {
         "op5_simhash_near_dedup": simhash.op5_query,
+        "op9_quality_rules": quality.op9_query,
     }
 
 
