@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, quality, simhash
+from . import licenses, mixing, packing, quality, simhash
 
-ORACLES: dict[str, str] = {"op9_quality_rules": quality.SQL}
+ORACLES: dict[str, str] = {"op3_license_scan": licenses.SQL, "op9_quality_rules": quality.SQL}
 
 
 def queries() -> dict:
     return {
         "op2_best_fit_packing": packing.op2_query,
+        "op3_license_scan": licenses.op3_query,
         "op5_simhash_near_dedup": simhash.op5_query,
         "op9_quality_rules": quality.op9_query,
         "op10_source_mixing": mixing.op10_query,
