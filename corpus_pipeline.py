@@ -1,21 +1,55 @@
-"""Corpus pipeline: the stages from raw documents to packed training sequences."""
+"""Corpus pipeline: the stages from raw documents to packed training sequences.
+
+Each stage takes what its predecessor kept.  All but the last return the columns
+of ``documents``; ``run`` writes every stage to the shared folder and reads it
+again, so a lost executor repeats at most one stage.
+"""
 
 from __future__ import annotations
 
-from tessera.llm import _storage, simhash
+from pyspark.sql import DataFrame, SparkSession
+
+from tessera.llm import _storage, langid, mixing, packing, quality, simhash
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose text lies near some language's centroids; texts without a letter go."""
+    return langid.language_filter(docs)
+
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents within the fences of their language and source."""
+    return quality.quality_filter(docs)
 
-def dedup(spark, docs, sf_dir):
-    """One document of each near-duplicate group."""
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, that of the smallest id."""
     return simhash.keep_first(docs)
 
 
-STAGES = [("simhash_near_dedup", dedup)]
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes, as often as it takes them."""
+    return mixing.take(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces with their sequences."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("quality_rules", quality_rules),
+    ("simhash_near_dedup", near_dedup),
+    ("source_mixing", source_mix),
+    ("best_fit_packing", pack),
+]
+#: Stages hash, cluster and tokenise, which SQL cannot express; tests hold the pipeline against a plain version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    """Apply the stages to ``documents``, each written to the shared folder and read again."""
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages applied to ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = _storage.materialize(stage(spark, docs, sf_dir), name)

@@ -17,10 +17,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._storage import materialize
-from ._text import words
+from ._text import let, words
 
 MAX_REPEATS = 3  # times its size that a source or document may be taken
 BLOCKS_PER_SOURCE = 20_000  # blocks in the mean source: the grain of the mix
+MIN_BLOCK = 8  # words
 SHARD_BLOCKS = 64  # blocks of a shard at least; a source has at most about BLOCKS_PER_SOURCE / SHARD_BLOCKS shards times its part
 SHARD_WORDS = 1_000_000  # words of a shard at least
 
@@ -95,7 +96,7 @@ def mix(sized: DataFrame, weights: tuple[float, ...] = (1, 2, 3), seed: int = 17
         key=lambda r: (r[source_col] is None, (r[source_col] or "").encode("utf-32-be")),
     )  # one row for each source
     total = sum(r["n"] for r in sources)
-    block = int(max(1, total // (BLOCKS_PER_SOURCE * max(1, len(sources)))))
+    block = int(max(MIN_BLOCK, total // (BLOCKS_PER_SOURCE * max(1, len(sources)))))
     for i, r in enumerate(sources):
         r["weight"] = float(weights[i % len(weights)])
         r["shards"] = int(max(1, r["n"] // max(SHARD_WORDS, SHARD_BLOCKS * block)))
@@ -177,9 +178,9 @@ def take(docs: DataFrame) -> DataFrame:
     got = got.withColumn("_parts", F.filter("spans", lambda p: p["times"] > F.col("_whole"))).drop("spans")
     numbered = docs.withColumn("_mix_size", size).withColumn("_nth", nth)
     joined = numbered.join(got, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_nth") == F.col("_mix_nth")))
-    w = words(F.col("text"))
     whole = joined.where("_whole > 0").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_whole")))).select(*columns)
-    part_text = F.array_join(F.flatten(F.transform("_parts", lambda p: F.slice(w, (p["first"] + 1).cast("int"), p["words"].cast("int")))), " ")
+    slices = lambda w: F.transform("_parts", lambda p: F.slice(w, (p["first"] + 1).cast("int"), p["words"].cast("int")))
+    part_text = F.array_join(F.flatten(let(words(F.col("text")), slices)), " ")
     part = joined.where(F.size("_parts") > 0).withColumn("_t", part_text)
     part = part.select(*[F.col("_t").alias("text") if c == "text" else F.length("_t").cast("long").alias("n_chars") if c == "n_chars" else F.col(c) for c in columns])
     return whole.unionByName(part)

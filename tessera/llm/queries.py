@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licenses, mixing, packing, quality, simhash
+from . import langid, licenses, mixing, packing, quality, simhash
 
 ORACLES: dict[str, str] = {"op3_license_scan": licenses.SQL, "op9_quality_rules": quality.SQL}
 
@@ -11,6 +11,7 @@ def queries() -> dict:
     return {
         "op2_best_fit_packing": packing.op2_query,
         "op3_license_scan": licenses.op3_query,
+        "op4_language_id": langid.op4_query,
         "op5_simhash_near_dedup": simhash.op5_query,
         "op9_quality_rules": quality.op9_query,
         "op10_source_mixing": mixing.op10_query,
