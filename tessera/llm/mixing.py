@@ -166,21 +166,20 @@ def take(docs: DataFrame) -> DataFrame:
     # equal ids are told apart by their place among their source and size
     nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("source", "_mix_size"))
     sized = materialize(docs.select("doc_id", "source", size.alias("_mix_size")).withColumn("_nth", nth), "mix-sizes")
-    got = mix(sized, size_col="_mix_size", carry=("_nth",)).where("taken > 0")
+    got = materialize(mix(sized, size_col="_mix_size", carry=("_nth",)).where("taken > 0"), "mix-spans")
     covered = F.aggregate("spans", F.lit(0).cast("long"), lambda a, p: a + p["words"]) == F.col("_mix_size")
-    got = got.select(
-        F.col("doc_id").alias("_id"),
-        F.col("_nth").alias("_mix_nth"),
-        F.when(covered, F.array_min("spans.times")).otherwise(0).alias("_whole"),
-        "spans",
-    )
+    whole_passes = F.when(covered, F.array_min("spans.times")).otherwise(0)
     # parts beyond the whole passes are taken once more
-    got = got.withColumn("_parts", F.filter("spans", lambda p: p["times"] > F.col("_whole"))).drop("spans")
+    beyond = let(whole_passes, lambda n: F.struct(n.alias("whole"), F.filter("spans", lambda p: p["times"] > n).alias("parts")))
+    got = got.select(F.col("doc_id").alias("_id"), F.col("_nth").alias("_mix_nth"), beyond.alias("_beyond"))
+    got = got.select("_id", "_mix_nth", F.col("_beyond.whole").cast("int").alias("_whole"), F.col("_beyond.parts").alias("_parts"))
     numbered = docs.withColumn("_mix_size", size).withColumn("_nth", nth)
     joined = numbered.join(got, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_nth") == F.col("_mix_nth")))
     whole = joined.where("_whole > 0").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_whole")))).select(*columns)
     slices = lambda w: F.transform("_parts", lambda p: F.slice(w, (p["first"] + 1).cast("int"), p["words"].cast("int")))
     part_text = F.array_join(F.flatten(let(words(F.col("text")), slices)), " ")
-    part = joined.where(F.size("_parts") > 0).withColumn("_t", part_text)
-    part = part.select(*[F.col("_t").alias("text") if c == "text" else F.length("_t").cast("long").alias("n_chars") if c == "n_chars" else F.col(c) for c in columns])
-    return whole.unionByName(part)
+    part = F.when(F.size("_parts") > 0, F.array(part_text)).otherwise(F.array().cast("array<string>"))
+    rows = joined.withColumn("_texts", F.concat(F.array_repeat("text", F.col("_whole")), part)).withColumn("_at", F.explode(F.sequence(F.lit(0), F.size("_texts") - 1)))
+    is_part = F.col("_at") == F.col("_whole")
+    changed = {"text": F.get("_texts", F.col("_at")), "n_chars": F.when(is_part, F.length(F.get("_texts", F.col("_at"))).cast("long")).otherwise(F.col("n_chars"))}
+    return rows.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in columns])
