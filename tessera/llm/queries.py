@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, licenses, mixing, packing, quality, simhash
+from . import embeddings, langid, licenses, mixing, packing, quality, simhash
 
 ORACLES: dict[str, str] = {"op3_license_scan": licenses.SQL, "op9_quality_rules": quality.SQL}
 
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op3_license_scan": licenses.op3_query,
         "op4_language_id": langid.op4_query,
         "op5_simhash_near_dedup": simhash.op5_query,
+        "op7_embedding_near_dedup": embeddings.op7_query,
         "op9_quality_rules": quality.op9_query,
         "op10_source_mixing": mixing.op10_query,
     }
