@@ -121,6 +121,15 @@ class BinningModel:
         metric = metric or self.default_metric
         check_overrides(metric_special, metric_missing)
         values, unknown = self._values(metric, show_digits)
+        names = special_labels(self.special_codes)
+        special = []
+        for i, (label, _) in enumerate(names):
+            given = metric_special.get(label, "empirical") if isinstance(metric_special, dict) else metric_special
+            special.append(override(metric, given, values[self.n_bins + i]))
+        return self.lookup(x, [*values[: self.n_bins], *special, override(metric, metric_missing, values[-1])], unknown)
+
+    def lookup(self, x: Column, values: list, unknown) -> Column:
+        """The expression that gives each row of the table, in its order, its own of ``values``."""
         numeric = self.dtype == "numerical"
         x = x.cast("double") if numeric else x.cast("string")
         leaf = lambda i: F.lit(values[i])
@@ -128,12 +137,7 @@ class BinningModel:
             clean = by_interval(x, self.splits, leaf)
         else:
             clean = by_category(x, [*self.groups, self.others] if self.others else self.groups, leaf, F.lit(unknown))
-        names = special_labels(self.special_codes)
-        special = []
-        for i, (label, _) in enumerate(names):
-            given = metric_special.get(label, "empirical") if isinstance(metric_special, dict) else metric_special
-            special.append(F.lit(override(metric, given, values[self.n_bins + i])))
-        return with_classes(x, numeric, self.special_codes, clean, special, F.lit(override(metric, metric_missing, values[-1])))
+        return with_classes(x, numeric, self.special_codes, clean, [F.lit(v) for v in values[self.n_bins : -1]], F.lit(values[-1]))
 
     def transform(self, df: DataFrame, x: str, output: str | None = None, **kwargs) -> DataFrame:
         """``df`` with ``x`` encoded, in place or as ``output``."""

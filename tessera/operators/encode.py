@@ -14,14 +14,15 @@ from pyspark.sql import functions as F
 from .rows import is_missing, special_labels
 
 
-def by_interval(x: Column, splits, leaf: Callable[[int], Column]) -> Column:
-    """``leaf(i)`` where x lies in the i-th of [.., s0), [s0, s1), ..."""
+def by_interval(x: Column, splits, leaf: Callable[[int], Column], right_closed: bool = False) -> Column:
+    """``leaf(i)`` where x lies in the i-th of [.., s0), [s0, s1), ...; or of (.., s0], (s0, s1], ..."""
 
     def tree(a: int, b: int) -> Column:
         if a == b:
             return leaf(a)
         m = (a + b) // 2
-        return F.when(x < F.lit(float(splits[m])), tree(a, m)).otherwise(tree(m + 1, b))
+        edge = F.lit(float(splits[m]))
+        return F.when(x <= edge if right_closed else x < edge, tree(a, m)).otherwise(tree(m + 1, b))
 
     return tree(0, len(splits))
 

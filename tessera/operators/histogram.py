@@ -144,3 +144,54 @@ def histogram(
         {r["class"]: float(r["rows"]) for _, r in table.groupby("class", as_index=False)["rows"].sum().iterrows()},
         edges is None,
     )
+
+
+def histograms(
+    df: DataFrame, variables: dict[str, bool], y: str, kind: str, weight: str | None = None, special_codes: dict | None = None, classes: list | None = None,
+) -> dict[str, Histogram]:
+    """Histograms of many columns from one aggregation (two if some columns are long).
+
+    ``variables`` says of each column whether it is numeric, ``special_codes`` may have codes by column.
+    """
+    codes = special_codes or {}
+    rows = df.where(~is_missing(F.col(y), is_numeric(df, y)))
+    numeric = [v for v, is_number in variables.items() if is_number]
+    edges: dict[str, list[float]] = {}
+    if numeric:
+        sizes = rows.agg(*[F.approx_count_distinct(v, 0.02).alias(f"n_{i}") for i, v in enumerate(numeric)]).first()
+        long = [v for i, v in enumerate(numeric) if sizes[f"n_{i}"] > MAX_DISTINCT]
+        edges = {v: e for v in long if (e := cell_edges(rows, v, codes.get(v)))}
+    w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
+    parts = []
+    for i, (v, is_number) in enumerate(variables.items()):
+        x = F.col(v).cast("double") if is_number else F.col(v).cast("string")
+        number = x if is_number else F.lit(None).cast("double")
+        cell = _cell_of(x, edges[v]) if v in edges else number
+        parts.append(F.struct(F.lit(i).alias("i"), row_class(x, is_number, codes.get(v)).alias("class"), number.alias("x"), cell.alias("cell"), (F.lit(None).cast("string") if is_number else x).alias("name")))
+    long_form = rows.select(F.col(y).alias("y"), w.alias("w"), F.explode(F.array(*parts)).alias("v")).select("y", "w", "v.*")
+    clean = F.col("class") == CLEAN
+    columns = moment_columns(kind, F.col("y"), F.col("w"), classes)
+    table = (
+        long_form.groupBy("i", "class", F.when(clean, F.col("cell")).alias("cell"), F.when(clean, F.col("name")).alias("name"))
+        .agg(F.min(F.when(clean, F.col("x"))).alias("low"), F.max(F.when(clean, F.col("x"))).alias("high"), F.sum("w").alias("rows"), *[c.alias(f"m_{k}") for k, c in columns.items()])
+        .toPandas()
+    )
+    names = list(columns)
+    out = {}
+    for i, (v, is_number) in enumerate(variables.items()):
+        own = table[table["i"] == i]
+        good = own[own["class"] == CLEAN].sort_values("low" if is_number else "name")
+        rest = {r["class"]: {k: float(r[f"m_{k}"]) for k in names} for _, r in own[own["class"] != CLEAN].iterrows()}
+        low, high = (good["low"].to_numpy(float), good["high"].to_numpy(float)) if is_number else (good["name"].to_numpy(object),) * 2
+        special = [rest.get(f"{SPECIAL}:{k}", no_moments(names)) for k in range(len(special_labels(codes.get(v))))]
+        out[v] = Histogram(
+            is_number, low, high, {k: good[f"m_{k}"].to_numpy(float) for k in names}, rest.get(MISSING, no_moments(names)), special,
+            {c: float(n) for c, n in own.groupby("class")["rows"].sum().items()}, v not in edges,
+        )
+    return out
+
+
+def _cell_of(x: Column, edges: list[float]) -> Column:
+    from .encode import by_interval
+
+    return by_interval(x, edges[1:-1], lambda i: F.lit(float(i)))
