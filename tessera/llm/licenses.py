@@ -17,9 +17,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._text import ascii_lower
+from ._storage import materialize
+from ._text import ascii_lower, let
 
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # before lower-casing
+NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # after lower-casing
 K = 5
 SHIFT = 6  # diagonals this far apart are neighbours
 MIN_SHARE = 0.5  # of a template's k-grams that a span must hold
@@ -59,30 +60,40 @@ def template_grams() -> list[tuple[int, str, bool, int, int, int, list[str]]]:
     return out
 
 
-def _hash(k: int, *w: Column) -> Column:
-    return F.xxhash64(F.lit(k), *w)
-
-
 def _templates(spark: SparkSession) -> DataFrame:
     rows = spark.createDataFrame(template_grams(), "template int, label string, phrase boolean, grams int, k int, t_pos int, t_words array<string>")
-    w = [F.get("t_words", F.lit(i)) for i in range(K)]
-    return rows.withColumn("h", F.when(F.col("k") == 2, _hash(2, *w[:2])).otherwise(_hash(K, *w)))
+    one = [F.xxhash64(F.get("t_words", F.lit(i))) for i in range(K)]
+    return rows.withColumn("h", F.when(F.col("k") == 2, F.xxhash64(F.lit(2), *one[:2])).otherwise(F.xxhash64(F.lit(K), *one)))
+
+
+def _words(text: Column) -> Column:
+    """The lower-cased words of a text; of a text without a word, one empty string.
+
+    Two capital letters outside A-Z have an ASCII letter as their lower case; texts that hold one of
+    them are lowered by a table instead.
+    """
+    odd = text.contains("\u0130") | text.contains("\u212a")
+    low = F.when(odd, ascii_lower(text)).otherwise(F.lower(text))
+    return F.split(F.trim(F.regexp_replace(low, NO_WORD, " ")), " ")
+
+
+def _rolling(h: Column) -> Column:
+    """The hashes of all 2-grams, one for each word, then those of all K-grams; the last ones, cut short, match nothing."""
+    gram = lambda k: F.transform(h, lambda x, i: F.xxhash64(F.lit(k), x, *[F.get(h, i + j) for j in range(1, k)]))
+    return F.concat(gram(2), gram(K))
 
 
 def votes(docs: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
     """One row for each k-gram of a document at each template position with the same words: ``keys, template, label, phrase, grams, k, t_pos, pos``."""
-    w = F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0))
-    split = docs.where(F.col(text_col).isNotNull()).select(*keys, w.alias("_w")).where(F.size("_w") >= 2)
-    shifted = F.arrays_zip(F.col("_w").alias("w0"), *[F.slice("_w", i + 1, F.size("_w")).alias(f"w{i}") for i in range(1, K)])
-    at = split.select(*keys, F.posexplode(shifted).alias("pos", "g"))
-    low = [F.lower(F.col("g")[f"w{i}"]) for i in range(K)]
-    grams = at.select(*keys, "pos", "g", F.explode(F.array(_hash(2, *low[:2]), _hash(K, *low))).alias("h"))
+    split = docs.where(F.col(text_col).isNotNull()).select(*keys, _words(F.col(text_col)).alias("_w"))
+    hashed = split.select(*keys, "_w", let(F.transform("_w", lambda x: F.xxhash64(x)), _rolling).alias("_g"))
+    # an outer generator: for an inner one the optimiser adds a filter that evaluates the hashes twice
+    grams = hashed.select(*keys, "_w", F.posexplode_outer("_g").alias("_at", "h"))
     # the templates are a constant of this module: some hundred rows
     hit = grams.join(F.broadcast(_templates(docs.sparkSession).withColumnRenamed("h", "_h")), F.col("h") == F.col("_h"))
-    same = F.lit(True)
-    for i in range(K):
-        same &= (F.col("k") <= i) | (ascii_lower(F.col("g")[f"w{i}"]) == F.get("t_words", F.lit(i)))
-    return hit.where(same).select(*keys, "template", "label", "phrase", "grams", "k", "t_pos", F.col("pos").cast("long").alias("pos")).distinct()
+    pos = F.when(F.col("k") == 2, F.col("_at")).otherwise(F.col("_at") - F.size("_w"))
+    same = F.slice("_w", pos + 1, F.col("k")) == F.col("t_words")
+    return hit.where((pos >= 0) & same).select(*keys, "template", "label", "phrase", "grams", "k", "t_pos", pos.cast("long").alias("pos")).distinct()
 
 
 def spans(found: DataFrame, keys: list[str]) -> DataFrame:
@@ -114,7 +125,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     share of a template that a span holds, 1 where a phrase stands, 0 where nothing is found.
     """
     keyed = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_text"), F.col(text_col).alias("_t"))
-    found = spans(votes(keyed, ["_id", "_text"], "_t"), ["_id", "_text"])
+    found = materialize(spans(materialize(votes(keyed, ["_id", "_text"], "_t"), "license-votes"), ["_id", "_text"]), "license-spans")
     labels = lambda only: F.array_join(F.array_sort(F.collect_set(F.when(only, F.col("label")))), ",")
     base = F.col("phrase")
     per_doc = found.groupBy("_id", "_text").agg(
@@ -126,7 +137,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         F.max("share").alias("_score"),
     )
     right = per_doc.select(F.col("_id").alias("_r_id"), F.col("_text").alias("_r_text"), *[c for c in per_doc.columns if c not in ("_id", "_text")])
-    counted = keyed.select("_id", "_text", F.regexp_count(F.coalesce("_t", F.lit("")), F.lit(WORD)).cast("long").alias("n_words"))
+    n_words = F.when(F.get(_words(F.col("_t")), F.lit(0)) != "", F.size(_words(F.col("_t")))).otherwise(0)
+    counted = keyed.select("_id", "_text", n_words.cast("long").alias("n_words"))
     joined = counted.join(right, F.col("_id").eqNullSafe(F.col("_r_id")) & (F.col("_text") == F.col("_r_text")), "left")
     return joined.select(
         F.col("_id").alias(id_col),
