@@ -273,7 +273,11 @@ class _Binner:
         began = time.perf_counter()
         self._check_columns(df, x, y)
         codes = self.special_codes.tolist() if isinstance(self.special_codes, np.ndarray) else self.special_codes
-        edges = cell_edges(df, x, codes, self.user_splits if self.user_splits is not None else ()) if self.dtype == "numerical" else None
+        edges = None
+        if self.dtype == "numerical" and self.user_splits is not None:
+            edges = [-math.inf, *sorted(map(float, self.user_splits)), math.inf]  # the bins themselves are enough
+        elif self.dtype == "numerical":
+            edges = cell_edges(df, x, codes)
         self.classes = self._class_list(df, y)
         h = histogram(df, x, y, self.kind, weight, codes, self.classes, self._bounds(df, x, y), edges, self._class_weights(df, y), self.dtype)
         self.model = self.fit_histogram(h)
@@ -616,7 +620,8 @@ class ScenarioBinner(BinaryBinner):
         target = F.struct(F.col(scenario).alias("s"), F.when(F.col(y) == 0, 0).otherwise(1).alias("y"))
         both = df.where(F.col(y).isNotNull()).select(F.col(x).alias("x"), F.concat_ws("|", target["s"].cast("string"), target["y"].cast("string")).alias("y"))
         classes = [f"{s}|{e}" for s in names for e in (0, 1)]
-        h = histogram(both, "x", "y", "multiclass", None, self.special_codes, classes, None, cell_edges(both, "x", self.special_codes, self.user_splits or ()), None, self.dtype)
+        edges = [-math.inf, *sorted(map(float, self.user_splits)), math.inf] if self.user_splits is not None else cell_edges(both, "x", self.special_codes)
+        h = histogram(both, "x", "y", "multiclass", None, self.special_codes, classes, None, edges, None, self.dtype)
         self.classes = []
         wide = self.fit_histogram(h)
         self.wide = wide

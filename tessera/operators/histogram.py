@@ -17,7 +17,7 @@ from .rows import CLEAN, MISSING, SPECIAL, Bounds, is_missing, is_numeric, is_ou
 
 #: Distinct values up to which each is a cell of its own; beyond, cells of about equal counts are used.
 MAX_DISTINCT = 200_000
-CELLS = 8192
+CELLS = 1024
 
 Moments = dict[str, float]
 
@@ -81,16 +81,27 @@ class Histogram:
         return out
 
 
-def cell_edges(df: DataFrame, x: str, special_codes=None, extra=()) -> list[float] | None:
-    """Edges of cells of about equal counts, or None where there are few distinct values."""
-    clean = df.where(row_class(F.col(x), True, special_codes) == CLEAN)
-    found = clean.agg(
-        F.approx_count_distinct(x, 0.02).alias("n"),
-        F.percentile_approx(F.col(x).cast("double"), [i / CELLS for i in range(1, CELLS)], 10 * CELLS).alias("p"),
-    ).first()
-    if found["n"] <= MAX_DISTINCT or not found["p"]:
-        return None
-    return [-float("inf"), *sorted(set(found["p"]) | {float(s) for s in extra}), float("inf")]
+def many_edges(df: DataFrame, columns: list[str], special_codes: dict | None = None) -> dict[str, list[float]]:
+    """Edges of cells of about equal counts for each long column; columns with few distinct values have none.
+
+    Distinct values are counted by sketches in one pass; only long columns pay for quantiles, in another.
+    """
+    if not columns:
+        return {}
+    codes = special_codes or {}
+    value = lambda c: F.when(row_class(F.col(c), True, codes.get(c)) == CLEAN, F.col(c).cast("double"))
+    sizes = df.agg(*[F.approx_count_distinct(value(c), 0.05).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+    long = [c for i, c in enumerate(columns) if sizes[f"n{i}"] > MAX_DISTINCT]
+    if not long:
+        return {}
+    at = [i / CELLS for i in range(1, CELLS)]
+    found = df.agg(*[F.percentile_approx(value(c), at, 4 * CELLS).alias(f"p{i}") for i, c in enumerate(long)]).first()
+    return {c: [-float("inf"), *sorted(set(found[f"p{i}"])), float("inf")] for i, c in enumerate(long)}
+
+
+def cell_edges(df: DataFrame, x: str, special_codes=None) -> list[float] | None:
+    """The edges of :func:`many_edges` for one column, or None."""
+    return many_edges(df, [x], {x: special_codes}).get(x)
 
 
 def histogram(
@@ -156,17 +167,18 @@ def histograms(
     codes = special_codes or {}
     rows = df.where(~is_missing(F.col(y), is_numeric(df, y)))
     numeric = [v for v, is_number in variables.items() if is_number]
-    edges: dict[str, list[float]] = {}
-    if numeric:
-        sizes = rows.agg(*[F.approx_count_distinct(v, 0.02).alias(f"n_{i}") for i, v in enumerate(numeric)]).first()
-        long = [v for i, v in enumerate(numeric) if sizes[f"n_{i}"] > MAX_DISTINCT]
-        edges = {v: e for v in long if (e := cell_edges(rows, v, codes.get(v)))}
+    edges = many_edges(rows, numeric, codes)
+    if edges:
+        long = list(edges)
+        doubles = rows.withColumns({f"_v{i}": F.col(v).cast("double") for i, v in enumerate(long)})
+        cut = Bucketizer(splitsArray=[edges[v] for v in long], inputCols=[f"_v{i}" for i in range(len(long))], outputCols=[f"_c{i}" for i in range(len(long))], handleInvalid="keep")
+        rows = cut.transform(doubles)
     w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
     parts = []
     for i, (v, is_number) in enumerate(variables.items()):
         x = F.col(v).cast("double") if is_number else F.col(v).cast("string")
         number = x if is_number else F.lit(None).cast("double")
-        cell = _cell_of(x, edges[v]) if v in edges else number
+        cell = F.col(f"_c{list(edges).index(v)}") if v in edges else number
         parts.append(F.struct(F.lit(i).alias("i"), row_class(x, is_number, codes.get(v)).alias("class"), number.alias("x"), cell.alias("cell"), (F.lit(None).cast("string") if is_number else x).alias("name")))
     long_form = rows.select(F.col(y).alias("y"), w.alias("w"), F.explode(F.array(*parts)).alias("v")).select("y", "w", "v.*")
     clean = F.col("class") == CLEAN
@@ -190,8 +202,3 @@ def histograms(
         )
     return out
 
-
-def _cell_of(x: Column, edges: list[float]) -> Column:
-    from .encode import by_interval
-
-    return by_interval(x, edges[1:-1], lambda i: F.lit(float(i)))
