@@ -363,8 +363,7 @@ def _(spark, d):
     return spark.createDataFrame([(i, float(s)) for i, s in enumerate(cart_splits(h, "binary", 20, np.ceil(0.05 * h.total)))], "split_id long, split double")
 
 
-MDLP_H = f"h AS (SELECT l_quantity AS v, count(*) AS n, sum(y2) AS e FROM ({L}) GROUP BY 1), k AS (SELECT *, lead(v) OVER o AS nv, lead(n) OVER o AS nn, lead(e) OVER o AS ne FROM h WINDOW o AS (ORDER BY v)), cand AS (SELECT (v + nv) / 2 AS split FROM k WHERE nv IS NOT NULL AND NOT ((e = 0 AND ne = 0) OR (e = n AND ne = nn)))"
-DISCOUNT_H = MDLP_H.replace("l_quantity", "l_discount")
+DISCOUNT_H = f"h AS (SELECT l_discount AS v, count(*) AS n, sum(y2) AS e FROM ({L}) GROUP BY 1), k AS (SELECT *, lead(v) OVER o AS nv, lead(n) OVER o AS nn, lead(e) OVER o AS ne FROM h WINDOW o AS (ORDER BY v)), cand AS (SELECT (v + nv) / 2 AS split FROM k WHERE nv IS NOT NULL AND NOT ((e = 0 AND ne = 0) OR (e = n AND ne = nn)))"
 
 
 @query("mdlp_candidates", f"WITH {DISCOUNT_H} SELECT round(split, 4) AS split FROM cand")
@@ -452,7 +451,7 @@ add_partition("optimal_max_bins", partition_sql("y1", ASC, where="bins <= 4"), m
 add_partition("optimal_min_bins", partition_sql("y2", f"{NO_TURN} AND v.d <= p.d", where="bins >= 2"), "y2", monotonic_trend="descending", min_n_bins=2)
 add_partition("optimal_min_size", partition_sql("y1", NO_TURN, first="v.n >= ceil(0.15 * (SELECT tne + te FROM t))"), min_bin_size=0.15)
 add_partition("optimal_max_size", partition_sql("y1", NO_TURN, first="v.n <= ceil(0.3 * (SELECT tne + te FROM t))"), max_bin_size=0.3, max_n_bins=None)
-add_partition("optimal_min_events", partition_sql("y1", NO_TURN, first="v.e >= 3000"), min_bin_n_event=3000)
+add_partition("optimal_min_events", partition_sql("y1", NO_TURN, first="v.e >= 250"), min_bin_n_event=250)
 add_partition("optimal_min_diff", partition_sql("y1", f"{ASC} AND abs(v.d - p.d) >= 150000"), monotonic_trend="ascending", min_event_rate_diff=0.15)
 add_partition("optimal_fixed_split", partition_sql("y1", NO_TURN, where="bins <= 3 AND (',' || ends || ',') LIKE '%,2,%'"), max_n_bins=3, user_splits_fixed=[False, False, True, False, False, False, False, False])
 Z = "abs(v.e / v.n - p.e / (p.ne + p.e)) / sqrt(((v.e + p.e) / (v.n + p.ne + p.e)) * (1 - (v.e + p.e) / (v.n + p.ne + p.e)) * (1 / v.n + 1 / (p.ne + p.e)))"
