@@ -28,3 +28,10 @@ def words(text: Column) -> Column:
 
 def without(text: Column, characters: str) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), characters, "")
+
+
+def free_prefix(columns: list[str], prefix: str) -> str:
+    """``prefix``, lengthened until no column begins with it."""
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix += "_"
+    return prefix

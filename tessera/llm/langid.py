@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._text import free_prefix
+
 SIZE = 1 << 13  # entries of a vector
 PER_LANGUAGE = 300  # training texts of a language, about: the bound of the sample that the classifier is fitted on
 CENTROIDS = 4  # of a language
@@ -169,7 +171,8 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", prefix: str =
 
 def language_filter(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not rejected, columns unchanged."""
-    return predict(docs, fit(docs), prefix="_langid_").where(~F.col("_langid_rejected")).select(*docs.columns)
+    p = free_prefix(docs.columns, "_langid_")
+    return predict(docs, fit(docs), prefix=p).where(~F.col(f"{p}rejected")).select(*docs.columns)
 
 
 def op4_query(spark, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._storage import materialize
-from ._text import let, words
+from ._text import free_prefix, let, words
 
 MAX_REPEATS = 3  # times its size that a source or document may be taken
 BLOCKS_PER_SOURCE = 20_000  # blocks in the mean source: the grain of the mix
@@ -161,25 +161,24 @@ def take(docs: DataFrame) -> DataFrame:
     A document is repeated as often as it is taken whole; words that are taken once more make a
     further row with the text of just those words, joined by spaces.
     """
-    columns = docs.columns
+    columns, p = docs.columns, free_prefix(docs.columns, "_mix_")
     size = F.size(words(F.col("text"))).cast("long")
     # equal ids are told apart by their place among their source and size
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("source", "_mix_size"))
-    sized = materialize(docs.select("doc_id", "source", size.alias("_mix_size")).withColumn("_nth", nth), "mix-sizes")
-    got = materialize(mix(sized, size_col="_mix_size", carry=("_nth",)).where("taken > 0"), "mix-spans")
-    covered = F.aggregate("spans", F.lit(0).cast("long"), lambda a, p: a + p["words"]) == F.col("_mix_size")
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("source", f"{p}size"))
+    sized = materialize(docs.select("doc_id", "source", size.alias(f"{p}size")).withColumn(f"{p}nth", nth), "mix-sizes")
+    got = materialize(mix(sized, size_col=f"{p}size", carry=(f"{p}nth",)).where("taken > 0"), "mix-spans")
+    covered = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["words"]) == F.col(f"{p}size")
     whole_passes = F.when(covered, F.array_min("spans.times")).otherwise(0)
     # parts beyond the whole passes are taken once more
-    beyond = let(whole_passes, lambda n: F.struct(n.alias("whole"), F.filter("spans", lambda p: p["times"] > n).alias("parts")))
-    got = got.select(F.col("doc_id").alias("_id"), F.col("_nth").alias("_mix_nth"), beyond.alias("_beyond"))
-    got = got.select("_id", "_mix_nth", F.col("_beyond.whole").cast("int").alias("_whole"), F.col("_beyond.parts").alias("_parts"))
-    numbered = docs.withColumn("_mix_size", size).withColumn("_nth", nth)
-    joined = numbered.join(got, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_nth") == F.col("_mix_nth")))
-    whole = joined.where("_whole > 0").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_whole")))).select(*columns)
-    slices = lambda w: F.transform("_parts", lambda p: F.slice(w, (p["first"] + 1).cast("int"), p["words"].cast("int")))
+    beyond = let(whole_passes, lambda n: F.struct(n.alias("whole"), F.filter("spans", lambda x: x["times"] > n).alias("parts")))
+    got = got.select(F.col("doc_id").alias(f"{p}id"), F.col(f"{p}nth").alias(f"{p}got_nth"), beyond.alias(f"{p}beyond"))
+    got = got.select(f"{p}id", f"{p}got_nth", F.col(f"{p}beyond.whole").cast("int").alias(f"{p}whole"), F.col(f"{p}beyond.parts").alias(f"{p}parts"))
+    numbered = docs.withColumn(f"{p}size", size).withColumn(f"{p}nth", nth)
+    joined = numbered.join(got, F.col("doc_id").eqNullSafe(F.col(f"{p}id")) & (F.col(f"{p}nth") == F.col(f"{p}got_nth")))
+    slices = lambda w: F.transform(f"{p}parts", lambda x: F.slice(w, (x["first"] + 1).cast("int"), x["words"].cast("int")))
     part_text = F.array_join(F.flatten(let(words(F.col("text")), slices)), " ")
-    part = F.when(F.size("_parts") > 0, F.array(part_text)).otherwise(F.array().cast("array<string>"))
-    rows = joined.withColumn("_texts", F.concat(F.array_repeat("text", F.col("_whole")), part)).withColumn("_at", F.explode(F.sequence(F.lit(0), F.size("_texts") - 1)))
-    is_part = F.col("_at") == F.col("_whole")
-    changed = {"text": F.get("_texts", F.col("_at")), "n_chars": F.when(is_part, F.length(F.get("_texts", F.col("_at"))).cast("long")).otherwise(F.col("n_chars"))}
+    part = F.when(F.size(f"{p}parts") > 0, F.array(part_text)).otherwise(F.array().cast("array<string>"))
+    rows = joined.withColumn(f"{p}texts", F.concat(F.array_repeat("text", F.col(f"{p}whole")), part)).withColumn(f"{p}at", F.explode(F.sequence(F.lit(0), F.size(f"{p}texts") - 1)))
+    is_part = F.col(f"{p}at") == F.col(f"{p}whole")
+    changed = {"text": F.get(f"{p}texts", F.col(f"{p}at")), "n_chars": F.when(is_part, F.length(F.get(f"{p}texts", F.col(f"{p}at"))).cast("long")).otherwise(F.col("n_chars"))}
     return rows.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in columns])

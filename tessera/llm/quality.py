@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._storage import materialize
-from ._text import WHITE, let, without, words
+from ._text import WHITE, free_prefix, let, without, words
 
 SYMBOLS = "#*$%&|<>"
 ERROR = 0.01  # relative error of a sketch's quantiles
@@ -148,18 +148,19 @@ def judge(counted: DataFrame, lang_col: str = "lang", source_col: str = "source"
     Nulls are a language and a source of their own.  In a group without sketch all have failed the base rules.
     """
     limits = fences(ratio_sketches(counted, lang_col, source_col, prefix), min_group)
-    limits = limits.select(*[F.col(c).alias(f"_f_{c}") for c in limits.columns])
-    same = F.col(lang_col).eqNullSafe(F.col("_f_lang")) & F.col(source_col).eqNullSafe(F.col("_f_source"))
+    f = free_prefix(counted.columns, "_fence_")
+    limits = limits.select(*[F.col(c).alias(f"{f}{c}") for c in limits.columns])
+    same = F.col(lang_col).eqNullSafe(F.col(f"{f}lang")) & F.col(source_col).eqNullSafe(F.col(f"{f}source"))
     inside = F.lit(True)
     for r in RATIOS:
-        inside &= _ratio(r, prefix).between(F.col(f"_f_lo_{r}"), F.col(f"_f_hi_{r}"))
+        inside &= _ratio(r, prefix).between(F.col(f"{f}lo_{r}"), F.col(f"{f}hi_{r}"))
     joined = counted.join(limits, same, "left")
     return joined.select(*counted.columns, (~F.col(f"{prefix}base_failed") & F.coalesce(inside, F.lit(False))).alias(f"{prefix}kept"))
 
 
 def quality_filter(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """The rows of ``docs`` that the rules keep, all columns unchanged; repeated rows are judged alike."""
-    p = "_quality_"
+    p = free_prefix(docs.columns, "_quality_")
     counted = materialize(with_counts(docs, text_col, p), "quality-counts")
     return judge(counted, lang_col, source_col, p).where(F.col(f"{p}kept")).select(*docs.columns)
 

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from ._buckets import Forest, bounded_groups, group_chunks, small_pairs, sorted_groups
 from ._components import connected_components
 from ._storage import materialize
+from ._text import free_prefix
 
 LOW_BITS = 0x5555555555555555  # the low bit of every two-bit segment
 HALF = 16  # segments in each half
@@ -152,7 +153,12 @@ def op5_query(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """``docs`` without those whose component has a smaller ``doc_id``; equal rows of the smallest id leave one."""
+    """``docs`` with one row of each component, that of the smallest ``doc_id``; columns unchanged.
+
+    Of rows with equal id and text one stays.  Rows with a null id all stay unless their component
+    has ids.
+    """
+    p = free_prefix(docs.columns, "_dedup_")
     found = near_duplicates(docs)
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(f"{p}id")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(f"{p}id")), "left_semi").dropDuplicates(["doc_id", "text"])
