@@ -1,15 +1,42 @@
 """Measures of predictions, and the points of the usual curves, as DataFrame aggregations.
 
-Predictions are first counted by distinct score, so windows run over distinct scores, not over rows.
+Predictions are first counted by distinct score.  Running sums are made in buckets of
+the score and then over the buckets, so no task orders all scores.
 """
 
 from __future__ import annotations
 
 import math
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+BUCKETS = 256
+
+
+def prefix_sums(df: DataFrame, key: str, columns: list[str], ties: list[str] | None = None, descending: bool = False) -> DataFrame:
+    """Add ``upto_<c>``, the running sum of each column by ``key`` with the row's own included, and ``total_<c>``.
+
+    Rows of a bucket of ``key`` are ordered in one task, buckets hold about equal numbers of rows;
+    the buckets' sums are a table of at most ``BUCKETS`` rows.  ``ties`` order equal keys.
+    """
+    found = df.agg(F.percentile_approx(F.col(key).cast("double"), [i / BUCKETS for i in range(1, BUCKETS)], 8 * BUCKETS)).first()[0] or []
+    edges = [-float("inf"), *sorted(set(found)), float("inf")]
+    rows = df.withColumn("_key", F.col(key).cast("double"))
+    rows = Bucketizer(splits=edges, inputCol="_key", outputCol="_bucket").transform(rows) if len(edges) > 2 else rows.withColumn("_bucket", F.lit(0.0))
+    way = lambda c: F.col(c).desc() if descending else F.col(c).asc()
+    line = Window.partitionBy("_bucket").orderBy(way("_key"), *(ties or [])).rowsBetween(Window.unboundedPreceding, 0)
+    sums = rows.groupBy("_bucket").agg(*[F.sum(c).alias(f"s_{c}") for c in columns])
+    before = Window.orderBy(way("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(
+        F.col("_bucket").alias("_b"),
+        *[F.coalesce(F.sum(f"s_{c}").over(before), F.lit(0)).alias(f"b_{c}") for c in columns],
+        *[F.sum(f"s_{c}").over(Window.partitionBy()).alias(f"total_{c}") for c in columns],
+    )
+    out = rows.select("*", *[F.sum(c).over(line).alias(f"w_{c}") for c in columns]).join(F.broadcast(offsets), F.col("_bucket") == F.col("_b"))
+    return out.select(*df.columns, *[(F.col(f"b_{c}") + F.col(f"w_{c}")).alias(f"upto_{c}") for c in columns], *[f"total_{c}" for c in columns])
+
 
 def score_counts(df: DataFrame, y: str, score: str) -> DataFrame:
     """``score, n_event, n_nonevent`` of each distinct score."""
@@ -18,50 +45,37 @@ def score_counts(df: DataFrame, y: str, score: str) -> DataFrame:
     )
 
 
-def _down(*columns: str) -> Window:
-    return Window.orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
+def _running(df: DataFrame, y: str, score: str, descending: bool) -> DataFrame:
+    return prefix_sums(score_counts(df, y, score), "score", ["n_event", "n_nonevent"], descending=descending)
+
+
+def _share(c: str):
+    return F.col(f"upto_{c}") / F.col(f"total_{c}")
 
 
 def roc_points(df: DataFrame, y: str, score: str) -> DataFrame:
     """``threshold, fpr, tpr`` by falling score."""
-    c = score_counts(df, y, score)
-    everything = Window.partitionBy()
-    return c.select(
-        F.col("score").alias("threshold"),
-        (F.sum("n_nonevent").over(_down()) / F.sum("n_nonevent").over(everything)).alias("fpr"),
-        (F.sum("n_event").over(_down()) / F.sum("n_event").over(everything)).alias("tpr"),
-    )
+    return _running(df, y, score, True).select(F.col("score").alias("threshold"), _share("n_nonevent").alias("fpr"), _share("n_event").alias("tpr"))
 
 
 def auc(df: DataFrame, y: str, score: str) -> DataFrame:
     """``auc, gini``: ties count half."""
-    c = score_counts(df, y, score)
-    below = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    pairs = c.withColumn("pairs", F.col("n_event") * (F.coalesce(F.sum("n_nonevent").over(below), F.lit(0)) + F.col("n_nonevent") / 2))
-    value = F.sum("pairs") / (F.sum("n_event") * F.sum("n_nonevent"))
-    return pairs.agg(value.alias("auc"), (2 * value - 1).alias("gini"))
+    c = _running(df, y, score, False)
+    pairs = F.col("n_event") * (F.col("upto_n_nonevent") - F.col("n_nonevent") / 2)
+    value = F.sum(pairs) / (F.sum("n_event") * F.sum("n_nonevent"))
+    return c.agg(value.alias("auc"), (2 * value - 1).alias("gini"))
 
 
 def cap_curve(df: DataFrame, y: str, score: str) -> DataFrame:
     """``threshold, population, captured``: shares of all rows and of events by falling score."""
-    c = score_counts(df, y, score).withColumn("n", F.col("n_event") + F.col("n_nonevent"))
-    everything = Window.partitionBy()
-    return c.select(
-        F.col("score").alias("threshold"),
-        (F.sum("n").over(_down()) / F.sum("n").over(everything)).alias("population"),
-        (F.sum("n_event").over(_down()) / F.sum("n_event").over(everything)).alias("captured"),
-    )
+    population = (F.col("upto_n_event") + F.col("upto_n_nonevent")) / (F.col("total_n_event") + F.col("total_n_nonevent"))
+    return _running(df, y, score, True).select(F.col("score").alias("threshold"), population.alias("population"), _share("n_event").alias("captured"))
 
 
 def ks_curve(df: DataFrame, y: str, score: str) -> DataFrame:
     """``threshold, p_event, p_nonevent, distance`` by rising score."""
-    c = score_counts(df, y, score)
-    up = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, 0)
-    everything = Window.partitionBy()
-    p = lambda x: F.sum(x).over(up) / F.sum(x).over(everything)
-    return c.select(F.col("score").alias("threshold"), p("n_event").alias("p_event"), p("n_nonevent").alias("p_nonevent")).withColumn(
-        "distance", F.abs(F.col("p_nonevent") - F.col("p_event"))
-    )
+    c = _running(df, y, score, False).select(F.col("score").alias("threshold"), _share("n_event").alias("p_event"), _share("n_nonevent").alias("p_nonevent"))
+    return c.withColumn("distance", F.abs(F.col("p_nonevent") - F.col("p_event")))
 
 
 def ks(df: DataFrame, y: str, score: str) -> DataFrame:
@@ -75,12 +89,10 @@ def ks_by_record(df: DataFrame, y: str, score: str, ident: str) -> DataFrame:
     The nonevent share at a record is that of the records before it; this shifts it by one record.
     ``ident`` orders equal scores.
     """
-    order = Window.orderBy(F.col(score), F.col(ident))
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    everything = Window.partitionBy()
-    e = (F.col(y) != 0).cast("long")
-    rows = df.select(F.sum(e).over(upto).alias("e"), (F.row_number().over(order) - 1).alias("before"), F.sum(e).over(everything).alias("te"), F.count(F.lit(1)).over(everything).alias("n"))
-    return rows.agg(F.max((F.col("before") - F.col("e")) / (F.col("n") - F.col("te")) - F.col("e") / F.col("te")).alias("ks"))
+    rows = df.select(F.col(score).alias("score"), F.col(ident).alias("ident"), (F.col(y) != 0).cast("long").alias("e"), F.lit(1).cast("long").alias("one"))
+    c = prefix_sums(rows, "score", ["e", "one"], ["ident"])
+    nonevents = F.col("total_one") - F.col("total_e")
+    return c.agg(F.max((F.col("upto_one") - 1 - F.col("upto_e")) / nonevents - F.col("upto_e") / F.col("total_e")).alias("ks"))
 
 
 def classification(df: DataFrame, y: str, prediction: str) -> DataFrame:

@@ -69,7 +69,7 @@ class Monitoring:
         self.psi = psi_table(labels, side["a"]["n"], side["e"]["n"])
         self.tests = self._tests(labels, side, binary)
         self.target = self._target(both, y, side, binary)
-        self.performance = {s: self._performance(df, y, binary).toPandas().iloc[0].to_dict() for s, df in (("actual", actual), ("expected", expected))}
+        self.performance = {s: self._performance(df, y, binary) for s, df in (("actual", actual), ("expected", expected))}
         self.variables = self._variables(both)
         return self
 
@@ -97,12 +97,12 @@ class Monitoring:
         by = {r["_set"]: [r["mean"], r["std"], *r["p"]] for r in got}
         return pd.DataFrame({"metric": ["mean", "std", "p25", "median", "p75"], "actual": by["a"], "expected": by["e"]})
 
-    def _performance(self, df: DataFrame, y: str, binary: bool) -> DataFrame:
+    def _performance(self, df: DataFrame, y: str, binary: bool) -> dict[str, float]:
         predicted = self.scorecard.predict(df, "_prediction")
         if not binary:
-            return evaluate.regression(predicted, y, "_prediction")
+            return evaluate.regression(predicted, y, "_prediction").first().asDict()
         scored = self.scorecard.predict_proba(predicted, "_probability")
-        return evaluate.classification(scored, y, "_prediction").crossJoin(evaluate.auc(scored, y, "_probability"))  # one row each
+        return evaluate.classification(scored, y, "_prediction").first().asDict() | evaluate.auc(scored, y, "_probability").first().asDict()
 
     def _variables(self, both: DataFrame) -> pd.DataFrame:
         """Counts of every bin of every variable, special and missing bins included."""

@@ -115,8 +115,9 @@ class PiecewiseModel:
         if metric == "mean":
             return evaluate.regression(rows, y, "_p")
         e = (F.col(y) != 0).cast("double")
-        brier = rows.agg(F.avg((F.col("_p") - e) ** 2).alias("brier"))
-        return brier.crossJoin(evaluate.auc(rows, y, "_p")).crossJoin(evaluate.ks(rows, y, "_p").select("ks"))  # one row each
+        parts = (rows.agg(F.avg((F.col("_p") - e) ** 2).alias("brier")), evaluate.auc(rows, y, "_p"), evaluate.ks(rows, y, "_p").select("ks"))
+        values = {k: v for part in parts for k, v in part.first().asDict().items()}
+        return df.sparkSession.createDataFrame([tuple(values.values())], ", ".join(f"{k} double" for k in values))
 
 
 class PiecewiseBinner:

@@ -72,20 +72,32 @@ def range_bounds(df: DataFrame, x: str, interval_length: float = 0.5, k: float =
 
 
 def _shortest(rows: DataFrame, share: float) -> tuple[float, float]:
-    """Ends of the shortest run of ceil(share * n) of the sorted values, over distinct values and their counts."""
+    """Ends of the shortest run of ceil(share * n) of the sorted values, the first of equally short ones.
+
+    A shortest run ends at the value that is reached from the last copy of its first value.  The
+    values are numbered by running sums in buckets, then each first value is matched to the value
+    whose numbers hold its goal by a merge of both in the same order.
+    """
+    from .evaluate import prefix_sums
+
+    counts = rows.groupBy("v").agg(F.count("*").cast("long").alias("c"))
+    ranked = prefix_sums(counts, "v", ["c"])
     n = rows.count()
     reach = math.ceil(share * n)
-    counts = rows.groupBy("v").agg(F.count("*").alias("c"))
-    upto = Window.orderBy("v")
-    ranked = counts.withColumn("last", F.sum("c").over(upto)).withColumn("first", F.col("last") - F.col("c") + 1)
-    # a shortest run begins at some first copy of a value, or ends at some last one: take runs from each first copy
-    ends = ranked.select(F.col("v").alias("to"), F.col("first").alias("f"), F.col("last").alias("l"))
-    goals = ranked.select("v", (F.col("last") + reach - 1).alias("goal")).where(F.col("goal") <= n)
-    both = goals.select(F.col("goal").alias("key"), "v", F.lit(1).alias("is_goal")).unionByName(ends.select(F.col("f").alias("key"), F.col("to").alias("v"), F.lit(0).alias("is_goal")))
-    line = Window.orderBy("key", "is_goal").rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("to", F.last(F.when(F.col("is_goal") == 0, F.col("v")), ignorenulls=True).over(line)).where("is_goal = 1")
-    best = found.select("v", "to", (F.col("to") - F.col("v")).alias("w")).orderBy("w", "v").first()
-    return (best["v"], best["to"]) if best else (math.nan, math.nan)
+    if not n:
+        return math.nan, math.nan
+    # goals and first numbers on one line of numbers, in blocks of it; a block's last value is carried on
+    block = max(1, n // 256)
+    marks = ranked.select((F.col("upto_c") - F.col("c") + 1).alias("at"), F.col("v").alias("to"), F.lit(None).cast("double").alias("a"), F.lit(0).alias("goal"))
+    goals = ranked.select((F.col("upto_c") + reach - 1).alias("at"), F.lit(None).cast("double").alias("to"), F.col("v").alias("a"), F.lit(1).alias("goal")).where(F.col("at") <= n)
+    both = marks.unionByName(goals).withColumn("block", F.floor(F.col("at") / block))
+    line = Window.partitionBy("block").orderBy("at", "goal").rowsBetween(Window.unboundedPreceding, 0)
+    ends = both.groupBy("block").agg(F.max("to").alias("last"))
+    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(F.col("block").alias("_b"), F.max("last").over(before).alias("carry"))  # a few hundred blocks
+    found = both.withColumn("own", F.last("to", ignorenulls=True).over(line)).where("goal = 1").join(carried, F.col("block") == F.col("_b"))
+    best = found.select("a", F.coalesce("own", "carry").alias("b")).withColumn("w", F.col("b") - F.col("a")).orderBy("w", "a").first()
+    return (best["a"], best["b"]) if best else (math.nan, math.nan)
 
 
 def zscore_bounds(df: DataFrame, x: str, threshold: float = 3.5) -> Bounds:
