@@ -24,6 +24,7 @@ SIZE = 1 << 13  # entries of a vector
 PER_LANGUAGE = 300  # training texts of a language, about: the bound of the sample that the classifier is fitted on
 CENTROIDS = 4  # of a language
 REJECT = 0.5  # of the lowest cosine that training texts of that length have
+SLICE = 512  # texts that are classified together
 LENGTHS = 24  # classes of length: powers of two of the n-grams
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
@@ -160,10 +161,11 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", prefix: str =
     names = [*docs.columns, f"{prefix}lang_pred", f"{prefix}score", f"{prefix}rejected"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = shared.value.predict(batch.column(at).to_pylist())
-            columns = [pa.array(x, t) for x, t in zip(zip(*found, strict=True), (pa.string(), pa.float64(), pa.bool_()), strict=True)] if found else [pa.array([], t) for t in (pa.string(), pa.float64(), pa.bool_())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names)
+        for whole in batches:
+            for batch in (whole.slice(k, SLICE) for k in range(0, whole.num_rows, SLICE)):  # bounds what a worker holds twice
+                found = shared.value.predict(batch.column(at).to_pylist())
+                columns = [pa.array(x, t) for x, t in zip(zip(*found, strict=True), (pa.string(), pa.float64(), pa.bool_()), strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names)
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return docs.mapInArrow(run, f"{kinds}, `{prefix}lang_pred` string, `{prefix}score` double, `{prefix}rejected` boolean")

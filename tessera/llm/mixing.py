@@ -11,6 +11,7 @@ document takes the words of the blocks that it lies in, as often as they are tak
 from __future__ import annotations
 
 import hashlib
+import heapq
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -67,9 +68,15 @@ def sainte_lague(votes: np.ndarray, seats: int, most: np.ndarray) -> np.ndarray:
             low = middle
         else:
             high = middle
-    out = down_to(high)  # fewer than seats; the rest have the quotient low
-    rest = np.flatnonzero(down_to(low) > out)
-    return out + np.isin(np.arange(len(votes)), rest[: seats - out.sum()])
+    out = down_to(high * (1 + 1e-9))  # surely among the seats; the last few are given one by one
+    heap = [(-v / (2 * k + 1), i) for i, (v, k, m) in enumerate(zip(votes.tolist(), out.tolist(), most.tolist(), strict=True)) if v > 0 and k < m]
+    heapq.heapify(heap)
+    for _ in range(seats - int(out.sum())):
+        _, i = heapq.heappop(heap)
+        out[i] += 1
+        if out[i] < most[i]:
+            heapq.heappush(heap, (-votes[i] / (2 * int(out[i]) + 1), i))
+    return out
 
 
 def _seeded(seed: int, *parts: Column) -> Column:
@@ -117,7 +124,8 @@ def mix(sized: DataFrame, weights: tuple[float, ...] = (1, 2, 3), seed: int = 17
         by_source.setdefault(r[source_col], []).append((r["_shard"], r["n"]))
     blocks_of = {s: -(-np.array([n for _, n in sorted(x)], np.int64) // block) for s, x in by_source.items()}
     most_of = np.array([most * int(blocks_of[r[source_col]].sum()) for r in sources], np.int64)
-    seats = sainte_lague(targets, round(sum(targets) / block), most_of) if sources else []
+    # whole votes: equal quotients of different sources are then equal in floating point too
+    seats = sainte_lague(np.rint(targets), round(sum(targets) / block), most_of) if sources else []
     quotas = []
     for r, quota in zip(sources, seats, strict=True):
         shards = sorted(by_source[r[source_col]])
@@ -152,7 +160,7 @@ def op10_query(spark, sf_dir: str) -> DataFrame:
     """The mix of all rows of ``documents`` with weights 1, 2, 3 in turn."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     sized = docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"))
-    return mix(sized).select("doc_id", "size", "source_size", "target", "taken", "source")
+    return mix(sized).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", "source")
 
 
 def take(docs: DataFrame) -> DataFrame:
@@ -182,3 +190,41 @@ def take(docs: DataFrame) -> DataFrame:
     is_part = F.col(f"{p}at") == F.col(f"{p}whole")
     changed = {"text": F.get(f"{p}texts", F.col(f"{p}at")), "n_chars": F.when(is_part, F.length(F.get(f"{p}texts", F.col(f"{p}at"))).cast("long")).otherwise(F.col("n_chars"))}
     return rows.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in columns])
+
+
+def _sql(seed: int = 17) -> str:
+    """The rows of :func:`op10_query` in DuckDB.
+
+    Capped sources are those first by size / weight, as many as leave no other above its cap.
+    """
+    digest = "md5(concat_ws('|', '{}', {}))"
+    own = digest.format(seed, "coalesce(CAST(doc_id AS VARCHAR), '~'), CAST(size AS VARCHAR)")
+    seat = lambda seats: f"row_number() OVER (PARTITION BY {seats} ORDER BY votes / (2 * k - 1) DESC, place)"
+    return f"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS n, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM d GROUP BY source),
+w AS (SELECT *, place % 3 + 1.0::DOUBLE AS weight, sum(n) OVER () AS total, count(*) OVER () AS m FROM s),
+o AS (SELECT *, row_number() OVER (ORDER BY n / weight, place) - 1 AS capped, coalesce(sum(n) OVER (ORDER BY n / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS small,
+    sum(weight) OVER (ORDER BY n / weight, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM w),
+lam AS (SELECT min(capped) AS capped, min_by((total - {MAX_REPEATS} * small) / rest, capped) AS share FROM o WHERE (total - {MAX_REPEATS} * small) / rest * weight <= {MAX_REPEATS} * n),
+t AS (SELECT o.*, CASE WHEN o.capped < lam.capped THEN {MAX_REPEATS} * n ELSE lam.share * weight END AS target,
+    greatest({MIN_BLOCK}, total // ({BLOCKS_PER_SOURCE} * m)) AS block FROM o, lam),
+h AS (SELECT *, greatest(1, n // greatest({SHARD_WORDS}, {SHARD_BLOCKS} * block)) AS shards FROM t),
+p AS (SELECT d.*, h.n AS source_size, h.target, h.block, h.place, {own} AS digest, CAST('0x' || substr({own}, 1, 12) AS BIGINT) % h.shards AS shard FROM d JOIN h ON h.source IS NOT DISTINCT FROM d.source),
+x AS (SELECT place, shard, any_value(source) AS source, any_value(block) AS block, CAST(sum(size) AS BIGINT) AS words, CAST(ceil(sum(size) / CAST(any_value(block) AS DOUBLE)) AS BIGINT) AS blocks FROM p GROUP BY place, shard),
+q AS (SELECT t.place, CAST(round_even(t.target, 0) AS DOUBLE) AS votes, unnest(range(1, CAST({MAX_REPEATS} * b.blocks + 1 AS BIGINT))) AS k, (SELECT round(sum(target) / min(block)) FROM t) AS seats FROM t JOIN (SELECT place, sum(blocks) AS blocks FROM x GROUP BY place) b USING (place)),
+a AS (SELECT place, count(*) AS quota FROM (SELECT *, {seat("0")} AS nth FROM q) WHERE nth <= seats GROUP BY place),
+y AS (SELECT x.place AS source_place, x.shard AS place, words AS votes, a.quota, unnest(range(1, CAST({MAX_REPEATS} * blocks AS BIGINT) + 1)) AS k FROM x JOIN a USING (place)),
+z AS (SELECT source_place, place AS shard, count(*) AS quota FROM (SELECT *, {seat("source_place")} AS nth FROM y) WHERE nth <= quota GROUP BY ALL),
+f AS (SELECT x.*, coalesce(quota, 0) // blocks AS passes, coalesce(quota, 0) % blocks AS extra,
+    CAST('0x' || substr(md5('{seed}|' || coalesce(source, 'None') || '|' || x.shard), 1, 12) AS BIGINT) % blocks AS first FROM x LEFT JOIN z ON z.source_place = x.place AND z.shard = x.shard WHERE blocks > 0),
+l AS (SELECT p.*, CAST(coalesce(sum(size) OVER (PARTITION BY place, shard ORDER BY digest, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM p),
+b AS (SELECT doc_id, place, shard, digest, size, start, block, unnest(range(CAST(start // block AS BIGINT), CAST((start + size - 1) // block AS BIGINT) + 1)) AS i FROM l WHERE size > 0),
+g AS (SELECT doc_id, b.place, b.start, b.shard, sum((least((i + 1) * b.block, b.start + size) - greatest(i * b.block, b.start)) * (passes + CASE WHEN ((i - first) % blocks + blocks) % blocks < extra THEN 1 ELSE 0 END)) AS taken
+    FROM b JOIN f ON f.place = b.place AND f.shard = b.shard GROUP BY ALL)
+SELECT l.doc_id, l.size, l.source_size, CAST(round(l.target, 6) AS DOUBLE) AS target, CAST(coalesce(g.taken, 0) AS BIGINT) AS taken, l.source
+FROM l LEFT JOIN g ON g.doc_id IS NOT DISTINCT FROM l.doc_id AND g.place = l.place AND g.shard = l.shard AND g.start = l.start
+"""
+
+
+SQL = _sql()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from . import chat, embeddings, html, langid, licenses, mixing, ngram_lm, packing, quality, simhash
 
-ORACLES: dict[str, str] = {"op1_chat_perspectives": chat.SQL, "op3_license_scan": licenses.SQL, "op9_quality_rules": quality.SQL}
+ORACLES: dict[str, str] = {"op1_chat_perspectives": chat.SQL, "op3_license_scan": licenses.SQL, "op7_embedding_near_dedup": embeddings.SQL, "op9_quality_rules": quality.SQL, "op10_source_mixing": mixing.SQL}
 
 
 def queries() -> dict:
