@@ -597,8 +597,10 @@ class MulticlassBinner(_Binner):
         if self.max_pvalue is not None:
             z = normal_quantile(1 - self.max_pvalue / 2)
 
+            sums = [triangle(c) for c in counts]
+
             def conflict(a, b, c, d):
-                return any(_proportions_alike(t[b][a], whole[b][a] - t[b][a], t[d][c], whole[d][c] - t[d][c], z) for t in map(triangle, counts))
+                return any(_proportions_alike(t[b][a], whole[b][a] - t[b][a], t[d][c], whole[d][c] - t[d][c], z) for t in sums)
 
         return Problem(
             value, rates, chosen, whole, np.ones((k, k), bool), ends, min_diff=int(self.min_event_rate_diff * SCALE), changes=changes,

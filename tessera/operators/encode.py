@@ -71,3 +71,12 @@ def polynomial(x: Column, coefficients) -> Column:
     for c in coefficients[1:]:
         out = out * x + F.lit(float(c))
     return out
+
+
+def rate_to_woe(rate: Column, n_nonevent: float, n_event: float) -> Column:
+    """Weight of evidence at an event rate; null at 0 and 1."""
+    return F.when((rate > 0) & (rate < 1), F.ln((1 / rate - 1) * F.lit(n_event / n_nonevent)))
+
+
+def woe_to_rate(woe: Column, n_nonevent: float, n_event: float) -> Column:
+    return 1 / (1 + F.lit(n_nonevent / n_event) * F.exp(woe))

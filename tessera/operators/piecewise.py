@@ -25,13 +25,13 @@ OBJECTIVES = ("l2", "l1", "huber", "quantile")
 ROUNDS = 15  # of reweighting
 
 
-def _solve(sums: list[tuple[np.ndarray, np.ndarray]], splits: list[float], degree: int, continuous: bool, smooth: bool, ridge: float, flat: set[int]) -> list[np.ndarray]:
-    """Coefficients by rising power in each bin; bins in ``flat`` have slope 0."""
+def _solve(sums: list[tuple[np.ndarray, np.ndarray]], splits: list[float], degree: int, continuous: bool, smooth: bool, ridge: np.ndarray, flat: set[int]) -> list[np.ndarray]:
+    """Coefficients by rising power in each bin; bins in ``flat`` have slope 0, ``ridge`` is the price of each squared coefficient."""
     m, k = len(sums), degree + 1
     a, b = np.zeros((m * k, m * k)), np.zeros(m * k)
     for i, (moments, cross) in enumerate(sums):
         part = np.array([[moments[p + q] for q in range(k)] for p in range(k)])
-        a[i * k : (i + 1) * k, i * k : (i + 1) * k] = part + ridge * np.diag([0.0] + [1.0] * degree)
+        a[i * k : (i + 1) * k, i * k : (i + 1) * k] = part + np.diag(ridge[i * k : (i + 1) * k])
         b[i * k : (i + 1) * k] = cross[:k]
     rows = []
     for i, s in enumerate(splits):
@@ -115,11 +115,24 @@ class PiecewiseModel:
         if metric == "mean":
             return evaluate.regression(rows, y, "_p")
         e = (F.col(y) != 0).cast("double")
-        parts = (rows.agg(F.avg((F.col("_p") - e) ** 2).alias("brier")), evaluate.auc(rows, y, "_p"), evaluate.ks(rows, y, "_p").select("ks"))
+        parts = (rows.agg(F.avg((F.col("_p") - e) ** 2).alias("brier")), self.divergences(rows, "_p"), evaluate.auc(rows, y, "_p"), evaluate.ks(rows, y, "_p").select("ks"))
         values = {k: v for part in parts for k, v in part.first().asDict().items()}
         return df.sparkSession.createDataFrame([tuple(values.values())], ", ".join(f"{k} double" for k in values))
 
 
+    def divergences(self, rows: DataFrame, rate: str) -> DataFrame:
+        """Divergences of the distributions that the predicted rates give: each row adds its rate to the events, the rest to the nonevents."""
+        p, q = F.col(rate), 1 - F.col(rate)
+        total = rows.agg(F.sum(p).alias("e"), F.sum(q).alias("ne")).first()
+        a, b = p / F.lit(total["e"]), q / F.lit(total["ne"])
+        middle = (a + b) / 2
+        term = lambda u, v: F.when((u > 0) & (v > 0), u * F.ln(u / v)).otherwise(0.0)
+        return rows.agg(
+            F.sum(term(a, b) + term(b, a)).alias("iv"), F.sum((term(a, middle) + term(b, middle)) / 2).alias("js"),
+            F.sum(0.5 * (F.sqrt(a) - F.sqrt(b)) ** 2).alias("hellinger"), F.sum((a - b) ** 2 / (a + b)).alias("triangular"),
+        )
+
+
 class PiecewiseBinner:
     """Bins, then a polynomial of ``degree`` in each; ``kind`` is binary or continuous."""
 
@@ -146,6 +159,8 @@ class PiecewiseBinner:
     def fit(self, df: DataFrame, x: str, y: str, lb: float | None = None, ub: float | None = None) -> PiecewiseModel:
         model = self.binner.fit(df, x, y)
         rows = clean_rows(df.where(F.col(y).isNotNull()), x, self.binner.special_codes).select(F.col(x).cast("double").alias("x"), F.col(y).alias("y"))
+        if self.n_subsamples is not None:
+            rows = rows.sample(min(1.0, self.n_subsamples / max(1, rows.count())), seed=self.random_state or 0)
         if self.kind == "binary":
             # the curve follows the probabilities of an estimator, by default a logistic regression on x
             unit = rows.agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s")).first()
@@ -161,7 +176,7 @@ class PiecewiseBinner:
         z = (F.col("x") - F.lit(shift)) / F.lit(width)
         data = rows.select(by_interval(F.col("x"), model.splits, F.lit).alias("bin"), z.alias("z"), "t")
         splits = [(s - shift) / width for s in model.splits]
-        m, k = len(splits) + 1, self.degree + 1
+        m = len(splits) + 1
         coefficients: list[np.ndarray] | None = None
         for _ in range(1 if self.objective == "l2" else ROUNDS):
             w = F.lit(1.0) if coefficients is None else self._weight(data, coefficients, splits)
@@ -171,7 +186,6 @@ class PiecewiseBinner:
                 break
             coefficients = new
         self.fitted = PiecewiseModel(model, [c.tolist() for c in coefficients], shift, width, lb, ub)
-        assert all(len(c) == k for c in coefficients)
         return self.fitted
 
     def _sums(self, data: DataFrame, m: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -192,11 +206,10 @@ class PiecewiseBinner:
         return F.when(e >= 0, F.lit(q)).otherwise(F.lit(1 - q)) / small
 
     def _constrained(self, sums, splits: list[float], trend: str | None) -> list[np.ndarray]:
-        ridge = {None: 0.0, "l2": self.reg_l2, "l1": self.reg_l1}[self.regularization]
         flat: set[int] = set()
         want = {"ascending": 1, "descending": -1}.get(trend or "", 0)
         while True:
-            c = _solve(sums, splits, self.degree, self.continuous, self.continuous_deriv, ridge, flat)
+            c = self._regularised(sums, splits, flat)
             if not want or not self.degree:
                 return c
             edges = [-1.0, *splits, 1.0]
@@ -206,6 +219,16 @@ class PiecewiseBinner:
                 return c
             flat.add(worst)
 
+    def _regularised(self, sums, splits: list[float], flat: set[int]) -> list[np.ndarray]:
+        """With l1, coefficients are priced by their size, by reweighting their squares."""
+        shape = np.tile([0.0] + [1.0] * self.degree, len(sums))
+        price = {None: 0.0, "l2": self.reg_l2, "l1": self.reg_l1}[self.regularization] * shape
+        solve = lambda ridge: _solve(sums, splits, self.degree, self.continuous, self.continuous_deriv, ridge, flat)
+        c = solve(price)
+        for _ in range(30 if self.regularization == "l1" else 0):
+            c = solve(price / np.maximum(1e-6, np.abs(np.concatenate(c))))
+        return c
+
     def transform(self, df: DataFrame, x: str, output: str, **kwargs) -> DataFrame:
         if self.fitted is None:
             raise NotFittedError("call fit first")

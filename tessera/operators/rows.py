@@ -43,6 +43,17 @@ def clean_rows(df: DataFrame, x: str, special_codes=None) -> DataFrame:
     return df.where(row_class(F.col(x), is_numeric(df, x), special_codes) == CLEAN)
 
 
+def within(df: DataFrame, x: str, low: float | None = None, high: float | None = None) -> DataFrame:
+    """Rows with x from ``low`` to ``high``; both bounds hold where both are given.  Missing values stay."""
+    x_ = F.col(x)
+    keep = F.lit(True)
+    if low is not None:
+        keep &= x_ >= low
+    if high is not None:
+        keep &= x_ <= high
+    return df.where(is_missing(x_, is_numeric(df, x)) | keep)
+
+
 # ---------------------------------------------------------------- outliers
 
 

@@ -17,12 +17,12 @@ from .operators import evaluate
 from .operators.binning import BinaryBinner, BinningModel, ContinuousBinner, MulticlassBinner, ScenarioBinner
 from .operators.binning2d import Axis, Binner2D, grid_moments
 from .operators.counterfactual import Counterfactual
-from .operators.encode import by_interval
+from .operators.encode import by_interval, rate_to_woe, woe_to_rate
 from .operators.histogram import Histogram, histogram
 from .operators.monitoring import psi_table
 from .operators.piecewise import PiecewiseBinner
 from .operators.process import BinningPipeline
-from .operators.rows import is_outlier, range_bounds, y_quantile_bounds, zscore_bounds
+from .operators.rows import is_outlier, range_bounds, within, y_quantile_bounds, zscore_bounds
 from .operators.scorecard import FixedModel, Scorecard
 from .operators.splits import cart_splits, mdlp_candidates, mdlp_splits, quantile_splits, uniform_splits
 from .operators.tables import as_frame, interval_labels
@@ -287,6 +287,20 @@ def _(spark, d):
     return rounded(lines(spark, d).select(*KEY, multiclass_model(spark, d).encode(F.col("x"), "weighted_mean_woe").alias("code")))
 
 
+@query("rate_woe_conversion", f"""WITH t AS (SELECT CAST(sum(y1) AS DOUBLE) AS e, CAST(sum(1 - y1) AS DOUBLE) AS ne FROM ({L})), r AS (SELECT l_orderkey, l_linenumber, (l_quantity + 1) / 60 AS rate FROM lineitem)
+SELECT l_orderkey, l_linenumber, round(ln((1 / rate - 1) * e / ne), 6) AS woe, round(rate, 6) AS rate FROM r, t""")
+def _(spark, d):
+    df = lines(spark, d)
+    t = df.agg(F.sum("y1").alias("e"), F.sum(1 - F.col("y1")).alias("ne")).first()
+    woe = rate_to_woe((F.col("l_quantity") + 1) / 60, t["ne"], t["e"])
+    return rounded(df.select(*KEY, woe.alias("woe"), woe_to_rate(woe, t["ne"], t["e"]).alias("rate")))
+
+
+@query("bound_filter", f"SELECT l_orderkey, l_linenumber FROM ({L}) WHERE x IS NULL OR (x >= 20000 AND x <= 60000)")
+def _(spark, d):
+    return within(lines(spark, d), "x", 20000, 60000).select(*KEY)
+
+
 # ---------------------------------------------------------------- categories
 
 
@@ -922,6 +936,23 @@ def _(spark, d):
     return rounded(b.fit(df, "l_extendedprice", "yc").transform(df, "l_extendedprice", "code").select(*KEY, "code"), 3)
 
 
+PIECE_SPLITS = [25000.0, 55000.0]
+
+
+@query("piecewise_metrics")
+def _(spark, d):
+    df = lines(spark, d)
+    return PiecewiseBinner(max_n_prebins=8).fit(df, "l_extendedprice", "y1").metrics(df, "l_extendedprice", "y1")
+
+
+@query("piecewise_lines", f"""WITH b AS (SELECT *, {case('l_extendedprice', PIECE_SPLITS)} AS i FROM ({L})), f AS (SELECT i, regr_slope(yc, l_extendedprice) AS s, regr_intercept(yc, l_extendedprice) AS c FROM b GROUP BY i)
+SELECT l_orderkey, l_linenumber, round(c + s * l_extendedprice, 2) AS code FROM b JOIN f USING (i)""")
+def _(spark, d):
+    df = lines(spark, d)
+    b = PiecewiseBinner(kind="continuous", continuous=False, user_splits=PIECE_SPLITS, user_splits_fixed=[True, True], monotonic_trend=None)
+    return rounded(b.fit(df, "l_extendedprice", "yc").transform(df, "l_extendedprice", "code").select(*KEY, "code"), 2)
+
+
 # ---------------------------------------------------------------- whole fits
 
 

@@ -180,6 +180,8 @@ class StreamingBinner:
                     if options.get("split_digits") is not None:
                         splits = np.unique(np.round(splits, options["split_digits"]))
                     binner.user_splits = splits.tolist()
+                elif self.cat_heuristic and len(h.low) > 1:
+                    binner.user_splits = self._groups(h)
                 self.models[v] = binner.fit_histogram(h)
         table = summary(list(self.models.values()))
         self.support = select(table, self.selection_criteria, self.fixed_variables)
@@ -215,11 +217,26 @@ class StreamingBinner:
         names = np.array(labels, object)
         missing, special = self._rest(own)
         total = {k: float(own[own["kind"] == k]["n"].sum()) for k in own["kind"].unique()}
-        if self.cat_heuristic and len(names) > 1:  # small categories stand together with the one next in rate
-            order = np.argsort(n1 / np.maximum(1, n0 + n1), kind="stable")
-            self.small = names[order][(n0 + n1)[order] < (n0 + n1).sum() / int(self.options.get("max_n_prebins", 20))].tolist()
         return Histogram(False, names, names, {"n0": n0, "n1": n1}, missing, special, total)
 
+    def _groups(self, h: Histogram) -> list[list[str]]:
+        """Categories in the order of their rate; those with fewer rows than an even share of the prebins join the next one."""
+        size = h.size()
+        least = size.sum() / int(self.options.get("max_n_prebins", 20))
+        groups: list[list[str]] = [[]]
+        held = 0.0
+        for i in np.lexsort((h.low.astype(str), h.moments["n1"] / np.maximum(1, size))):
+            groups[-1].append(str(h.low[i]))
+            held += size[i]
+            if held >= least:
+                groups.append([])
+                held = 0.0
+        if len(groups) > 1 and len(groups[-1]) == 0:
+            groups.pop()
+        elif len(groups) > 1 and held < least:
+            groups[-2] += groups.pop()
+        return groups
+
     def _solved(self) -> None:
         if not self.models:
             raise NotSolvedError("call solve first")

@@ -191,6 +191,19 @@ def test_streams_merge_like_batches(spark, data, tmp_path):
     assert c.records == clean.count() and c.solve().models["x"].table().records.sum() == clean.count()
 
 
+def test_small_categories_stand_together_in_streams(spark, data):
+    b = StreamingBinner(spark, {"c": "categorical"}, "y", cat_heuristic=True, max_n_prebins=3)
+    m = b.add(data.where("y is not null")).solve().models["c"]
+    assert sorted(c for g in m.groups for c in g) == list("abcde") and m.table().records.sum() == data.where("y is not null").count()
+
+
+def test_bounds_hold_together(data):
+    from tessera.operators.rows import within
+
+    kept = within(data, "x", -1, 1).toPandas()["x"]
+    assert kept.dropna().between(-1, 1).all() and kept.isna().sum() == 51
+
+
 def test_quantile_sketch(spark, data):
     a, b = QuantileSketch(spark, 0.01), QuantileSketch(spark, 0.01)
     a.add(data.where("z < 0.5"), "z")
@@ -200,7 +213,7 @@ def test_quantile_sketch(spark, data):
         a.merge(QuantileSketch(spark, 0.1))
 
 
-@pytest.mark.parametrize("options", [{}, {"degree": 2}, {"objective": "huber"}, {"continuous": False}, {"degree": 0, "continuous": False}, {"regularization": "l2"}])
+@pytest.mark.parametrize("options", [{}, {"degree": 2}, {"objective": "huber"}, {"continuous": False}, {"degree": 0, "continuous": False}, {"regularization": "l2"}, {"regularization": "l1", "reg_l1": 0.01}, {"n_subsamples": 1500, "random_state": 1}])
 def test_piecewise(data, options):
     clean = data.where("x > -100")
     m = PiecewiseBinner(kind="continuous", max_n_prebins=5, **options).fit(clean, "x", "v")
