@@ -234,7 +234,8 @@ class StreamingBinner:
         if len(groups) > 1 and len(groups[-1]) == 0:
             groups.pop()
         elif len(groups) > 1 and held < least:
-            groups[-2] += groups.pop()
+            last = groups.pop()
+            groups[-1] += last
         return groups
 
     def _solved(self) -> None:
