@@ -41,6 +41,13 @@ def _need(ok: bool, error: type[Exception], text: str) -> None:
         raise error(text)
 
 
+def distinct_values(df: DataFrame, column: str, most: int) -> list:
+    """The values of a column in order; an error if there are more than ``most``."""
+    found = [r[0] for r in df.select(column).distinct().limit(most + 1).collect()]
+    _need(len(found) <= most, ValueError, f"{column} has more than {most} values")
+    return sorted(found)
+
+
 @dataclass
 class BinningModel:
     """A fitted binning: bins, the moments of every row of its table, and what the fit chose."""
@@ -556,9 +563,7 @@ class MulticlassBinner(_Binner):
     MAX_CLASSES = 100
 
     def _class_list(self, df, y):
-        found = sorted(r[0] for r in df.where(F.col(y).isNotNull()).select(y).distinct().limit(self.MAX_CLASSES + 1).collect())
-        _need(len(found) <= self.MAX_CLASSES, ValueError, f"more than {self.MAX_CLASSES} classes")
-        return found
+        return distinct_values(df.where(F.col(y).isNotNull()), y, self.MAX_CLASSES)
 
     def _check_columns(self, df, x, y):
         _need(self.dtype == "numerical" and is_numeric(df, x), ValueError, "a multiclass target needs a numeric column")
@@ -616,7 +621,7 @@ class ScenarioBinner(BinaryBinner):
     def fit(self, df: DataFrame, x: str, y: str, scenario: str, weights: dict | None = None) -> BinningModel:
         """``scenario`` names the column of the scenario; ``weights`` are equal by default."""
         began = time.perf_counter()
-        names = sorted(r[0] for r in df.select(scenario).distinct().collect())
+        names = distinct_values(df, scenario, 100)
         self.scenarios, self.weights = names, [float((weights or {}).get(s, 1.0)) for s in names]
         _need(all(w >= 0 for w in self.weights) and sum(self.weights) > 0, ValueError, "weights are not negative")
         target = F.struct(F.col(scenario).alias("s"), F.when(F.col(y) == 0, 0).otherwise(1).alias("y"))
@@ -684,7 +689,7 @@ class MDLP:
         self.splits: np.ndarray | None = None
 
     def fit(self, df: DataFrame, x: str, y: str) -> MDLP:
-        classes = sorted(r[0] for r in df.where(F.col(y).isNotNull()).select(y).distinct().collect())
+        classes = distinct_values(df.where(F.col(y).isNotNull()), y, 100)
         self.splits = mdlp_splits(histogram(df, x, y, "multiclass", classes=classes, edges=cell_edges(df, x)), *self.parameters)
         return self
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from .rows import CLEAN, MISSING, SPECIAL, Bounds, is_missing, is_numeric, is_outlier, row_class, special_labels
 
 #: Distinct values up to which each is a cell of its own; beyond, cells of about equal counts are used.
+#: It also bounds the categories of a column, which all reach the driver.
 MAX_DISTINCT = 200_000
 CELLS = 1024
 
@@ -99,6 +100,12 @@ def many_edges(df: DataFrame, columns: list[str], special_codes: dict | None = N
     return {c: [-float("inf"), *sorted(set(found[f"p{i}"])), float("inf")] for i, c in enumerate(long)}
 
 
+def check_categories(counts: dict[str, int]) -> None:
+    for c, n in counts.items():
+        if n > MAX_DISTINCT:
+            raise ValueError(f"{c} has about {n} categories; group them to at most {MAX_DISTINCT} before binning")
+
+
 def cell_edges(df: DataFrame, x: str, special_codes=None) -> list[float] | None:
     """The edges of :func:`many_edges` for one column, or None."""
     return many_edges(df, [x], {x: special_codes}).get(x)
@@ -113,6 +120,8 @@ def histogram(
     Clean outliers count in ``rows`` only.  ``edges`` group the values of large columns.
     """
     numeric = is_numeric(df, x) if dtype is None else dtype == "numerical"
+    if not numeric:
+        check_categories({x: df.agg(F.approx_count_distinct(x, 0.05)).first()[0]})
     w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
     if class_weight:
         by_class = F.lit(1.0)
@@ -167,6 +176,10 @@ def histograms(
     codes = special_codes or {}
     rows = df.where(~is_missing(F.col(y), is_numeric(df, y)))
     numeric = [v for v, is_number in variables.items() if is_number]
+    texts = [v for v, is_number in variables.items() if not is_number]
+    if texts:
+        found = rows.agg(*[F.approx_count_distinct(v, 0.05).alias(f"n{i}") for i, v in enumerate(texts)]).first()
+        check_categories({v: found[f"n{i}"] for i, v in enumerate(texts)})
     edges = many_edges(rows, numeric, codes)
     if edges:
         long = list(edges)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.binning import BinaryBinner, BinningModel, NotFittedError, _need, summary
-from ..operators.histogram import Histogram
+from ..operators.histogram import MAX_DISTINCT, Histogram
 from ..operators.process import select
 from ..operators.rows import is_missing, is_numeric, row_class, special_labels
 
@@ -139,7 +139,9 @@ class StreamingBinner:
     def _keep(self, more: DataFrame) -> None:
         merged = more if self.state is None else merge_states(self.state, more)
         # the merged state is a few rows for each variable: it is brought to the driver to cut the lineage of chunks
-        self.state = self.spark.createDataFrame(merged.collect(), STATE)
+        rows = merged.limit(MAX_DISTINCT + 1).collect()
+        _need(len(rows) <= MAX_DISTINCT, ValueError, f"more than {MAX_DISTINCT} categories")
+        self.state = self.spark.createDataFrame(rows, STATE)
         if self.state_path:
             self.state.coalesce(1).write.mode("overwrite").parquet(self.state_path)
 
