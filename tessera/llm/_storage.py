@@ -6,12 +6,15 @@ Spark's own protocol, and can be read again after any executor is lost.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dir: str | None = None
+_tables: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,10 +27,13 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if _own_dir is None:
-        _own_dir = "file://" + tempfile.mkdtemp(prefix="tessera-")
+        folder = tempfile.mkdtemp(prefix="tessera-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _own_dir = "file://" + folder
     return _own_dir
 
 
@@ -40,15 +46,25 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
+    _tables.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tessera_path = path
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+
+
 def discard(df: DataFrame | None) -> None:
     """Delete a table of :func:`materialize` that nothing reads any more."""
-    path = getattr(df, "_tessera_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+    if path := getattr(df, "_tessera_path", None):
+        _delete(df.sparkSession, path)
+        _tables.remove(path)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all tables that this process has written and not discarded; results that still read them become unusable."""
+    while _tables:
+        _delete(spark, _tables.pop())
