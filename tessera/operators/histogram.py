@@ -19,6 +19,8 @@ from .rows import CLEAN, MISSING, SPECIAL, Bounds, is_missing, is_numeric, is_ou
 #: It also bounds the categories of a column, which all reach the driver.
 MAX_DISTINCT = 200_000
 CELLS = 1024
+#: Inputs of more bytes than this are scanned once for both.
+ONE_PASS = 1 << 30
 
 Moments = dict[str, float]
 
@@ -85,19 +87,24 @@ class Histogram:
 def many_edges(df: DataFrame, columns: list[str], special_codes: dict | None = None) -> dict[str, list[float]]:
     """Edges of cells of about equal counts for each long column; columns with few distinct values have none.
 
-    Distinct values are counted by sketches in one pass; only long columns pay for quantiles, in another.
+    Distinct values are counted by sketches; of small inputs, only long columns pay for quantiles, in another pass.
     """
     if not columns:
         return {}
     codes = special_codes or {}
     value = lambda c: F.when(row_class(F.col(c), True, codes.get(c)) == CLEAN, F.col(c).cast("double"))
-    sizes = df.agg(*[F.approx_count_distinct(value(c), 0.05).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+    at = [i / CELLS for i in range(1, CELLS)]
+    distinct = [F.approx_count_distinct(value(c), 0.05).alias(f"n{i}") for i, c in enumerate(columns)]
+    quantiles = lambda names: [F.percentile_approx(value(c), at, 4 * CELLS).alias(f"p_{c}") for c in names]
+    if int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) > ONE_PASS:
+        found = sizes = df.agg(*distinct, *quantiles(columns)).first()  # a further scan costs more than quantiles that are not needed
+    else:
+        sizes, found = df.agg(*distinct).first(), None
     long = [c for i, c in enumerate(columns) if sizes[f"n{i}"] > MAX_DISTINCT]
     if not long:
         return {}
-    at = [i / CELLS for i in range(1, CELLS)]
-    found = df.agg(*[F.percentile_approx(value(c), at, 4 * CELLS).alias(f"p{i}") for i, c in enumerate(long)]).first()
-    return {c: [-float("inf"), *sorted(set(found[f"p{i}"])), float("inf")] for i, c in enumerate(long)}
+    found = found or df.agg(*quantiles(long)).first()
+    return {c: [-float("inf"), *sorted(set(found[f"p_{c}"])), float("inf")] for c in long}
 
 
 def check_categories(counts: dict[str, int]) -> None:

@@ -18,7 +18,7 @@ from .operators.binning import BinaryBinner, BinningModel, ContinuousBinner, Mul
 from .operators.binning2d import Axis, Binner2D, grid_moments
 from .operators.counterfactual import Counterfactual
 from .operators.encode import by_interval, rate_to_woe, woe_to_rate
-from .operators.histogram import Histogram, histogram
+from .operators.histogram import Histogram, cell_edges, histogram
 from .operators.monitoring import psi_table
 from .operators.piecewise import PiecewiseBinner
 from .operators.process import BinningPipeline
@@ -67,6 +67,11 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "part").withColumn("y", (F.col("p_retailprice") + 10 * F.col("p_size") > 1200).cast("int"))
 
 
+def binned(df: DataFrame, x: str, y: str, kind: str) -> Histogram:
+    """The histogram of a numeric column, by cells if it is long."""
+    return histogram(df, x, y, kind, edges=cell_edges(df, x))
+
+
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         QUERIES[name] = f
@@ -357,7 +362,7 @@ def _(spark, d):
 
 @query("quantile_prebins", "SELECT i AS split_id, round(list_extract(quantile_cont(l_extendedprice, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]), i), 4) AS split FROM lineitem, range(1, 10) t(i) GROUP BY i")
 def _(spark, d):
-    h = histogram(lines(spark, d), "l_extendedprice", "y1", "binary")
+    h = binned(lines(spark, d), "l_extendedprice", "y1", "binary")
     return rounded(spark.createDataFrame([(i + 1, float(s)) for i, s in enumerate(quantile_splits(h, 10))], "split_id long, split double"), 4)
 
 
@@ -366,14 +371,14 @@ c AS (SELECT v, lead(v) OVER o AS nxt, sum(n) OVER (o ROWS UNBOUNDED PRECEDING)
 g AS (SELECT (v + nxt) / 2 AS split, n - (e * e + (n - e) * (n - e)) / CAST(n AS DOUBLE) + (tn - n) - ((te - e) * (te - e) + (tn - n - te + e) * (tn - n - te + e)) / CAST(tn - n AS DOUBLE) AS impurity FROM c WHERE nxt IS NOT NULL AND n >= ceil(0.05 * tn) AND tn - n >= ceil(0.05 * tn))
 SELECT round(split, 4) AS split FROM g ORDER BY impurity, split LIMIT 1""")
 def _(spark, d):
-    h = histogram(lines(spark, d), "l_quantity", "y1", "binary")
+    h = binned(lines(spark, d), "l_quantity", "y1", "binary")
     splits = cart_splits(h, "binary", 2, np.ceil(0.05 * h.total))
     return rounded(spark.createDataFrame([(float(s),) for s in splits], "split double"), 4)
 
 
 @query("cart_prebins")
 def _(spark, d):
-    h = histogram(lines(spark, d), "l_extendedprice", "y1", "binary")
+    h = binned(lines(spark, d), "l_extendedprice", "y1", "binary")
     return spark.createDataFrame([(i, float(s)) for i, s in enumerate(cart_splits(h, "binary", 20, np.ceil(0.05 * h.total)))], "split_id long, split double")
 
 
@@ -382,7 +387,7 @@ DISCOUNT_H = f"h AS (SELECT l_discount AS v, count(*) AS n, sum(y2) AS e FROM ({
 
 @query("mdlp_candidates", f"WITH {DISCOUNT_H} SELECT round(split, 4) AS split FROM cand")
 def _(spark, d):
-    h = histogram(lines(spark, d), "l_discount", "y2", "binary")
+    h = binned(lines(spark, d), "l_discount", "y2", "binary")
     return rounded(spark.createDataFrame([(float(s),) for s in mdlp_candidates(h)], "split double"), 4)
 
 
@@ -391,7 +396,7 @@ q AS (SELECT split, n1, n2, e1 / CAST(n1 AS DOUBLE) AS p1, e2 / CAST(n2 AS DOUBL
 SELECT round(split, 4) AS split FROM q ORDER BY round(n1 * -(p1 * ln(p1) + (1 - p1) * ln(1 - p1)) + n2 * -(p2 * ln(p2) + (1 - p2) * ln(1 - p2)), 7), split LIMIT 1""")
 def _(spark, d):
     # the first split of the recursion is the one whose node is all rows
-    h = histogram(lines(spark, d), "l_discount", "y2", "binary")
+    h = binned(lines(spark, d), "l_discount", "y2", "binary")
     best, counts = None, np.stack([h.moments["n0"], h.moments["n1"]], axis=1)
     for s in mdlp_candidates(h):
         left, right = counts[h.low < s].sum(axis=0), counts[h.low >= s].sum(axis=0)
@@ -403,7 +408,7 @@ def _(spark, d):
 
 @query("mdlp_splits")
 def _(spark, d):
-    return spark.createDataFrame([(float(s),) for s in mdlp_splits(histogram(lines(spark, d), "l_quantity", "y1", "binary"))], "split double")
+    return spark.createDataFrame([(float(s),) for s in mdlp_splits(binned(lines(spark, d), "l_quantity", "y1", "binary"))], "split double")
 
 
 FINE = [2000.0, 5000.0, 20000.0, 50000.0, 99000.0]
@@ -444,7 +449,7 @@ VALLEY = PEAK.replace(">= p.d", "~ p.d").replace("<= p.d", ">= p.d").replace("~
 
 
 def partition(spark, d, y: str = "y1", **options) -> DataFrame:
-    h = histogram(lines(spark, d), "l_extendedprice", y, "binary")
+    h = binned(lines(spark, d), "l_extendedprice", y, "binary")
     b = BinaryBinner(user_splits=NINE, **({"monotonic_trend": None} | options))
     bins = h.by_split(NINE)
     fixed = np.asarray(options["user_splits_fixed"]) if "user_splits_fixed" in options else None
@@ -477,7 +482,7 @@ add_partition("optimal_gamma", partition_sql("y1", NO_TURN, gamma="ceil(1000000
 t AS (SELECT sum(ne) AS tne, sum(e) AS te FROM g), c AS (SELECT a.i AS first, b.i AS last, sum(g.ne) AS ne, sum(g.e) AS e FROM g a JOIN g b ON a.i <= b.i JOIN g ON g.i BETWEEN a.i AND b.i GROUP BY 1, 2)
 SELECT CAST(first AS BIGINT) AS first, CAST(last AS BIGINT) AS last, CAST(trunc(1000000 * (e / (ne + e))) AS BIGINT) AS rate, CAST(trunc(1000000 * ((e / te - ne / tne) * ln((e / te) / (ne / tne)))) AS BIGINT) AS value FROM c, t""")
 def _(spark, d):
-    h = histogram(lines(spark, d), "l_extendedprice", "y1", "binary")
+    h = binned(lines(spark, d), "l_extendedprice", "y1", "binary")
     p = BinaryBinner(monotonic_trend=None)._problem(h.by_split(NINE), h.total)
     rows = [(k, i, int(p.rates[0][i][k]), int(p.value[i][k])) for i in range(9) for k in range(i + 1)]
     return spark.createDataFrame(rows, "first long, last long, rate long, value long")
@@ -490,7 +495,7 @@ SELECT CAST(p.k AS BIGINT) AS first_a, CAST(p.i AS BIGINT) AS last_a, CAST(v.k A
 
 
 def conflicts(spark, d, bad) -> DataFrame:
-    h = histogram(lines(spark, d), "l_extendedprice", "y1", "binary")
+    h = binned(lines(spark, d), "l_extendedprice", "y1", "binary")
     p = BinaryBinner(monotonic_trend=None, max_pvalue=0.05)._problem(h.by_split(CLOSE), h.total)
     rows = [(k, i, i + 1, j) for i in range(8) for k in range(i + 1) for j in range(i + 1, 9) if bad(p, k, i, j)]
     return spark.createDataFrame(rows, "first_a long, last_a long, first_b long, last_b long")
@@ -550,7 +555,7 @@ SELECT CAST(count(*) FILTER (c1) AS BIGINT) AS changes_y1, CAST(count(*) FILTER
 def _(spark, d):
     out = []
     for y in ("y1", "y2"):
-        b = histogram(lines(spark, d), "l_extendedprice", y, "binary").by_split(NINE)
+        b = binned(lines(spark, d), "l_extendedprice", y, "binary").by_split(NINE)
         out.append(trend_changes(b["n1"] / (b["n0"] + b["n1"])))
     return spark.createDataFrame([tuple(out)], "changes_y1 long, changes_y2 long")
 
@@ -562,7 +567,7 @@ CASE WHEN bool_and(CASE WHEN i <= top THEN coalesce(d2, 0) >= 0 ELSE d2 <= 0 END
 def _(spark, d):
     out = []
     for y in ("y1", "y2"):
-        b = histogram(lines(spark, d), "l_extendedprice", y, "binary").by_split(NINE)
+        b = binned(lines(spark, d), "l_extendedprice", y, "binary").by_split(NINE)
         out.append(label(b["n1"] / (b["n0"] + b["n1"])).split(" (")[0])
     return spark.createDataFrame([tuple(out)], "trend_y1 string, trend_y2 string")
 

@@ -221,3 +221,19 @@ def test_piecewise(data, options):
     assert r2 > 0.75
     if m.model.trend == "ascending" and options.get("degree", 1) == 1:
         assert all(c[1] >= -1e-9 for c in m.coefficients)
+
+
+@pytest.mark.parametrize("one_pass", [0, 1 << 60])
+def test_long_columns_are_binned_by_cells(data, monkeypatch, one_pass):
+    from tessera.operators import histogram as h
+
+    clean = data.where("x > -100")
+    exact = BinaryBinner().fit(clean, "x", "y")
+    monkeypatch.setattr(h, "MAX_DISTINCT", 100)
+    monkeypatch.setattr(h, "ONE_PASS", one_pass)
+    cells = BinaryBinner().fit(clean, "x", "y")
+    assert exact.exact and not cells.exact
+    assert cells.table().records.sum() == exact.table().records.sum()
+    assert cells.table().metrics()["iv"] == pytest.approx(exact.table().metrics()["iv"], rel=0.05)
+    shared = BinningPipeline(["x", "z"]).fit(clean, "y").get_binned_variable("x")
+    assert shared.splits == cells.splits and shared.moments == cells.moments
