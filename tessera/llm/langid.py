@@ -172,7 +172,11 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", prefix: str =
 
 
 def language_filter(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are not rejected, columns unchanged."""
+    """The rows of ``docs`` that are not rejected, columns unchanged.
+
+    Null texts, empty ones and those without a letter go, and all go if no row is labelled.  Repeated
+    rows stay or go together.  The model is fitted on the labelled rows of ``docs`` themselves.
+    """
     p = free_prefix(docs.columns, "_langid_")
     return predict(docs, fit(docs), prefix=p).where(~F.col(f"{p}rejected")).select(*docs.columns)
 

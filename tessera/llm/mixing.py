@@ -167,7 +167,9 @@ def take(docs: DataFrame) -> DataFrame:
     """The documents that the mix takes, columns unchanged.
 
     A document is repeated as often as it is taken whole; words that are taken once more make a
-    further row with the text of just those words, joined by spaces.
+    further row with the text of just those words, joined by spaces, and its length as ``n_chars``.
+    Null and empty texts have no words and go.  Null ids and sources are values like others;
+    repeated rows take their parts one by one.  An empty table gives an empty one.
     """
     columns, p = docs.columns, free_prefix(docs.columns, "_mix_")
     size = F.size(words(F.col("text"))).cast("long")

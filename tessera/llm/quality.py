@@ -159,7 +159,12 @@ def judge(counted: DataFrame, lang_col: str = "lang", source_col: str = "source"
 
 
 def quality_filter(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """The rows of ``docs`` that the rules keep, all columns unchanged; repeated rows are judged alike."""
+    """The rows of ``docs`` that the rules keep, all columns unchanged.
+
+    A null text counts as empty and fails the base rules, as every text of fewer than 50 words does.
+    Null languages and sources are groups of their own.  Repeated rows are judged alike and all stay
+    or go.  Values at a fence are inside it.  An empty table gives an empty one.
+    """
     p = free_prefix(docs.columns, "_quality_")
     counted = materialize(with_counts(docs, text_col, p), "quality-counts")
     return judge(counted, lang_col, source_col, p).where(F.col(f"{p}kept")).select(*docs.columns)

@@ -463,3 +463,14 @@ def test_pipeline_stages(spark):
     for _, g in packed.sort_values("offset").groupby("sequence_id"):
         assert g["offset"].tolist() == [0, *np.cumsum(g["length"])[:-1]] and g["length"].sum() <= 1024
     assert packed["length"].sum() > 0.97 * 1024 * packed["sequence_id"].nunique()
+
+
+@pytest.mark.parametrize("which", ["docs", "empty"])
+def test_pipeline_stages_on_hostile_rows(spark, request, which):
+    table = request.getfixturevalue(which)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, table, "")
+        if name != "best_fit_packing":
+            assert out.columns == table.columns
+        table = out
+        assert table.count() >= 0
