@@ -24,7 +24,7 @@ from ..plans import trend as trends
 from ..plans.partition import SCALE, Problem, Solution, forbidden_ends, solve, triangle
 from .encode import by_category, by_interval, check_overrides, override, with_classes
 from .histogram import Histogram, add_moments, cell_edges, histogram, no_moments
-from .rows import Bounds, is_numeric, outlier_bounds, special_labels, y_quantile_bounds
+from .rows import Bounds, is_missing, is_numeric, outlier_bounds, special_labels, y_quantile_bounds
 from .splits import METHODS, mdlp_splits, prebin_splits
 from .tables import BinaryTable, ContinuousTable, MulticlassTable, as_frame, interval_labels, rate_to_woe
 
@@ -284,7 +284,7 @@ class _Binner:
         if self.dtype == "numerical" and self.user_splits is not None:
             edges = [-math.inf, *sorted(map(float, self.user_splits)), math.inf]  # the bins themselves are enough
         elif self.dtype == "numerical":
-            edges = cell_edges(df, x, codes)
+            edges = cell_edges(df.where(~is_missing(F.col(y), is_numeric(df, y))), x, codes)
         self.classes = self._class_list(df, y)
         h = histogram(df, x, y, self.kind, weight, codes, self.classes, self._bounds(df, x, y), edges, self._class_weights(df, y), self.dtype)
         self.model = self.fit_histogram(h)
