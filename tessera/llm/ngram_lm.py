@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import json
 import mmap
-import tempfile
 import uuid
 from collections import defaultdict
 from collections.abc import Iterator
@@ -332,19 +331,26 @@ def _write(path: str, data: bytes) -> None:
 
 
 @lru_cache(maxsize=1024)
-def _open(path: str) -> Trie:
-    """A trie mapped from the shared folder, or from a nameless local copy where that is no file system of this machine."""
-    if local := _local(path):
-        return Trie.from_buffer(np.memmap(local, np.uint8, "r"))
+def _map(path: str) -> Trie:
+    return Trie.from_buffer(np.memmap(path, np.uint8, "r"))
+
+
+@lru_cache(maxsize=4)
+def _fetch(path: str) -> Trie:
+    """A trie read into mapped memory, from a store that is no file system of this machine; few are kept."""
     from pyarrow import fs
 
     system, where = fs.FileSystem.from_uri(path)
-    copy = tempfile.TemporaryFile()  # a cache; any worker can fetch it again
+    memory = mmap.mmap(-1, max(1, system.get_file_info(where).size))
     with system.open_input_stream(where) as f:
         while part := f.read(1 << 24):
-            copy.write(part)
-    copy.flush()
-    return Trie.from_buffer(np.frombuffer(mmap.mmap(copy.fileno(), 0, access=mmap.ACCESS_READ), np.uint8))
+            memory.write(part)
+    return Trie.from_buffer(np.frombuffer(memory, np.uint8))
+
+
+def _open(path: str) -> Trie:
+    local = _local(path)
+    return _map(local) if local else _fetch(path)
 
 
 # ---------------------------------------------------------------- the operator

@@ -305,6 +305,13 @@ def test_language_model_scores(docs, empty):
     assert ngram_lm.score(docs, ngram_lm.train(empty)).count() == docs.count()
 
 
+def test_tries_are_the_same_mapped_and_fetched(docs, monkeypatch):
+    model = ngram_lm.train(docs)
+    path = next(iter(model["paths"].values()))
+    mapped, fetched = ngram_lm._open(path), ngram_lm._fetch(path)
+    assert mapped.facts == fetched.facts and all((mapped.arrays[k] == fetched.arrays[k]).all() for k in mapped.NAMES)
+
+
 # ---------------------------------------------------------------- 7
 
 
