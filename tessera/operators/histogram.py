@@ -173,6 +173,27 @@ def histogram(
     )
 
 
+def refine(h: Histogram, df: DataFrame, x: str, y: str, kind: str, cells: np.ndarray) -> Histogram:
+    """``h`` of the clean values of ``x`` with these cells by value, or by smaller cells if they hold too many values."""
+    v = F.col(x).cast("double")
+    inside = F.lit(False)
+    for a, b in zip(h.low[cells].tolist(), h.high[cells].tolist(), strict=True):
+        inside = inside | v.between(a, b)
+    rows = df.where(inside)
+    edges = cell_edges(rows, x)
+    if edges is not None:
+        # a new cell stays inside an old one, and no cell of several values comes back whole
+        ends = h.low[cells].tolist() + h.high[cells].tolist()
+        edges = sorted({*edges, *ends})
+    new = histogram(rows, x, y, kind, edges=edges)
+    keep = np.setdiff1d(np.arange(len(h.low)), cells)
+    low = np.concatenate([h.low[keep], new.low])
+    order = np.argsort(low, kind="stable")
+    high = np.concatenate([h.high[keep], new.high])[order]
+    moments = {k: np.concatenate([m[keep], new.moments[k]])[order] for k, m in h.moments.items()}
+    return Histogram(True, low[order], high, moments, h.missing, h.special, h.rows, bool((low[order] == high).all()))
+
+
 def histograms(
     df: DataFrame, variables: dict[str, bool], y: str, kind: str, weight: str | None = None, special_codes: dict | None = None, classes: list | None = None,
 ) -> dict[str, Histogram]:

@@ -33,6 +33,16 @@ def quantile_splits(h: Histogram, n_bins: int) -> np.ndarray:
     return np.unique(weighted_quantiles(h.low.astype(float), h.size(), np.linspace(0, 1, n_bins + 1)[1:-1]))
 
 
+def quantile_cells(h: Histogram, n_bins: int) -> np.ndarray:
+    """The cells of several values that hold a value which :func:`quantile_splits` reads."""
+    if not len(h.low):
+        return np.zeros(0, int)
+    upto = np.cumsum(h.size())
+    rank = np.floor(np.linspace(0, 1, n_bins + 1)[1:-1] * (upto[-1] - 1))
+    at = np.unique(np.minimum(np.searchsorted(upto, np.concatenate([rank, rank + 1]), side="right"), len(upto) - 1))
+    return at[h.low[at] < h.high[at]]
+
+
 def _impurity(kind: str, total: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Weight times gini impurity, or sum of squared errors, of rows of sums."""
     w = np.maximum(weight, 1e-300)
@@ -41,11 +51,13 @@ def _impurity(kind: str, total: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return weight - (total**2).sum(axis=-1) / w
 
 
-def cart_splits(h: Histogram, kind: str, max_leaves: int, min_leaf: float) -> np.ndarray:
+def cart_splits(h: Histogram, kind: str, max_leaves: int, min_leaf: float, unsure: set[int] | None = None) -> np.ndarray:
     """Thresholds of a best-first tree on one feature.
 
     Leaves hold at least ``min_leaf`` of the weight.  A threshold lies halfway between
     neighbouring values in single precision, as trees on single-precision features have it.
+    ``unsure`` receives the cells of several values inside which a better split of a node may lie
+    (binary targets only); if there are none, the tree is the one of the values.
     """
     if not len(h.low):
         return np.zeros(0)
@@ -61,6 +73,25 @@ def cart_splits(h: Histogram, kind: str, max_leaves: int, min_leaf: float) -> np
 
     def best(a: int, b: int) -> tuple[float, int]:
         """(gain, first cell of the right side) of the cells a..b-1."""
+        gain, cut = best_edge(a, b)
+        if unsure is not None:
+            unsure.update(better_inside(a, b, gain))
+        return gain, cut
+
+    def better_inside(a: int, b: int, gain: float) -> list[int]:
+        """Cells whose inner splits may gain as much: a gain is convex in the sums at the left, so corners bound it."""
+        c = a + np.flatnonzero(h.low[a:b] < h.high[a:b])
+        left, right = wide[c + 1] - wide[a], wide[b] - wide[c]
+        c = c[(left >= min_leaf - 1e-9) & (right >= min_leaf - 1e-9)]
+        bound = np.full(len(c), -np.inf)
+        for share in ((0, 0), (0, 1), (1, 0), (1, 1)):
+            l = prefix[c] - prefix[a] + sums[c] * np.array(share)  # noqa: E741
+            r = prefix[b] - prefix[a] - l
+            loss = _impurity(kind, l, l.sum(axis=1)) + _impurity(kind, r, r.sum(axis=1))
+            bound = np.maximum(bound, _impurity(kind, prefix[b] - prefix[a], wide[b] - wide[a]) - loss)
+        return c[(bound >= gain - tiny) & (bound > tiny)].tolist()
+
+    def best_edge(a: int, b: int) -> tuple[float, int]:
         at = np.arange(a + 1, b)
         at = at[distinct[at]]
         left, right = wide[at] - wide[a], wide[b] - wide[at]

@@ -18,13 +18,13 @@ from .operators.binning import BinaryBinner, BinningModel, ContinuousBinner, Mul
 from .operators.binning2d import Axis, Binner2D, grid_moments
 from .operators.counterfactual import Counterfactual
 from .operators.encode import by_interval, rate_to_woe, woe_to_rate
-from .operators.histogram import Histogram, cell_edges, histogram
+from .operators.histogram import Histogram, cell_edges, histogram, refine
 from .operators.monitoring import psi_table
 from .operators.piecewise import PiecewiseBinner
 from .operators.process import BinningPipeline
 from .operators.rows import is_outlier, range_bounds, within, y_quantile_bounds, zscore_bounds
 from .operators.scorecard import FixedModel, Scorecard
-from .operators.splits import cart_splits, mdlp_candidates, mdlp_splits, quantile_splits, uniform_splits
+from .operators.splits import cart_splits, mdlp_candidates, mdlp_splits, quantile_cells, quantile_splits, uniform_splits
 from .operators.tables import as_frame, interval_labels
 from .plans.trend import label, trend_changes
 from .streaming.sketch import StreamingBinner, chunk_state, merge_states, progress_band, sketch_quantiles
@@ -72,6 +72,12 @@ def binned(df: DataFrame, x: str, y: str, kind: str) -> Histogram:
     return histogram(df, x, y, kind, edges=cell_edges(df, x))
 
 
+def split_counts(df: DataFrame, x: str, y: str, kind: str, splits) -> tuple[dict[str, np.ndarray], float]:
+    """Moments of the bins at fixed splits, counted by them at every size, and the weight of all rows."""
+    h = histogram(df, x, y, kind, edges=[-np.inf, *splits, np.inf])
+    return h.by_split(splits), h.total
+
+
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         QUERIES[name] = f
@@ -362,7 +368,10 @@ def _(spark, d):
 
 @query("quantile_prebins", "SELECT i AS split_id, round(list_extract(quantile_cont(l_extendedprice, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]), i), 4) AS split FROM lineitem, range(1, 10) t(i) GROUP BY i")
 def _(spark, d):
-    h = binned(lines(spark, d), "l_extendedprice", "y1", "binary")
+    df = lines(spark, d)
+    h = binned(df, "l_extendedprice", "y1", "binary")
+    while len(cells := quantile_cells(h, 10)):
+        h = refine(h, df, "l_extendedprice", "y1", "binary", cells)
     return rounded(spark.createDataFrame([(i + 1, float(s)) for i, s in enumerate(quantile_splits(h, 10))], "split_id long, split double"), 4)
 
 
@@ -378,8 +387,15 @@ def _(spark, d):
 
 @query("cart_prebins")
 def _(spark, d):
-    h = binned(lines(spark, d), "l_extendedprice", "y1", "binary")
-    return spark.createDataFrame([(i, float(s)) for i, s in enumerate(cart_splits(h, "binary", 20, np.ceil(0.05 * h.total)))], "split_id long, split double")
+    df = lines(spark, d)
+    h = binned(df, "l_extendedprice", "y1", "binary")
+    while True:
+        cells: set[int] = set()
+        splits = cart_splits(h, "binary", 20, np.ceil(0.05 * h.total), cells)
+        if not cells:
+            break
+        h = refine(h, df, "l_extendedprice", "y1", "binary", np.array(sorted(cells)))
+    return spark.createDataFrame([(i, float(s)) for i, s in enumerate(splits)], "split_id long, split double")
 
 
 DISCOUNT_H = f"h AS (SELECT l_discount AS v, count(*) AS n, sum(y2) AS e FROM ({L}) GROUP BY 1), k AS (SELECT *, lead(v) OVER o AS nv, lead(n) OVER o AS nn, lead(e) OVER o AS ne FROM h WINDOW o AS (ORDER BY v)), cand AS (SELECT (v + nv) / 2 AS split FROM k WHERE nv IS NOT NULL AND NOT ((e = 0 AND ne = 0) OR (e = n AND ne = nn)))"
@@ -449,11 +465,10 @@ VALLEY = PEAK.replace(">= p.d", "~ p.d").replace("<= p.d", ">= p.d").replace("~
 
 
 def partition(spark, d, y: str = "y1", **options) -> DataFrame:
-    h = binned(lines(spark, d), "l_extendedprice", y, "binary")
+    bins, total = split_counts(lines(spark, d), "l_extendedprice", y, "binary", NINE)
     b = BinaryBinner(user_splits=NINE, **({"monotonic_trend": None} | options))
-    bins = h.by_split(NINE)
     fixed = np.asarray(options["user_splits_fixed"]) if "user_splits_fixed" in options else None
-    solution, _ = b._optimise(bins, h.total, fixed)
+    solution, _ = b._optimise(bins, total, fixed)
     return spark.createDataFrame([(int(solution.value), len(solution.ends), ",".join(map(str, solution.ends)))], "value long, bins long, ends string")
 
 
@@ -482,8 +497,7 @@ add_partition("optimal_gamma", partition_sql("y1", NO_TURN, gamma="ceil(1000000
 t AS (SELECT sum(ne) AS tne, sum(e) AS te FROM g), c AS (SELECT a.i AS first, b.i AS last, sum(g.ne) AS ne, sum(g.e) AS e FROM g a JOIN g b ON a.i <= b.i JOIN g ON g.i BETWEEN a.i AND b.i GROUP BY 1, 2)
 SELECT CAST(first AS BIGINT) AS first, CAST(last AS BIGINT) AS last, CAST(trunc(1000000 * (e / (ne + e))) AS BIGINT) AS rate, CAST(trunc(1000000 * ((e / te - ne / tne) * ln((e / te) / (ne / tne)))) AS BIGINT) AS value FROM c, t""")
 def _(spark, d):
-    h = binned(lines(spark, d), "l_extendedprice", "y1", "binary")
-    p = BinaryBinner(monotonic_trend=None)._problem(h.by_split(NINE), h.total)
+    p = BinaryBinner(monotonic_trend=None)._problem(*split_counts(lines(spark, d), "l_extendedprice", "y1", "binary", NINE))
     rows = [(k, i, int(p.rates[0][i][k]), int(p.value[i][k])) for i in range(9) for k in range(i + 1)]
     return spark.createDataFrame(rows, "first long, last long, rate long, value long")
 
@@ -495,8 +509,7 @@ SELECT CAST(p.k AS BIGINT) AS first_a, CAST(p.i AS BIGINT) AS last_a, CAST(v.k A
 
 
 def conflicts(spark, d, bad) -> DataFrame:
-    h = binned(lines(spark, d), "l_extendedprice", "y1", "binary")
-    p = BinaryBinner(monotonic_trend=None, max_pvalue=0.05)._problem(h.by_split(CLOSE), h.total)
+    p = BinaryBinner(monotonic_trend=None, max_pvalue=0.05)._problem(*split_counts(lines(spark, d), "l_extendedprice", "y1", "binary", CLOSE))
     rows = [(k, i, i + 1, j) for i in range(8) for k in range(i + 1) for j in range(i + 1, 9) if bad(p, k, i, j)]
     return spark.createDataFrame(rows, "first_a long, last_a long, first_b long, last_b long")
 
@@ -555,7 +568,7 @@ SELECT CAST(count(*) FILTER (c1) AS BIGINT) AS changes_y1, CAST(count(*) FILTER
 def _(spark, d):
     out = []
     for y in ("y1", "y2"):
-        b = binned(lines(spark, d), "l_extendedprice", y, "binary").by_split(NINE)
+        b, _ = split_counts(lines(spark, d), "l_extendedprice", y, "binary", NINE)
         out.append(trend_changes(b["n1"] / (b["n0"] + b["n1"])))
     return spark.createDataFrame([tuple(out)], "changes_y1 long, changes_y2 long")
 
@@ -567,7 +580,7 @@ CASE WHEN bool_and(CASE WHEN i <= top THEN coalesce(d2, 0) >= 0 ELSE d2 <= 0 END
 def _(spark, d):
     out = []
     for y in ("y1", "y2"):
-        b = binned(lines(spark, d), "l_extendedprice", y, "binary").by_split(NINE)
+        b, _ = split_counts(lines(spark, d), "l_extendedprice", y, "binary", NINE)
         out.append(label(b["n1"] / (b["n0"] + b["n1"])).split(" (")[0])
     return spark.createDataFrame([tuple(out)], "trend_y1 string, trend_y2 string")
 
