@@ -4,7 +4,7 @@ Byte bigrams and trigrams of the lower-cased letters are hashed into a vector,
 weighted by TF-IDF and normalised.  Each language has several centroids from
 spherical k-means; a text gets the language of the centroid with the largest
 cosine.  A text whose cosine lies far below what training texts of its length
-reach is marked as rejected.
+reach is marked as rejected; so are unseen languages and random letters.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ PER_LANGUAGE = 300  # training texts of a language, about: the bound of the samp
 CENTROIDS = 4  # of a language
 REJECT = 0.5  # of the lowest cosine that training texts of that length have
 SLICE = 512  # texts that are classified together
+ENOUGH = 64  # training texts of a length for a floor of its own
 LENGTHS = 24  # classes of length: powers of two of the n-grams
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
@@ -100,16 +101,17 @@ def train(languages: list[str], counts: np.ndarray, per_language: int = CENTROID
     groups = [(x, _clusters(v[labels == x], per_language)) for x in sorted(set(languages))]
     model.languages = [x for x, c in groups for _ in c]
     model.centroids = np.concatenate([c for _, c in groups]).astype(np.float32)
-    # a text's own language, over lengths from the shortest; where there are none, half of the next longer class
+    # a text's own language; a shorter text needs no more than longer ones.  Classes with few training
+    # texts count with the nearest that has enough; below all of these a floor
+    # falls as a cosine does with the root of the n-grams
     own = np.array([max((v[i] @ c.T).max() for x, c in groups if x == labels[i]) for i in range(len(v))])
     classes = _length_class(counts)
-    seen = [own[classes == k].min() * REJECT if (classes == k).any() else np.nan for k in range(LENGTHS)]
-    above = np.nan
-    for k in reversed(range(LENGTHS)):
-        if np.isnan(seen[k]):
-            seen[k] = above / 2 if not np.isnan(above) else np.nanmin(seen)
-        above = seen[k] = min(seen[k], above) if not np.isnan(above) else seen[k]
-    model.floors = np.array(seen)
+    sizes = np.bincount(classes, minlength=LENGTHS)
+    seen = np.flatnonzero(sizes >= min(ENOUGH, sizes.max()))
+    near = seen[np.abs(np.arange(LENGTHS)[:, None] - seen).argmin(axis=1)]
+    least = np.array([own[near[classes] == k].min() * REJECT for k in seen])
+    least = np.minimum.accumulate(least[::-1])[::-1]
+    model.floors = least[np.searchsorted(seen, near)] * 0.5 ** (np.maximum(seen[0] - np.arange(LENGTHS), 0) / 2)
     return model
 
 

@@ -181,6 +181,28 @@ def test_language_id_learns_and_rejects(spark, docs, empty):
     assert (unlabelled["lang_pred"] == "und").all()
 
 
+def test_unseen_languages_and_gibberish_are_rejected(spark):
+    r = random.Random(1)
+    letters = lambda n: " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 10))) for _ in range(n))
+    polish = "W zeszłym roku moja siostra przeprowadziła się do małego miasteczka nad morzem, gdzie znalazła pracę w szkole. Dzieci bardzo ją lubią, a wieczorami spaceruje po plaży i czyta książki. "
+    russian = "В прошлом году моя сестра переехала в маленький город у моря, где нашла работу в школе. "
+    chinese = "去年我姐姐搬到了海边的一个小镇，在那里的一所学校找到了工作。"
+    odd = [polish, polish * 5, russian, russian * 9, chinese, chinese * 9, letters(40), letters(300)]
+    data = spark.read.parquet(f"{DATA}/sf0.1/documents.parquet")
+    model = langid.fit(data)
+    assert [rejected for _, _, rejected in model.predict(odd)] == [True] * len(odd)
+    assert langid.predict(data.where("lang is not null"), model).where("rejected").count() == 0
+
+
+def test_empty_length_classes_leave_the_others_their_floors():
+    words = np.random.default_rng(0).integers(97, 123, (40, 5), dtype=np.uint8)
+    texts = [" ".join(bytes(w).decode() for w in words[np.random.default_rng(i).integers(0, 40, 100)]) for i in range(80)]
+    counts = np.stack([langid.ngram_counts(t) for t in texts])
+    floors = langid.train(["xx"] * 80, counts).floors
+    populated = int(langid._length_class(counts)[0])
+    assert floors[populated] > 0.3 and (floors[populated:] == floors[populated]).all() and (np.diff(floors[: populated + 1]) > 0).all()
+
+
 # ---------------------------------------------------------------- 5
 
 
