@@ -101,6 +101,25 @@ def test_token_ids_are_those_of_the_tokenizers_library():
         assert slow.encode(s, add_special_tokens=False).ids == fast.encode_ordinary(s)
 
 
+def test_special_tokens_in_a_text_have_the_ids_of_the_library(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    encode = packing.encode_text(path)
+    assert encode("a<|endoftext|>b") == [64, 50256, 65]
+    r = random.Random(3)
+    parts = [" ", "\n", "a", "B", "é", "1", "!", "'s", "<|endoftext|>", "<|endoftext", "|>", "<|", "\xa0", "日本", "\r\n"]
+    for _ in range(2000):
+        s = "".join(r.choice(parts) for _ in range(r.randint(0, 40)))
+        assert library.encode(s, add_special_tokens=False).ids == encode(s)
+    text = "one <|endoftext|> two"
+    row = packing.token_pieces(spark.createDataFrame([(1, text)], "doc_id long, text string"), path).first()
+    ids = [*library.encode(text, add_special_tokens=False).ids, 2]
+    assert (row["length"], row["ids_crc32"]) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+
+
 def test_packing_is_complete_and_gapless(docs, empty):
     import public_tokenizers
 
