@@ -5,8 +5,9 @@ positions of the k-grams in license templates.  A match votes for its diagonal,
 the document position less the template position: the words of a copied passage
 all vote for one diagonal.  Votes are summed by diagonal, neighbouring diagonals
 of a template are merged (words put in or left out move a passage to the next
-ones), and the spans that result are verified: k-grams word by word, and the
-span's share of the template and its length.
+ones), and runs that follow each other in document and template are chained over
+gaps of up to the template's length.  The spans that result are verified: k-grams
+word by word, and the span's share of the template and its length.
 
 Short phrases are templates with k = 2; a diagonal with all its votes is a place
 where the phrase's words stand consecutively.
@@ -96,21 +97,54 @@ def votes(docs: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame
     return hit.where((pos >= 0) & same).select(*keys, "template", "label", "phrase", "grams", "k", "t_pos", pos.cast("long").alias("pos")).distinct()
 
 
+def _chains(runs: Column, length: Column, k: Column) -> Column:
+    """The chains of most votes among a document's runs of a template, in order of ``first``: one for each first run.
+
+    A run follows another if its k-grams stand after the other's in document and template, with a gap
+    of at most the template's length, and if the chain stays shorter than twice the template.
+    """
+
+    def step(done: Column, x: Column) -> Column:
+        follows = lambda c: (
+            (c["last"] - k + 1 < x["first"]) & (c["t_last"] < x["t_first"]) & (x["first"] - c["last"] <= length) & (x["last"] - c["first"] < 2 * length)
+        )
+        before = F.array_max(F.transform(F.filter(done, follows), lambda c: F.struct(c["votes"].alias("votes"), c["first"].alias("first"), c["t_first"].alias("t_first"))))
+        longer = F.struct(
+            F.coalesce(before["first"], x["first"]).alias("first"), x["last"].alias("last"), F.coalesce(before["t_first"], x["t_first"]).alias("t_first"),
+            x["t_last"].alias("t_last"), (x["votes"] + F.coalesce(before["votes"], F.lit(0).cast("long"))).alias("votes"),
+        )
+        return F.concat(done, F.array(longer))
+
+    ends = F.aggregate(F.slice(runs, 2, F.size(runs)), F.slice(runs, 1, 1), step)
+    all_ends = F.when(F.size(runs) > 1, ends).otherwise(runs)
+    return let(all_ends, lambda c: F.filter(c, lambda x: ~F.exists(c, lambda y: (y["first"] == x["first"]) & (y["votes"] > x["votes"]))))
+
+
 def spans(found: DataFrame, keys: list[str]) -> DataFrame:
     """Verified spans: ``keys, template, label, phrase, first, last, share``, words from 0, ``last`` included."""
     diagonals = (
         found.groupBy(*keys, "template", "label", "phrase", "grams", "k", (F.col("pos") - F.col("t_pos")).alias("diagonal"))
-        .agg(F.count("*").alias("votes"), F.min("pos").alias("first"), (F.max("pos") + F.max("k") - 1).alias("last"))
+        .agg(
+            F.count("*").alias("votes"), F.min("pos").alias("first"), (F.max("pos") + F.max("k") - 1).alias("last"),
+            F.min("t_pos").alias("t_first"), F.max("t_pos").alias("t_last"),
+        )
     )
     places = diagonals.where(F.col("phrase") & (F.col("votes") == F.col("grams")))
     by = Window.partitionBy(*keys, "template").orderBy("diagonal")
     new = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(by) > SHIFT, F.lit(True)).cast("int")
-    merged = (
+    runs = (
         diagonals.where(~F.col("phrase"))
         .withColumn("_new", new)
         .withColumn("_run", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
         .groupBy(*keys, "template", "label", "phrase", "grams", "k", "_run")
-        .agg(F.sum("votes").alias("votes"), F.min("first").alias("first"), F.max("last").alias("last"))
+        .agg(*[f(c).alias(c) for f, c in ((F.min, "first"), (F.max, "last"), (F.min, "t_first"), (F.max, "t_last"), (F.sum, "votes"))])
+    )
+    run = F.struct(*[F.col(c).cast("long").alias(c) for c in ("first", "last", "t_first", "t_last", "votes")])
+    merged = (
+        runs.groupBy(*keys, "template", "label", "phrase", "grams", "k")
+        .agg(F.array_sort(F.collect_list(run)).alias("_runs"))
+        .withColumn("_chains", _chains(F.col("_runs"), F.col("grams") + F.col("k"), F.col("k")))
+        .select(*keys, "template", "label", "phrase", "grams", "k", F.inline("_chains"))
         .withColumn("share", F.least(F.lit(1.0), F.col("votes") / F.col("grams")))
         .where((F.col("share") >= MIN_SHARE) & (F.col("last") - F.col("first") < 2 * (F.col("grams") + F.col("k"))))
     )

@@ -181,6 +181,17 @@ def test_licenses_with_changed_words_are_found(spark):
     assert got["labels"].tolist() == [label, "", ""] and 0.6 < got["score"][1] < 1
 
 
+def test_licenses_with_a_passage_put_in_or_left_out_are_found(spark):
+    label, text = licenses.NOTICES[0]
+    w = text.split()
+    half, other = w[: len(w) // 2], ["other"]
+    changed = [half + other * n + w[len(half) :] for n in (6, 7, 10, 40)] + [w[:38] + w[48:], w[:25] + other * 9 + w[25:55] + other * 12 + w[55:]]
+    apart = [half + other * 300 + w[len(half) :], w[len(half) :] + other * 10 + half]
+    rows = [(i, " ".join(["word"] * 5 + x)) for i, x in enumerate([*changed, *apart])]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).toPandas().set_index("doc_id").sort_index()
+    assert got["labels"].tolist() == [label] * len(changed) + [""] * len(apart) and (got["score"][: len(changed)] > 0.8).all()
+
+
 # ---------------------------------------------------------------- 4
 
 
