@@ -1,15 +1,17 @@
 """Language-model scoring with an n-gram trie of Elias-Fano levels.
 
-Training counts words and bigrams of all training documents.  Each task sums the
+Training counts words, bigrams and, at order 3, trigrams of all training documents.  Each task sums the
 counts of some megabytes of text and deals them to shards by the first word, as
 packed arrays; a shard's task merges them and writes a trie file to the shared
 folder.  The upper level holds the sorted 64-bit word hashes as an Elias-Fano
 sequence, with counts.  In the lower level the high bits, coded in unary, are
 the monotone pointers from a word to its successors, and the low bits are the
 40-bit hashes of the successors, sorted within their word: a bigram is found by
-a search among the successors of its context.  Bigrams seen once are pruned;
-the others have a probability with absolute discount, quantised to 16 bits, and
-each context has the mass that is left for shorter contexts.
+a search among the successors of its context.  The third level, of trigrams, has
+the places of bigrams as its pointers.  Bigrams seen less often than ``min_count``
+are pruned, which leaves none out at 1; the others have a probability with
+absolute discount, quantised to 16 bits, and each context has the mass that is
+left for shorter contexts.
 
 Scoring maps the files into memory, looks the distinct bigrams of some megabytes
 of text up, and sums log10 probabilities by document.
@@ -114,27 +116,42 @@ def _unpack(low: np.ndarray) -> np.ndarray:
     return wide.view("<u8").ravel()
 
 
-def _count_rows(shards: int):
+def _count_rows(shards: int, order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, chunk in _chunks(batches, 0):
+        for _, chunk in _chunks(batches, 0, CHUNK if order == 2 else CHUNK // 2):
             hashes, tokens, before, starts = chunk.arrays()
             counts = np.bincount(tokens, minlength=len(hashes))
             counts[chunk.start] = len(starts)  # as a context
             n = np.int64(len(hashes))
-            pairs, pair_counts = np.unique(before * n + tokens, return_counts=True)
+            triples, triple_counts = np.zeros((2, 0), np.int64)
+            if order == 2:
+                pairs, pair_counts = np.unique(before * n + tokens, return_counts=True)
+            else:
+                pairs, which, pair_counts = np.unique(before * n + tokens, return_inverse=True, return_counts=True)
+                triples, triple_counts = np.unique(_triples(which, tokens, starts, n), return_counts=True)
+                del which
             context, child = hashes[pairs // n], hashes[pairs % n]
             word_shard, pair_shard = _shard(hashes, shards), _shard(context, shards)
             word_order = np.lexsort((hashes, word_shard))
             pair_order = np.lexsort((child, context, pair_shard))
             word_cut = np.searchsorted(word_shard[word_order], np.arange(shards + 1))
             pair_cut = np.searchsorted(pair_shard[pair_order], np.arange(shards + 1))
+            rank = np.empty(len(pairs), np.int64)
+            rank[pair_order] = np.arange(len(pairs))
+            above, third = rank[triples // n], hashes[triples % n]  # triples stand in the order of their pairs
+            triple_order = np.argsort(above, kind="stable")
+            triple_sizes = np.bincount(above, minlength=len(pairs))
+            triple_cut = np.concatenate([[0], np.cumsum(triple_sizes)])[pair_cut]
             out_shard, blobs = [], []
             for s in range(shards):
                 w, p = word_order[word_cut[s] : word_cut[s + 1]], pair_order[pair_cut[s] : pair_cut[s + 1]]
                 if len(w) or len(p):
                     heads, sizes = np.unique(context[p], return_counts=True)
+                    t = triple_order[triple_cut[s] : triple_cut[s + 1]]
                     arrays = [hashes[w].astype("<u8"), counts[w].astype("<u4"), heads.astype("<u8"), sizes.astype("<u4"), _pack_children(child[p]), pair_counts[p].astype("<u4")]
-                    head = np.array([len(w), len(heads), len(p)], "<u8")
+                    if order == 3:
+                        arrays += [triple_sizes[pair_cut[s] : pair_cut[s + 1]].astype("<u4"), _pack_children(third[t]), triple_counts[t].astype("<u4")]
+                    head = np.array([len(w), len(heads), len(p), len(p) * (order == 3), len(t)], "<u8")
                     blobs.append(pa.compress(b"".join(x.tobytes() for x in [head, *arrays]), codec="zstd", asbytes=True))
                     out_shard.append(s)
                     sizes_raw = sum(x.nbytes for x in arrays) + head.nbytes
@@ -144,18 +161,30 @@ def _count_rows(shards: int):
     return run
 
 
+def _triples(which: np.ndarray, tokens: np.ndarray, starts: np.ndarray, n: np.int64) -> np.ndarray:
+    """The number of the pair before each token, and the token, as one number; first tokens of texts have no pair."""
+    inner = np.ones(len(tokens), bool)
+    inner[starts] = False
+    at = np.flatnonzero(inner)
+    return which[at - 1] * n + tokens[at]
+
+
 def _shard(hashes: np.ndarray, shards: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 
 def _read_counts(blob: bytes) -> list[np.ndarray]:
     raw = pa.decompress(blob[8:], decompressed_size=int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
-    words, heads, pairs = np.frombuffer(raw, "<u8", 3).astype(int)
-    out, at = [], 24
-    for kind, n in (("<u8", words), ("<u4", words), ("<u8", heads), ("<u4", heads), (np.uint8, pairs * CHILD_BYTES), ("<u4", pairs)):
-        out.append(np.frombuffer(raw, kind, n, at))
+    words, heads, pairs, above, triples = np.frombuffer(raw, "<u8", 5).astype(int)
+    out, at = [], 40
+    for kind, n in (
+        ("<u8", words), ("<u4", words), ("<u8", heads), ("<u4", heads), (np.uint8, pairs * CHILD_BYTES), ("<u4", pairs),
+        ("<u4", above), (np.uint8, triples * CHILD_BYTES), ("<u4", triples),
+    ):
+        out.append(np.frombuffer(raw, kind, n, at) if n else np.zeros(0, kind))
         at += out[-1].nbytes
-    out[4] = _unpack(out[4].reshape(-1, CHILD_BYTES))
+    for i in (4, 7):
+        out[i] = _unpack(out[i].reshape(-1, CHILD_BYTES))
     return out
 
 
@@ -235,24 +264,40 @@ def _decode(codes: np.ndarray) -> np.ndarray:
 
 
 class Trie:
-    """Two levels of a shard; arrays may be mapped from a file."""
+    """Two or three levels of a shard; arrays may be mapped from a file."""
 
-    NAMES = ("word_low", "word_bits", "word_zeros", "counts", "rest", "pair_low", "pair_bits", "pair_zeros", "probability")
+    NAMES = (
+        "word_low", "word_bits", "word_zeros", "counts", "rest", "pair_low", "pair_bits", "pair_zeros", "probability",
+        "pair_rest", "triple_low", "triple_bits", "triple_zeros", "triple_probability",
+    )
 
     def __init__(self, facts: dict, arrays: dict[str, np.ndarray]) -> None:
         self.facts, self.arrays = facts, arrays
         self.words = EliasFano(arrays["word_low"].reshape(-1, facts["word_bytes"]), arrays["word_bits"], arrays["word_zeros"])
         self.pairs = EliasFano(arrays["pair_low"].reshape(-1, CHILD_BYTES), arrays["pair_bits"], arrays["pair_zeros"])
+        self.triples = EliasFano(arrays["triple_low"].reshape(-1, CHILD_BYTES), arrays["triple_bits"], arrays["triple_zeros"])
 
     @classmethod
-    def build(cls, blobs: list[bytes]) -> Trie:
+    def build(cls, blobs: list[bytes], order: int = 2, min_count: int = MIN_COUNT) -> Trie:
         parts = [_read_counts(b) for b in blobs]
         words, counts = _sum_by(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
-        keys = np.concatenate([(np.repeat(np.searchsorted(words, p[2]).astype(np.uint64), p[3]) << np.uint64(8 * CHILD_BYTES)) | p[4] for p in parts])
-        pairs, pair_counts = _sum_by(keys, np.concatenate([p[5] for p in parts]))
+        by_part = [(np.repeat(np.searchsorted(words, p[2]).astype(np.uint64), p[3]) << np.uint64(8 * CHILD_BYTES)) | p[4] for p in parts]
+        pairs, pair_counts = _sum_by(np.concatenate(by_part), np.concatenate([p[5] for p in parts]))
+        triples, triple_counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        if order == 3:
+            keys = [(np.repeat(np.searchsorted(pairs, keys).astype(np.uint64), p[6]) << np.uint64(8 * CHILD_BYTES)) | p[7] for keys, p in zip(by_part, parts, strict=True)]
+            triples, triple_counts = _sum_by(np.concatenate(keys), np.concatenate([p[8] for p in parts]))
+            del keys
+        del by_part
         real = (words != START_HASH)
-        facts = {"tokens": int(counts[real].sum()), "vocabulary": int(real.sum()), "pairs": len(pairs), "words": len(words)}
-        kept = pair_counts >= MIN_COUNT
+        facts = {"tokens": int(counts[real].sum()), "vocabulary": int(real.sum()), "pairs": len(pairs), "words": len(words), "triples": len(triples)}
+        # a pair is followed by a word whenever it is no end, so its count is that of the context
+        pair_place = (triples >> np.uint64(8 * CHILD_BYTES)).astype(np.int64)
+        triple_codes = _codes((triple_counts - DISCOUNT) / pair_counts[pair_place])
+        pair_rest = _codes(np.maximum(1e-12, 1.0 - np.bincount(pair_place, _decode(triple_codes), minlength=len(pairs))))[: len(pairs) if order == 3 else 0]
+        third = np.ascontiguousarray(triples.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :CHILD_BYTES])
+        lowest = EliasFano.build(pair_place, third, len(pairs) if order == 3 else 0)
+        kept = pair_counts >= min_count
         pairs, pair_counts = pairs[kept], pair_counts[kept]
         context = (pairs >> np.uint64(8 * CHILD_BYTES)).astype(np.int64)
         codes = _codes((pair_counts - DISCOUNT) / counts[context])
@@ -265,7 +310,7 @@ class Trie:
         child = np.ascontiguousarray(pairs.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :CHILD_BYTES])
         lower = EliasFano.build(context, child, len(words))
         facts |= {"word_bytes": word_bytes, "kept": len(pairs)}
-        arrays = [level.low, level.bits, level.zeros, counts.astype("<u8"), rest, lower.low, lower.bits, lower.zeros, codes]
+        arrays = [level.low, level.bits, level.zeros, counts.astype("<u8"), rest, lower.low, lower.bits, lower.zeros, codes, pair_rest, lowest.low, lowest.bits, lowest.zeros, triple_codes]
         return cls(facts, dict(zip(cls.NAMES, arrays, strict=True)))
 
     def to_bytes(self) -> bytes:
@@ -293,14 +338,25 @@ class Trie:
         shift = np.uint64(8 * self.facts["word_bytes"])
         return self.words.find((words >> shift).astype(np.int64), words & ((np.uint64(1) << shift) - np.uint64(1)))
 
-    def conditional(self, place: np.ndarray, children: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(probability of a child after the word at ``place``, mass left for shorter contexts); (0, 1) after an unknown word."""
-        p, rest = np.zeros(len(place)), np.ones(len(place))
+    def conditional(self, place: np.ndarray, children: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(probability of a child after the word at ``place``, mass left for shorter contexts, place of the pair); (0, 1, -1) after an unknown word."""
+        p, rest, found = np.zeros(len(place)), np.ones(len(place)), np.full(len(place), -1, np.int64)
         known = np.flatnonzero(place >= 0)
         rest[known] = _decode(self.arrays["rest"][place[known]])
         at = self.pairs.find(place[known], children[known] >> CHILD_SHIFT)
         hit = at >= 0
         p[known[hit]] = _decode(self.arrays["probability"][at[hit]])
+        found[known] = at
+        return p, rest, found
+
+    def after_pair(self, place: np.ndarray, children: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(probability of a child after the pair at ``place``, mass left for shorter contexts); (0, 1) after an unknown pair."""
+        p, rest = np.zeros(len(place)), np.ones(len(place))
+        known = np.flatnonzero(place >= 0)
+        rest[known] = _decode(self.arrays["pair_rest"][place[known]])
+        at = self.triples.find(place[known], children[known] >> CHILD_SHIFT)
+        hit = at >= 0
+        p[known[hit]] = _decode(self.arrays["triple_probability"][at[hit]])
         return p, rest
 
 
@@ -356,21 +412,23 @@ def _open(path: str) -> Trie:
 # ---------------------------------------------------------------- the operator
 
 
-def train(texts: DataFrame, text_col: str = "text") -> dict:
-    """A model of all ``texts``: paths of the shards' tries, and the sums N and V.
+def train(texts: DataFrame, text_col: str = "text", order: int = 2, min_count: int = MIN_COUNT) -> dict:
+    """A model of all ``texts``, of bigrams or trigrams: paths of the shards' tries, and the sums N and V.
 
     What reaches the driver is one row for each shard.  Null texts are empty; no text at all
     gives a model of no word.
     """
+    if order not in (2, 3) or order == 3 and min_count != 1:
+        raise ValueError("order is 2 or 3, and trigrams need min_count 1")
     spark = texts.sparkSession
     size = texts.agg(F.sum(F.octet_length(F.coalesce(text_col, F.lit("")))).alias("n")).first()["n"] or 0
-    shards = int(min(MAX_SHARDS, max(1, -(-size // SHARD_TEXT))))
+    shards = int(min(MAX_SHARDS, max(1, -(-size // (SHARD_TEXT if order == 2 else SHARD_TEXT // 2)))))
     folder = new_path(spark, "tries")
-    counts = texts.select(text_col).mapInArrow(_count_rows(shards), "shard int, counts binary")
+    counts = texts.select(text_col).mapInArrow(_count_rows(shards, order), "shard int, counts binary")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(shard: int, blobs: list[bytes]) -> pa.RecordBatch:
-            trie = Trie.build(blobs)
+            trie = Trie.build(blobs, order, min_count)
             path = f"{folder}/{shard:05d}-{uuid.uuid4().hex}.trie"
             _write(path, trie.to_bytes())
             f = trie.facts
@@ -392,6 +450,7 @@ def train(texts: DataFrame, text_col: str = "text") -> dict:
     built = materialize(dealt.mapInArrow(build, "shard int, path string, tokens long, vocabulary long, pairs long, kept long"), "trie-shards")
     rows = built.collect()
     return {
+        "order": order,
         "shards": shards,
         "paths": {r["shard"]: r["path"] for r in rows},
         "tokens": sum(r["tokens"] for r in rows),
@@ -422,16 +481,24 @@ def score_chunk(tokens: Tokens, model: dict) -> dict[str, np.ndarray]:
     n = np.int64(len(hashes))
     pairs, which = np.unique(before * n + ids, return_inverse=True)
     context, child = pairs // n, pairs % n
-    p, rest = np.zeros(len(pairs)), np.ones(len(pairs))
+    p, rest, found = np.zeros(len(pairs)), np.ones(len(pairs)), np.full(len(pairs), -1, np.int64)
     for at, trie in _by_shard(hashes[context], model):
-        p[at], rest[at] = trie.conditional(place[context[at]], hashes[child[at]])
-    logs = np.log10(p + rest * unigram[child])
+        p[at], rest[at], found[at] = trie.conditional(place[context[at]], hashes[child[at]])
+    by_token = (p + rest * unigram[child])[which]
+    if model["order"] == 3:
+        triples, which_triple = np.unique(_triples(which, ids, starts, n), return_inverse=True)
+        above, third = triples // n, triples % n
+        p, rest = np.zeros(len(triples)), np.ones(len(triples))
+        for at, trie in _by_shard(hashes[context[above]], model):
+            p[at], rest[at] = trie.after_pair(found[above[at]], hashes[third[at]])
+        inner = np.setdiff1d(np.arange(len(ids)), starts, assume_unique=True)
+        by_token[inner] = p[which_triple] + rest[which_triple] * by_token[inner]
     total = lambda x: np.add.reduceat(x, starts)
     return {
         "n_tokens": total(np.ones(len(ids), np.int64)),
         "n_known": total((counts[ids] > 0).astype(np.int64)),
         "base_score": total(np.log10(unigram)[ids]),
-        "score": total(logs[which]),
+        "score": total(np.log10(by_token)),
     }
 
 
@@ -442,7 +509,7 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
     names = ["n_tokens", "n_known", "base_score", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, tokens in _chunks(batches, 1, CHUNK // 2):
+        for batch, tokens in _chunks(batches, 1, CHUNK // 2 if shared.value["order"] == 2 else CHUNK // 4):
             found = score_chunk(tokens, shared.value)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(found[c]) for c in names)], [id_col, *names])
 
@@ -455,8 +522,8 @@ def held_out(id_col: str = "doc_id"):
 
 
 def op6_query(spark, sf_dir: str) -> DataFrame:
-    """Scores of every row of ``documents`` by a model of those that are not held out."""
+    """Scores of every row of ``documents`` by a trigram model of all n-grams of those that are not held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    model = train(docs.where(~held_out()))
+    model = train(docs.where(~held_out()), order=3, min_count=1)
     scored = score(docs, model).withColumn("train_tokens", F.lit(model["tokens"]).cast("long"))
     return scored.select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

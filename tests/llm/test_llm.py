@@ -357,6 +357,42 @@ def test_language_model_scores(docs, empty):
     assert ngram_lm.score(docs, ngram_lm.train(empty)).count() == docs.count()
 
 
+def test_trigrams_are_all_kept(docs, empty, monkeypatch):
+    monkeypatch.setattr(ngram_lm, "SHARD_TEXT", 64 << 10)
+    got = ngram_lm.score(docs, ngram_lm.train(docs.where(~ngram_lm.held_out()), order=3, min_count=1)).toPandas()
+    tokens = lambda t: ("".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")).encode().split() + [b"\n"]
+    learn = [tokens(t) for i, t in texts() if i is None or zlib.crc32(str(i).encode()) % 5 != 1]
+    n, c = sum(map(len, learn)), Counter(w for d in learn for w in d)
+    uni = lambda w: (c[w] + 0.5) / (n + 0.5 * (len(c) + 1))
+    seen = [Counter(), Counter()]
+    for d in learn:
+        d = [b"\t", *d]
+        for k in (0, 1):
+            seen[k].update(tuple(d[i - k - 1 : i + 1]) for i in range(k + 1, len(d)))
+    total, kinds = Counter(), Counter()
+    for level in seen:
+        for gram, m in level.items():
+            total[gram[:-1]] += m
+            kinds[gram[:-1]] += 1
+
+    def p(context, w):
+        if not context:
+            return uni(w)
+        if not total[context]:
+            return p(context[1:], w)
+        m = seen[len(context) - 1][(*context, w)]
+        return (max(m - 0.75, 0) + 0.75 * kinds[context] * p(context[1:], w)) / total[context]
+
+    want = []
+    for i, t in texts():
+        d = [b"\t", *tokens(t)]
+        want.append((-1 if i is None else i, len(d) - 1, sum(np.log10(p(tuple(d[max(0, k - 2) : k]), d[k])) for k in range(1, len(d)))))
+    got = sorted((-1 if pd.isna(r.doc_id) else int(r.doc_id), r.n_tokens, r.score) for r in got.itertuples())
+    for a, b in zip(got, sorted(want), strict=True):
+        assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], rel=2e-3, abs=0.01)
+    assert ngram_lm.score(docs, ngram_lm.train(empty, order=3, min_count=1)).count() == docs.count()
+
+
 def test_tries_are_the_same_mapped_and_fetched(docs, monkeypatch):
     model = ngram_lm.train(docs)
     path = next(iter(model["paths"].values()))
