@@ -3,7 +3,9 @@
 A page is cut into blocks at block-level tags.  Blocks inside elements that hold no
 article text, by tag, role or name, are out.  The first pass decides the others by
 the density of stop words, length and link density; the second gives short and
-undecided blocks the label of their nearest decided neighbours.
+undecided blocks the label of their nearest decided neighbours.  On pages without
+an article element, scripts and languages without listed stop words are judged by
+length and link density alone.
 """
 
 from __future__ import annotations
@@ -52,6 +54,8 @@ FEW, MANY = 0.1, 0.25  # densities of stop words
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 NAMED = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 WORDS = re.compile(r"[^\W\d_]+")
+LATIN = re.compile(r"[A-Za-z\u00aa-\u024f\u1e00-\u1eff]+")
+DENSE = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")  # scripts without spaces
 GOOD, BAD, UNDECIDED = 1, 0, -1
 
 
@@ -168,6 +172,35 @@ def first_pass(block: tuple[str, int, bool, bool, str]) -> int:
     return BAD if len(text) < LONG or density < FEW / 2 else UNDECIDED
 
 
+def _length(text: str) -> int:
+    """Characters, where one of a script without spaces counts as three."""
+    return len(text) + 2 * len(DENSE.findall(text))
+
+
+def _other_script(text: str) -> bool:
+    """Whether most letters are of a script that the stop words are not written in."""
+    words = WORDS.findall(text)
+    return 2 * sum(len(LATIN.sub("", w)) for w in words) > sum(map(len, words))
+
+
+def unlisted(found: list[tuple[str, int, bool, bool, str]], labels: list[int]) -> list[int]:
+    """``labels`` of a page without an article element, with long blocks that stop words can't judge as good.
+
+    These are blocks of another script, and all blocks if those that are good by their stop words hold
+    less than half of the page's long text.
+    """
+    if any(b[3] for b in found):
+        return labels
+    long = [i for i, b in enumerate(found) if b[4] not in HEADINGS and _length(b[0]) >= SHORT and not b[2] and b[1] <= LINKS * len(b[0])]
+    size = lambda which: sum(_length(found[i][0]) for i in which)
+    no_language = 2 * size(i for i in long if labels[i] == GOOD) < size(long)
+    out = list(labels)
+    for i in long:
+        if labels[i] != GOOD and (no_language or _other_script(found[i][0])):
+            out[i] = GOOD
+    return out
+
+
 def second_pass(labels: list[int], sizes: list[int], inside: list[bool]) -> list[bool]:
     """Undecided blocks get the label of their decided neighbours; where those differ, that of the nearer.
 
@@ -210,7 +243,7 @@ def second_pass(labels: list[int], sizes: list[int], inside: list[bool]) -> list
 def main_text(html: str | None) -> str:
     """The article's blocks, one to a line; empty for null and for pages without one."""
     found = [b for b in blocks(html or "") if not b[2]]
-    kept = second_pass([first_pass(b) for b in found], [len(b[0]) for b in found], [b[3] for b in found])
+    kept = second_pass(unlisted(found, [first_pass(b) for b in found]), [len(b[0]) for b in found], [b[3] for b in found])
     return "\n".join(b[0] for b, k in zip(found, kept, strict=True) if k)
 
 

@@ -467,6 +467,24 @@ def test_pages_of_the_tables_give_their_articles(spark):
     assert html.extract(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "В прошлом году моя сестра переехала в маленький город у моря, где нашла работу в школе. Дети её очень любят.",
+        "去年我姐姐搬到了海边的一个小镇，在那里的一所学校找到了工作，孩子们都很喜欢她。",
+        "انتقلت أختي في العام الماضي إلى بلدة صغيرة على شاطئ البحر حيث وجدت عملاً في مدرسة، والأطفال يحبونها كثيراً.",
+        "W zeszłym roku moja siostra przeprowadziła się do małego miasteczka nad morzem, gdzie znalazła pracę w szkole.",
+        "Geçen yıl kız kardeşim deniz kenarında küçük bir kasabaya taşındı ve orada bir okulda iş buldu, çocuklar onu seviyor.",
+    ],
+)
+def test_pages_without_an_article_element_keep_unlisted_languages(text):
+    links = "".join(f"<a href=/{i}>{text[:30]}</a> " for i in range(5))
+    page = f"<html><body><nav><p>{text}</p></nav><div><h1>{text[:20]}</h1><p>{text}</p><p>{text}!</p></div><div>{links}</div><footer><p>{text}</p></footer></body></html>"
+    assert html.main_text(page).split("\n") == [text[:20].strip(), text, f"{text}!"]
+    notice = "<div>We use the best of all that is there for you, and it is by this that you can read on as you like.</div>"
+    assert text in html.main_text(page.replace("<footer>", notice + "<footer>"))
+
+
 # ---------------------------------------------------------------- 9
 
 
