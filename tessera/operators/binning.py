@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..functions import stats
 from ..functions.special import normal_quantile, welch
 from ..plans import trend as trends
-from ..plans.partition import SCALE, Problem, Solution, forbidden_ends, solve, triangle
+from ..plans.partition import SCALE, Problem, Solution, solve, triangle
 from .encode import by_category, by_interval, check_overrides, override, with_classes
 from .histogram import Histogram, add_moments, cell_edges, histogram, no_moments
 from .rows import Bounds, is_missing, is_numeric, outlier_bounds, special_labels, y_quantile_bounds
@@ -431,7 +431,7 @@ class _Binner:
             problem.allowed &= size >= math.ceil(self.min_bin_size * total)
         if self.max_bin_size is not None:
             problem.allowed &= size <= math.ceil(self.max_bin_size * total)
-        problem.min_bins, problem.max_bins = self.min_n_bins, self.max_n_bins
+        problem.min_bins, problem.max_bins, problem.time_limit = self.min_n_bins, self.max_n_bins, self.time_limit
         if fixed is not None:
             problem.fixed = np.flatnonzero(fixed).tolist()
         if self.gamma and self.kind == "binary":
@@ -501,8 +501,6 @@ class BinaryBinner(_Binner):
                 allowed &= t >= low
             if high is not None:
                 allowed &= t <= high
-        ends = ~forbidden_ends(rate, trend, turn) if trend and self.min_event_rate_diff == 0 else np.ones(n, bool)
-        ends[n - 1] = True
         conflict = None
         if self.max_pvalue is not None:
             z = normal_quantile(1 - self.max_pvalue / 2)
@@ -511,7 +509,7 @@ class BinaryBinner(_Binner):
                 return _proportions_alike(t1[b][a], t0[b][a], t1[d][c], t0[d][c], z)
 
         return Problem(
-            value, [rate], [trend], t0 + t1, allowed, ends, min_diff=int(self.min_event_rate_diff * SCALE), changes=[turn],
+            value, [rate], [trend], t0 + t1, allowed, min_diff=int(self.min_event_rate_diff * SCALE), changes=[turn],
             conflict=conflict, all_pairs=self.max_pvalue_policy == "all",
         )
 
@@ -551,7 +549,7 @@ class ContinuousBinner(_Binner):
                 return p > self.max_pvalue
 
         return Problem(
-            value, [_scaled(mean)], [trend], n, np.ones((k, k), bool), np.ones(k, bool), min_diff=int(self.min_mean_diff * SCALE),
+            value, [_scaled(mean)], [trend], n, np.ones((k, k), bool), min_diff=int(self.min_mean_diff * SCALE),
             changes=[self._turn(trend, rates)], conflict=conflict, all_pairs=self.max_pvalue_policy == "all",
         )
 
@@ -578,7 +576,7 @@ class MulticlassBinner(_Binner):
         k = len(size)
         whole = triangle(size)
         wanted = self.monotonic_trend if isinstance(self.monotonic_trend, list) else [self.monotonic_trend] * len(counts)
-        value, rates, chosen, changes, ends = np.zeros((k, k), np.int64), [], [], [], np.ones(k, bool)
+        value, rates, chosen, changes = np.zeros((k, k), np.int64), [], [], []
         for c, want in zip(counts, wanted, strict=True):
             t1 = triangle(c)
             t0 = whole - t1
@@ -592,12 +590,9 @@ class MulticlassBinner(_Binner):
             if not isinstance(self.monotonic_trend, list):
                 trend = trend and trend.removesuffix("_heuristic")  # change points exist for a list of trends only
             turn = self._turn(trend, own)
-            if trend and self.min_event_rate_diff == 0:
-                ends &= ~forbidden_ends(rate, trend, turn)
             rates.append(rate)
             chosen.append(trend)
             changes.append(turn)
-        ends[k - 1] = True
         conflict = None
         if self.max_pvalue is not None:
             z = normal_quantile(1 - self.max_pvalue / 2)
@@ -608,7 +603,7 @@ class MulticlassBinner(_Binner):
                 return any(_proportions_alike(t[b][a], whole[b][a] - t[b][a], t[d][c], whole[d][c] - t[d][c], z) for t in sums)
 
         return Problem(
-            value, rates, chosen, whole, np.ones((k, k), bool), ends, min_diff=int(self.min_event_rate_diff * SCALE), changes=changes,
+            value, rates, chosen, whole, np.ones((k, k), bool), min_diff=int(self.min_event_rate_diff * SCALE), changes=changes,
             conflict=conflict, all_pairs=self.max_pvalue_policy == "all",
         )
 
@@ -675,7 +670,7 @@ class ScenarioBinner(BinaryBinner):
                 return any(_proportions_alike(t1[b][a], t0[b][a], t1[d][c], t0[d][c], z) for t0, t1 in sides)
 
         return Problem(
-            value, rates, [trend] * len(rates), size, np.ones((k, k), bool), np.ones(k, bool), min_diff=int(self.min_event_rate_diff * SCALE), changes=turns,
+            value, rates, [trend] * len(rates), size, np.ones((k, k), bool), min_diff=int(self.min_event_rate_diff * SCALE), changes=turns,
             conflict=conflict, all_pairs=self.max_pvalue_policy == "all",
         )
 

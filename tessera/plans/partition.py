@@ -4,15 +4,18 @@ A bin is an interval (first, last) of prebins.  The value of a partition is the
 sum of its bins' values; bins must be allowed one by one, neighbouring bins must
 be allowed next to each other, and some rules look at all bins.  Rules on
 neighbours are solved by dynamic programming over (first, last, phase), the
-others by depth-first search bounded by the best unconstrained rest.  Values are
-integers, so results do not depend on summation order; ties go to fewer bins,
-then to earlier ends.
+others by depth-first search bounded by the best rest under the rules on
+neighbours.  A search that meets the time limit returns the best partition found,
+with the status FEASIBLE, or UNKNOWN if it has found none.  Values are integers,
+so results do not depend on summation order; ties go to fewer bins, then to
+earlier ends.
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 
@@ -29,7 +32,6 @@ class Problem:
     trends: list[str | None]
     size: np.ndarray  # records of bin k..i
     allowed: np.ndarray  # whether the bin k..i may be used
-    ends: np.ndarray  # whether a bin may end at prebin i
     min_bins: int | None = None
     max_bins: int | None = None
     min_diff: float = 0
@@ -38,6 +40,7 @@ class Problem:
     all_pairs: bool = False  # whether conflict looks at all pairs of bins
     fixed: list[int] = field(default_factory=list)  # prebins at which a bin must end
     gamma: int = 0  # price of each record by which the largest bin exceeds the smallest
+    time_limit: float | None = None  # seconds after which a search returns the best found
 
 
 @dataclass
@@ -53,39 +56,6 @@ def triangle(prefix: np.ndarray) -> np.ndarray:
     return total[1:, None] - total[None, :-1]
 
 
-def forbidden_ends(rate: np.ndarray, trend: str, turn: int | None = None) -> np.ndarray:
-    """Prebins at which no bin may end by the local course of the rates.
-
-    For an ascending trend: i if the merged prebins i..i+1 have a higher rate than i+1 alone, and then
-    also i+j if i..i+1+j has a higher rate than i+1+j alone.
-    """
-    n = len(rate)
-    out = np.zeros(n, bool)
-
-    def side(sign: int, rows: range, first: int) -> None:
-        for i in rows:
-            if sign * (rate[i + 1][i] - rate[i + 1][i + 1]) > 0:
-                out[i] = True
-                for j in range(first, n - i - 1):
-                    if i + 1 + j < n and sign * (rate[i + 1 + j][i] - rate[i + 1 + j][i + 1 + j]) > 0:
-                        out[i + j] = True
-
-    if trend == "ascending":
-        side(1, range(n - 1), 0)
-    elif trend == "descending":
-        side(-1, range(n - 1), 0)
-    elif trend in ("peak_heuristic", "valley_heuristic") and turn is not None:
-        sign = 1 if trend == "peak_heuristic" else -1
-        for i in range(turn - 1):
-            if sign * (rate[i + 1][i] - rate[i + 1][i + 1]) > 0:
-                out[i] = True
-                for j in range(turn - i - 1):
-                    if sign * (rate[i + 1 + j][i] - rate[i + 1 + j][i + 1 + j]) > 0:
-                        out[i + j] = True
-        side(-sign, range(turn, n - 1), turn)
-    return out
-
-
 def _steps(p: Problem, first: int, last: int, next_last: int) -> tuple[bool, list[float]]:
     """Whether the bin last+1..next_last may follow first..last as far as all columns agree, and the columns' steps."""
     steps = [r[next_last][last + 1] - r[last][first] for r in p.rates]
@@ -124,7 +94,6 @@ def _usable(p: Problem) -> np.ndarray:
     n = len(p.value)
     ok = p.allowed.copy()
     ok &= np.tril(np.ones((n, n), bool))
-    ok[~p.ends] = False
     for f in p.fixed:  # no bin may hold a fixed end inside
         for i in range(f + 1, n):
             ok[i, : f + 1] = False
@@ -135,13 +104,14 @@ def solve(p: Problem) -> Solution:
     """The best partition; status INFEASIBLE and one bin if no partition is allowed."""
     n = len(p.value)
     ok = _usable(p)
+    ended = True
     if p.all_pairs and p.conflict or p.gamma or any(t in ("convex", "concave") for t in p.trends):
-        best = _search(p, ok)
+        best, ended = _search(p, ok)
     else:
         best = _dynamic(p, ok)
     if best is None:
-        return Solution([n - 1], int(p.value[n - 1][0]), "INFEASIBLE")
-    return Solution(best[1], best[0], "OPTIMAL")
+        return Solution([n - 1], int(p.value[n - 1][0]), "INFEASIBLE" if ended else "UNKNOWN")
+    return Solution(best[1], best[0], "OPTIMAL" if ended else "FEASIBLE")
 
 
 def _dynamic(p: Problem, ok: np.ndarray) -> tuple[int, list[int]] | None:
@@ -179,62 +149,98 @@ def _dynamic(p: Problem, ok: np.ndarray) -> tuple[int, list[int]] | None:
     return value, [-e for e in ends]
 
 
-def _search(p: Problem, ok: np.ndarray) -> tuple[int, list[int]] | None:
-    n, free = len(p.value), _phases(p)
-    #: best sum from prebin k on without rules between bins
-    tail: list[float] = [float("-inf")] * n + [0]
-    for k in range(n - 1, -1, -1):
-        tail[k] = max((int(p.value[i][k]) + tail[i + 1] for i in range(k, n) if ok[i, k]), default=float("-inf"))
-    best: list = [None]
-    columns = [c for c, t in enumerate(p.trends) if t in ("convex", "concave")]
+def _rest(p: Problem, ok: np.ndarray) -> dict[tuple[int, int, int], float]:
+    """The best value after the bin (first, last) in a phase, under the rules on neighbours alone; absent if there is no rest.
+
+    A convex (concave) sequence falls (rises) to some bin and then rises (falls), so that trend counts as one with a free turn.
+    """
+    n = len(p.value)
+    loose = replace(p, trends=[{"convex": "valley", "concave": "peak"}.get(t or "", t) for t in p.trends], all_pairs=False)
+    free = _phases(loose)
+    out: dict[tuple[int, int, int], float] = {(k, n - 1, phase): 0 for k in range(n) if ok[n - 1, k] for phase in range(1 << len(free))}
+    for last in range(n - 2, -1, -1):
+        after = [i for i in range(last + 1, n) if ok[i, last + 1]]
+        for first in range(last + 1):
+            if not ok[last, first]:
+                continue
+            for i in after:
+                fits, steps = _steps(loose, first, last, i)
+                if not fits:
+                    continue
+                own = int(p.value[i][last + 1])
+                for phase in range(1 << len(free)):
+                    best = max((out.get((last + 1, i, to), float("-inf")) for to in _follows(loose, free, steps, phase, last, i)), default=float("-inf"))
+                    if best > float("-inf"):
+                        out[first, last, phase] = max(out.get((first, last, phase), float("-inf")), own + best)
+    return out
+
+
+def _bent(p: Problem, columns: list[int], bins: list[tuple[int, int]], k: int, i: int) -> bool:
+    """Whether the bin k..i keeps the convex and concave columns so: 2 r_b >= r_a + r_new (concave) for all earlier a < b."""
+    for c in columns:
+        sign, r = (1, p.rates[c]) if p.trends[c] == "concave" else (-1, p.rates[c])
+        new, most = sign * r[i][k], None
+        for a, b in bins:
+            x = sign * r[b][a]
+            if most is not None and 2 * x - new < most:
+                return False
+            most = x if most is None else max(most, x)
+    return True
 
-    def bent(bins: list[tuple[int, int]], k: int, i: int) -> bool:
-        for c in columns:
-            sign, r = (1, p.rates[c]) if p.trends[c] == "concave" else (-1, p.rates[c])
-            rates = [r[b][a] for a, b in bins]
-            new = r[i][k]
-            # for all earlier a < b: 2 r_b >= r_a + r_new (concave)
-            low = None
-            for x in rates:
-                if low is not None and sign * (2 * x - new) < low:
-                    return False
-                low = sign * x if low is None else max(low, sign * x)
-        return True
-
-    def go(k: int, bins: list[tuple[int, int]], phases: set[int], value: int, small: float, large: float) -> None:
+
+def _search(p: Problem, ok: np.ndarray) -> tuple[tuple[int, list[int]] | None, bool]:
+    """(the best partition found, whether it is known to be the best)."""
+    n = len(p.value)
+    rest = _rest(p, ok)
+    columns = [c for c, t in enumerate(p.trends) if t in ("convex", "concave")]
+    loose = replace(p, trends=[{"convex": "valley", "concave": "peak"}.get(t or "", t) for t in p.trends])
+    free = _phases(loose)
+    stop = None if p.time_limit is None else time.monotonic() + p.time_limit
+    best: tuple | None = None
+    # a stack of (bins, phases, value, smallest size, largest size); the most promising next bin is on top
+    stack: list[tuple] = [((), frozenset(range(1 << len(free))), 0, float("inf"), float("-inf"))]
+    steps_done = 0
+    while stack:
+        steps_done += 1
+        if stop is not None and steps_done % 256 == 0 and time.monotonic() > stop:
+            return ((best[0], [-e for e in best[2]]) if best else None), False
+        bins, phases, value, small, large = stack.pop()
+        spread = p.gamma * int(large - small) if p.gamma and bins else 0
+        k = bins[-1][1] + 1 if bins else 0
         if k == n:
-            if p.min_bins and len(bins) < p.min_bins:
-                return
-            total = value - (p.gamma * int(large - small) if p.gamma else 0)
-            key = (total, -len(bins), tuple(-b for _, b in bins))
-            if best[0] is None or key > best[0]:
-                best[0] = key
-            return
+            if not p.min_bins or len(bins) >= p.min_bins:
+                key = (value - spread, -len(bins), tuple(-b for _, b in bins))
+                best = key if best is None or key > best else best
+            continue
         if p.max_bins is not None and len(bins) >= p.max_bins:
-            return
-        spread = p.gamma * int(max(0, large - small)) if p.gamma and bins else 0
-        if best[0] is not None and value + tail[k] - spread < best[0][0]:
-            return
-        for i in sorted((i for i in range(k, n) if ok[i, k]), key=lambda i: -(int(p.value[i][k]) + tail[i + 1])):
+            continue
+        if best is not None and bins and value + max(rest.get((*bins[-1], ph), float("-inf")) for ph in phases) - spread < best[0]:
+            continue
+        more = []
+        for i in range(k, n):
+            if not ok[i, k]:
+                continue
+            after = phases
             if bins:
-                a, b = bins[-1]
-                fits, steps = _steps(p, a, b, i)
+                fits, steps = _steps(p, *bins[-1], i)
                 if not fits:
                     continue
-                after = {q for ph in phases for q in _follows(p, free, steps, ph, b, i)}
-                if not after:
+                after = frozenset(q for ph in phases for q in _follows(loose, free, steps, ph, bins[-1][1], i))
+                if not after or columns and not _bent(p, columns, bins, k, i):
                     continue
-            else:
-                after = set(range(1 << len(free)))
-            if columns and not bent(bins, k, i):
-                continue
-            if p.all_pairs and p.conflict and any(p.conflict(a, b, k, i) for a, b in bins):
+                if p.all_pairs and p.conflict and any(p.conflict(a, b, k, i) for a, b in bins):
+                    continue
+            bound = max((rest.get((k, i, ph), float("-inf")) for ph in after), default=float("-inf"))
+            if bound == float("-inf"):
                 continue
-            s = float(p.size[i][k])
-            go(i + 1, [*bins, (k, i)], after, value + int(p.value[i][k]), min(small, s), max(large, s))
-
-    go(0, [], set(), 0, float("inf"), float("-inf"))
-    return (best[0][0], [-e for e in best[0][2]]) if best[0] else None
+            size, own = float(p.size[i][k]), value + int(p.value[i][k])
+            low, high = min(small, size), max(large, size)
+            if p.gamma:  # the spread of the bins so far stays
+                bound -= p.gamma * int(high - low)
+            if best is None or own + bound >= best[0]:
+                more.append((own + bound, -i, ((*bins, (k, i)), after, own, low, high)))
+        stack.extend(m[2] for m in sorted(more, key=lambda m: m[:2]))
+    return ((best[0], [-e for e in best[2]]) if best else None), True
 
 
 def enumerate_partitions(n: int):

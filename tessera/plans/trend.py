@@ -5,28 +5,27 @@ from __future__ import annotations
 import numpy as np
 
 #: Decision trees as (feature, threshold, branch if feature <= threshold, other branch); leaves are trends (fixed values).
-#: A triangle area ratio, S slope is positive, H hull area ratio, T share of trend changes,
-#: mL/mR share of records left/right of the smallest rate, ML/MR of the largest.
+#: Areas are shares of the box around the rates; records left and right of the smallest and largest rate are shares of all.
 AUTO = (
-    "A", 0.22145836800336838,
-    ("S", 0,
-        ("H", 0.48331470787525177,
-            ("mR", 0.010740397498011589, "descending", ("mR", 0.022145185619592667, "valley", "descending")),
-            ("MR", 0.6426683664321899, "valley", "descending")),
+    "triangle_area", 0.22145836800336838,
+    ("slope_is_positive", 0,
+        ("hull_area", 0.48331470787525177,
+            ("right_of_smallest", 0.010740397498011589, "descending", ("right_of_smallest", 0.022145185619592667, "valley", "descending")),
+            ("right_of_largest", 0.6426683664321899, "valley", "descending")),
         "ascending"),
-    ("mR", 0.06137961149215698,
-        ("H", 0.23837491869926453, "descending",
-            ("ML", 0.10170064494013786, ("ML", 0.01817034650593996, "valley", "descending"), "peak")),
-        ("mL", 0.05336669087409973,
-            ("MR", 0.0695494469255209, "ascending", ("ML", 0.14705360680818558, "ascending", "peak")),
-            ("mL", 0.8308950066566467, "valley", ("MR", 0.1587613895535469, "valley", "peak")))),
+    ("right_of_smallest", 0.06137961149215698,
+        ("hull_area", 0.23837491869926453, "descending",
+            ("left_of_largest", 0.10170064494013786, ("left_of_largest", 0.01817034650593996, "valley", "descending"), "peak")),
+        ("left_of_smallest", 0.05336669087409973,
+            ("right_of_largest", 0.0695494469255209, "ascending", ("left_of_largest", 0.14705360680818558, "ascending", "peak")),
+            ("left_of_smallest", 0.8308950066566467, "valley", ("right_of_largest", 0.1587613895535469, "valley", "peak")))),
 )
 ASC_DESC = (
-    "S", 0,
-    ("A", 0.4890555590391159, ("MR", 0.029244758188724518, "ascending", "descending"), ("H", 0.5553120970726013, "ascending", "descending")),
-    ("ML", 0.03698493912816048, "descending",
-        ("mL", 0.7991077601909637, ("A", 0.48206718266010284, "ascending", ("ML", 0.8631451725959778, "ascending", "descending")),
-            ("T", 0.5277777910232544, ("mL", 0.8155287206172943, "descending", "ascending"), "descending"))),
+    "slope_is_positive", 0,
+    ("triangle_area", 0.4890555590391159, ("right_of_largest", 0.029244758188724518, "ascending", "descending"), ("hull_area", 0.5553120970726013, "ascending", "descending")),
+    ("left_of_largest", 0.03698493912816048, "descending",
+        ("left_of_smallest", 0.7991077601909637, ("triangle_area", 0.48206718266010284, "ascending", ("left_of_largest", 0.8631451725959778, "ascending", "descending")),
+            ("change_share", 0.5277777910232544, ("left_of_smallest", 0.8155287206172943, "descending", "ascending"), "descending"))),
 )
 
 
@@ -59,14 +58,14 @@ def features(rates, records) -> dict[str, float]:
     box = spread * n
     share = lambda part: float(part.sum() / records.sum())
     return {
-        "A": area / box if box else 0.0,
-        "H": _hull_area(y) / box if box and n > 2 else 0.0,
-        "S": float(np.polyfit(np.arange(n), y, 1)[0] > 0) if n > 1 else 0.0,
-        "T": trend_changes(y) / n,
-        "mL": share(records[:low]),
-        "mR": share(records[low + 1 :]),
-        "ML": share(records[:high]),
-        "MR": share(records[high + 1 :]),
+        "triangle_area": area / box if box else 0.0,
+        "hull_area": _hull_area(y) / box if box and n > 2 else 0.0,
+        "slope_is_positive": float(np.polyfit(np.arange(n), y, 1)[0] > 0) if n > 1 else 0.0,
+        "change_share": trend_changes(y) / n,
+        "left_of_smallest": share(records[:low]),
+        "right_of_smallest": share(records[low + 1 :]),
+        "left_of_largest": share(records[:high]),
+        "right_of_largest": share(records[high + 1 :]),
     }
 
 

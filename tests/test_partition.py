@@ -1,6 +1,7 @@
 """The partition solver against enumeration of all partitions."""
 
 import itertools
+import time
 
 import numpy as np
 import pytest
@@ -16,8 +17,11 @@ def bins(seed, n=7):
     return {"n0": r.integers(5, 100, n).astype(float), "n1": r.integers(5, 100, n).astype(float)}
 
 
-def valid(rates, ends, trend):
+def valid(rates, ends, trend, turn=None):
     d = np.diff(rates)
+    if trend in ("peak_heuristic", "valley_heuristic"):  # bins that end before the turn rise, those that end at it or later fall
+        s = d if trend == "peak_heuristic" else -d
+        return all((b >= turn or x >= 0) and (a < turn or x <= 0) for x, (a, b) in zip(s, itertools.pairwise(ends), strict=True))
     if trend == "ascending":
         return (d >= 0).all()
     if trend == "descending":
@@ -32,7 +36,7 @@ def valid(rates, ends, trend):
     return True
 
 
-@pytest.mark.parametrize("trend", [None, "ascending", "descending", "peak", "valley", "concave", "convex"])
+@pytest.mark.parametrize("trend", [None, "ascending", "descending", "peak", "valley", "peak_heuristic", "valley_heuristic", "concave", "convex"])
 @pytest.mark.parametrize("options", [{}, {"max_n_bins": 3}, {"min_n_bins": 3}, {"min_bin_size": 0.2}, {"gamma": 0.5}, {"max_pvalue": 0.05}, {"max_pvalue": 0.05, "max_pvalue_policy": "all"}, {"min_event_rate_diff": 0.05}])
 @pytest.mark.parametrize("seed", range(4))
 def test_best_of_all_partitions(trend, options, seed):
@@ -41,8 +45,7 @@ def test_best_of_all_partitions(trend, options, seed):
     total = n0.sum() + n1.sum()
     binner = BinaryBinner(monotonic_trend=trend, **options)
     problem = binner._problem(b, total)
-    problem.ends[:] = True  # local rules that forbid ends are no rule of the best partition
-    binner._problem = lambda *_: problem
+    binner._problem = lambda *_: problem  # the options that are set later are then seen here
     got, _ = binner._optimise(b, total, None)
     best = None
     for ends in enumerate_partitions(len(n0)):
@@ -52,7 +55,7 @@ def test_best_of_all_partitions(trend, options, seed):
         sizes = [float(problem.size[e][s]) for s, e in groups]
         if len(groups) > (options.get("max_n_bins") or 99) or len(groups) < (options.get("min_n_bins") or 1):
             continue
-        if not valid(np.array(rates), ends, trend) or any(z < np.ceil(options.get("min_bin_size", 0) * total) for z in sizes):
+        if not valid(np.array(rates), ends, trend, problem.changes[0]) or any(z < np.ceil(options.get("min_bin_size", 0) * total) for z in sizes):
             continue
         if problem.min_diff and any(abs(x - y) < problem.min_diff for x, y in itertools.pairwise(rates)):
             continue
@@ -69,6 +72,15 @@ def test_best_of_all_partitions(trend, options, seed):
         assert got.status == "OPTIMAL" and (got.value, got.ends) == (best[0], [-e for e in best[2]])
 
 
+@pytest.mark.parametrize("options", [{"monotonic_trend": "convex"}, {"monotonic_trend": "ascending", "max_pvalue": 0.05, "max_pvalue_policy": "all"}, {"monotonic_trend": "peak", "gamma": 0.5}, {"monotonic_trend": None, "gamma": 1.0}])
+def test_long_searches_end_in_time_with_an_honest_status(options):
+    b = bins(3, 100)
+    began = time.monotonic()
+    got, _ = BinaryBinner(time_limit=2, **options)._optimise(b, b["n0"].sum() + b["n1"].sum(), None)
+    assert time.monotonic() - began < 20
+    assert got.status in ("OPTIMAL", "FEASIBLE", "UNKNOWN") and got.ends[-1] == 99
+
+
 def test_fixed_ends_are_kept():
     b = bins(1)
     got, _ = BinaryBinner(monotonic_trend=None, max_n_bins=3, user_splits=list(range(6)), user_splits_fixed=[False, True, False, True, False, False])._optimise(b, 1000, np.array([False, True, False, True, False, False]))
