@@ -8,6 +8,7 @@ be called as often as wanted.
 
 from __future__ import annotations
 
+import json
 from typing import Any
 
 import numpy as np
@@ -20,6 +21,7 @@ from ..operators.histogram import MAX_DISTINCT, Histogram
 from ..operators.process import select
 from ..operators.rows import is_missing, is_numeric, row_class, special_labels
 
+FACTS = "facts"  # the kind of the row that holds counts and parameters
 STATE = "variable string, kind string, label string, event boolean, n long, sketch binary"
 
 
@@ -113,7 +115,12 @@ class StreamingBinner:
     """Add chunks, merge with others, solve, repeat."""
 
     def __init__(self, spark: SparkSession, variables: dict[str, str] | list[str], y: str, state_path: str | None = None, eps: float = 1e-4, cat_heuristic: bool = False, selection_criteria: dict | None = None, fixed_variables: list[str] | None = None, **options: Any) -> None:
-        """``variables`` gives each its dtype; with ``state_path`` the state is kept there as parquet."""
+        """``variables`` gives each its dtype.
+
+        With ``state_path``, a folder that survives this process, every addition writes a new version
+        of the state there, with the number of its batch, and a new object begins with the last
+        complete one: a restarted stream goes on where it stopped.
+        """
         self.spark, self.y, self.state_path, self.eps = spark, y, state_path, eps
         self.variables = variables if isinstance(variables, dict) else dict.fromkeys(variables, "numerical")
         _need(all(d in ("numerical", "categorical") for d in self.variables.values()), ValueError, "dtype is numerical or categorical")
@@ -124,9 +131,47 @@ class StreamingBinner:
         self.state: DataFrame | None = None
         self.adds, self.records, self.progress = 0, 0, []
         self.models: dict[str, BinningModel] = {}
+        self.last_batch, self.version = -1, 0
+        if state_path:
+            self._load()
 
     # ------------------------------------------------ adding
 
+    def _folder(self, name: str = ""):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.state_path}/{name}" if name else self.state_path)
+        return path, path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+
+    def _versions(self) -> list[str]:
+        """The complete versions of the state, oldest first."""
+        path, fs = self._folder()
+        names = [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
+        return sorted(n for n in names if n.startswith("state-") and self._folder(f"{n}/_SUCCESS")[1].exists(self._folder(f"{n}/_SUCCESS")[0]))
+
+    def _load(self) -> None:
+        versions = self._versions()
+        if not versions:
+            return
+        rows = self.spark.read.schema(STATE).parquet(f"{self.state_path}/{versions[-1]}").collect()
+        facts = json.loads(next(r["label"] for r in rows if r["kind"] == FACTS))
+        _need(facts["variables"] == self.variables and facts["y"] == self.y and facts["eps"] == self.eps, ValueError, "the state was written with other parameters")
+        self.adds, self.records, self.last_batch, self.version = facts["adds"], facts["records"], facts["last_batch"], facts["version"]
+        kept = [r for r in rows if r["kind"] != FACTS]
+        self.state = self.spark.createDataFrame(kept, STATE) if kept else None
+
+    def _save(self) -> None:
+        """Write the state, with the batch that it includes, as a version of its own; the one before stays until the next."""
+        if not self.state_path:
+            return
+        old = self._versions()
+        self.version += 1
+        facts = {"variables": self.variables, "y": self.y, "eps": self.eps, "adds": self.adds, "records": self.records, "last_batch": self.last_batch, "version": self.version}
+        row = self.spark.createDataFrame([(None, FACTS, json.dumps(facts), None, None, None)], STATE)
+        # an incomplete version of the same number is left from a run that was cut off
+        (row if self.state is None else self.state.unionByName(row)).coalesce(1).write.mode("overwrite").parquet(f"{self.state_path}/state-{self.version:012d}")
+        for name in old[:-1]:
+            path, fs = self._folder(name)
+            fs.delete(path, True)
+
     def add(self, df: DataFrame) -> StreamingBinner:
         """Add a chunk; it may hold some of the variables only, other columns are ignored."""
         present = {v: d == "numerical" for v, d in self.variables.items() if v in df.columns}
@@ -134,6 +179,7 @@ class StreamingBinner:
             self._keep(chunk_state(df, present, self.y, self.options.get("special_codes"), self.k))
         self.adds += 1
         self.records += df.where(F.col(self.y).isNotNull()).count()
+        self._save()
         return self
 
     def _keep(self, more: DataFrame) -> None:
@@ -142,14 +188,12 @@ class StreamingBinner:
         rows = merged.limit(MAX_DISTINCT + 1).collect()
         _need(len(rows) <= MAX_DISTINCT, ValueError, f"more than {MAX_DISTINCT} categories")
         self.state = self.spark.createDataFrame(rows, STATE)
-        if self.state_path:
-            self.state.coalesce(1).write.mode("overwrite").parquet(self.state_path)
 
     def foreach_batch(self, batch: DataFrame, batch_id: int) -> None:
-        """For ``writeStream.foreachBatch``; a batch that was added before is not added again."""
-        if batch_id > getattr(self, "last_batch", -1):
-            self.add(batch)
+        """For ``writeStream.foreachBatch``; a batch that the state includes is not added again."""
+        if batch_id > self.last_batch:
             self.last_batch = batch_id
+            self.add(batch)
 
     def start(self, stream: DataFrame, checkpoint: str, **trigger: Any):
         """Start a query that adds each micro-batch of a stream."""
@@ -164,6 +208,7 @@ class StreamingBinner:
             self._keep(other.state)
         self.adds += other.adds
         self.records += other.records
+        self._save()
         return self
 
     # ------------------------------------------------ solving

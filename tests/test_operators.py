@@ -237,3 +237,27 @@ def test_long_columns_are_binned_by_cells(data, monkeypatch, one_pass):
     assert cells.table().metrics()["iv"] == pytest.approx(exact.table().metrics()["iv"], rel=0.05)
     shared = BinningPipeline(["x", "z"]).fit(clean, "y").get_binned_variable("x")
     assert shared.splits == cells.splits and shared.moments == cells.moments
+
+
+def test_a_restarted_stream_goes_on_with_its_state(spark, tmp_path):
+    source, state, marks = (str(tmp_path / n) for n in ("in", "state", "marks"))
+    whole = spark.createDataFrame([(float(i % 50), "ab"[i % 2], int(i % 50 > 20)) for i in range(3000)], "x double, c string, y int")
+    variables = {"x": "numerical", "c": "categorical"}
+
+    def run(part):
+        part.coalesce(1).write.mode("append").parquet(source)
+        b = StreamingBinner(spark, variables, "y", state_path=state)  # a new object, as after a restart
+        b.start(spark.readStream.schema(whole.schema).parquet(source), marks).awaitTermination()
+        return b
+
+    run(whole.where("x < 25"))
+    last = run(whole.where("x >= 25"))
+    assert (last.adds, last.records, last.last_batch) == (2, 3000, 1)
+    last.foreach_batch(whole, 1)  # the batch is part of the state
+    assert last.records == 3000
+    once = StreamingBinner(spark, variables, "y").add(whole).solve()
+    again = StreamingBinner(spark, variables, "y", state_path=state).solve()
+    for v in variables:
+        assert again.get_binned_variable(v).moments == once.get_binned_variable(v).moments
+    with pytest.raises(ValueError):
+        StreamingBinner(spark, {"x": "numerical"}, "y", state_path=state)
