@@ -3,11 +3,14 @@
 The hashes of all rolling word k-grams of the documents are joined to the
 positions of the k-grams in license templates.  A match votes for its diagonal,
 the document position less the template position: the words of a copied passage
-all vote for one diagonal.  Votes are summed by diagonal, neighbouring diagonals
-of a template are merged (words put in or left out move a passage to the next
-ones), and runs that follow each other in document and template are chained over
-gaps of up to the template's length.  The spans that result are verified: k-grams
-word by word, and the span's share of the template and its length.
+all vote for one diagonal.  Votes are summed by diagonal, and where a document
+position has several votes, as in a template that repeats itself, the one on the
+strongest diagonal stays.  Along the document, a run then goes on from diagonal to
+diagonal (words put in or left out move a passage to another one) as long as it
+goes forward in the template with gaps of at most the template's length: that
+merges neighbouring diagonals, and a notice that begins again begins a new run.
+The spans that result are verified: k-grams word by word, and the span's share of
+the template.
 
 Short phrases are templates with k = 2; a diagonal with all its votes is a place
 where the phrase's words stand consecutively.
@@ -22,8 +25,8 @@ from ._storage import materialize
 from ._text import ascii_lower, let
 
 NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # after lower-casing
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # before lower-casing, for counts
 K = 5
-SHIFT = 6  # diagonals this far apart are neighbours
 MIN_SHARE = 0.5  # of a template's k-grams that a span must hold
 
 #: Phrases whose places are counted, with their labels (fixed values).
@@ -97,59 +100,31 @@ def votes(docs: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame
     return hit.where((pos >= 0) & same).select(*keys, "template", "label", "phrase", "grams", "k", "t_pos", pos.cast("long").alias("pos")).distinct()
 
 
-def _chains(runs: Column, length: Column, k: Column) -> Column:
-    """The chains of most votes among a document's runs of a template, in order of ``first``: one for each first run.
+def spans(found: DataFrame, keys: list[str]) -> DataFrame:
+    """Verified spans: ``keys, template, label, phrase, first, last, share``, words from 0, ``last`` included.
 
-    A run follows another if its k-grams stand after the other's in document and template, with a gap
-    of at most the template's length, and if the chain stays shorter than twice the template.
+    ``found`` should be a stored table of :func:`votes`.  A window here holds the votes of one
+    document for one template.
     """
-
-    def step(done: Column, x: Column) -> Column:
-        follows = lambda c: (
-            (c["last"] - k + 1 < x["first"]) & (c["t_last"] < x["t_first"]) & (x["first"] - c["last"] <= length) & (x["last"] - c["first"] < 2 * length)
-        )
-        before = F.array_max(F.transform(F.filter(done, follows), lambda c: F.struct(c["votes"].alias("votes"), c["first"].alias("first"), c["t_first"].alias("t_first"))))
-        longer = F.struct(
-            F.coalesce(before["first"], x["first"]).alias("first"), x["last"].alias("last"), F.coalesce(before["t_first"], x["t_first"]).alias("t_first"),
-            x["t_last"].alias("t_last"), (x["votes"] + F.coalesce(before["votes"], F.lit(0).cast("long"))).alias("votes"),
-        )
-        return F.concat(done, F.array(longer))
-
-    ends = F.aggregate(F.slice(runs, 2, F.size(runs)), F.slice(runs, 1, 1), step)
-    all_ends = F.when(F.size(runs) > 1, ends).otherwise(runs)
-    return let(all_ends, lambda c: F.filter(c, lambda x: ~F.exists(c, lambda y: (y["first"] == x["first"]) & (y["votes"] > x["votes"]))))
-
-
-def spans(found: DataFrame, keys: list[str]) -> DataFrame:
-    """Verified spans: ``keys, template, label, phrase, first, last, share``, words from 0, ``last`` included."""
-    diagonals = (
-        found.groupBy(*keys, "template", "label", "phrase", "grams", "k", (F.col("pos") - F.col("t_pos")).alias("diagonal"))
-        .agg(
-            F.count("*").alias("votes"), F.min("pos").alias("first"), (F.max("pos") + F.max("k") - 1).alias("last"),
-            F.min("t_pos").alias("t_first"), F.max("t_pos").alias("t_last"),
-        )
-    )
-    places = diagonals.where(F.col("phrase") & (F.col("votes") == F.col("grams")))
-    by = Window.partitionBy(*keys, "template").orderBy("diagonal")
-    new = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(by) > SHIFT, F.lit(True)).cast("int")
+    facts = ["template", "label", "phrase", "grams", "k"]
+    by_diagonal = found.withColumn("diagonal", F.col("pos") - F.col("t_pos"))
+    summed = by_diagonal.groupBy(*keys, *facts, "diagonal").agg(F.count("*").alias("votes"), F.min("pos").alias("first"), F.max("pos").alias("last_pos"))
+    places = summed.where(F.col("phrase") & (F.col("votes") == F.col("grams")))
+    own = [*keys, "template"]
+    strength = F.count("*").over(Window.partitionBy(*own, "diagonal"))
+    strongest = F.row_number().over(Window.partitionBy(*own, "pos").orderBy(F.desc("votes"), "t_pos"))
+    line = by_diagonal.where(~F.col("phrase")).withColumn("votes", strength).withColumn("_nth", strongest).where("_nth = 1")
+    along = Window.partitionBy(*own).orderBy("pos")
+    goes_on = (F.col("t_pos") > F.lag("t_pos").over(along)) & (F.col("pos") - F.lag("pos").over(along) <= F.col("grams") + F.col("k"))
     runs = (
-        diagonals.where(~F.col("phrase"))
-        .withColumn("_new", new)
-        .withColumn("_run", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy(*keys, "template", "label", "phrase", "grams", "k", "_run")
-        .agg(*[f(c).alias(c) for f, c in ((F.min, "first"), (F.max, "last"), (F.min, "t_first"), (F.max, "t_last"), (F.sum, "votes"))])
-    )
-    run = F.struct(*[F.col(c).cast("long").alias(c) for c in ("first", "last", "t_first", "t_last", "votes")])
-    merged = (
-        runs.groupBy(*keys, "template", "label", "phrase", "grams", "k")
-        .agg(F.array_sort(F.collect_list(run)).alias("_runs"))
-        .withColumn("_chains", _chains(F.col("_runs"), F.col("grams") + F.col("k"), F.col("k")))
-        .select(*keys, "template", "label", "phrase", "grams", "k", F.inline("_chains"))
-        .withColumn("share", F.least(F.lit(1.0), F.col("votes") / F.col("grams")))
-        .where((F.col("share") >= MIN_SHARE) & (F.col("last") - F.col("first") < 2 * (F.col("grams") + F.col("k"))))
+        line.withColumn("_new", (~F.coalesce(goes_on, F.lit(False))).cast("int"))
+        .withColumn("_run", F.sum("_new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+        .groupBy(*keys, *facts, "_run")
+        .agg(F.min("pos").alias("first"), F.max("pos").alias("last_pos"), (F.count("*") / F.first("grams")).alias("share"))
+        .where(F.col("share") >= MIN_SHARE)
     )
-    columns = [*keys, "template", "label", "phrase", "first", "last", "share"]
-    return places.withColumn("share", F.lit(1.0)).select(*columns).unionByName(merged.select(*columns))
+    ends = lambda df: df.select(*keys, "template", "label", "phrase", "first", (F.col("last_pos") + F.col("k") - 1).alias("last"), "share")
+    return ends(places.withColumn("share", F.lit(1.0))).unionByName(ends(runs))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -171,7 +146,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         F.max("share").alias("_score"),
     )
     right = per_doc.select(F.col("_id").alias("_r_id"), F.col("_text").alias("_r_text"), *[c for c in per_doc.columns if c not in ("_id", "_text")])
-    n_words = F.when(F.get(_words(F.col("_t")), F.lit(0)) != "", F.size(_words(F.col("_t")))).otherwise(0)
+    n_words = F.coalesce(F.regexp_count("_t", F.lit(WORD)), F.lit(0))
     counted = keyed.select("_id", "_text", n_words.cast("long").alias("n_words"))
     joined = counted.join(right, F.col("_id").eqNullSafe(F.col("_r_id")) & (F.col("_text") == F.col("_r_text")), "left")
     return joined.select(
@@ -203,15 +178,13 @@ p AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d),
 g AS (SELECT doc_id, i - 1 AS pos, w[i] || ' ' || w[i + 1] AS gram FROM p WHERE i < len(w)
     UNION ALL SELECT doc_id, i - 1, {five} FROM p WHERE i + {K - 1} <= len(w)),
 v AS (SELECT DISTINCT doc_id, template, label, phrase, grams, k, t_pos, pos FROM g JOIN t USING (gram)),
-a AS (SELECT doc_id, template, label, phrase, grams, k, pos - t_pos AS diagonal, count(*) AS votes, min(pos) AS first, max(pos + k - 1) AS last
-    FROM v GROUP BY ALL),
-n AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER b > {SHIFT} OR lag(diagonal) OVER b IS NULL THEN 1 ELSE 0 END AS new
-    FROM a WHERE NOT phrase WINDOW b AS (PARTITION BY doc_id, template ORDER BY diagonal)),
-r AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS run FROM n),
-m AS (SELECT doc_id, label, phrase, min(first) AS first, max(last) AS last, least(1.0, sum(votes) / CAST(grams AS DOUBLE)) AS share, grams, k
-    FROM r GROUP BY doc_id, template, label, phrase, grams, k, run),
-s AS (SELECT doc_id, label, phrase, first, 1.0 AS share FROM a WHERE phrase AND votes = grams
-    UNION ALL SELECT doc_id, label, phrase, first, share FROM m WHERE share >= {MIN_SHARE} AND last - first < 2 * (grams + k)),
+a AS (SELECT *, pos - t_pos AS diagonal, count(*) OVER (PARTITION BY doc_id, template, pos - t_pos) AS votes FROM v),
+o AS (SELECT * FROM a WHERE NOT phrase QUALIFY row_number() OVER (PARTITION BY doc_id, template, pos ORDER BY votes DESC, t_pos) = 1),
+n AS (SELECT *, CASE WHEN t_pos > lag(t_pos) OVER b AND pos - lag(pos) OVER b <= grams + k THEN 0 ELSE 1 END AS new FROM o WINDOW b AS (PARTITION BY doc_id, template ORDER BY pos)),
+r AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, template ORDER BY pos) AS run FROM n),
+m AS (SELECT doc_id, label, phrase, min(pos) AS first, count(*) / CAST(grams AS DOUBLE) AS share FROM r GROUP BY doc_id, template, label, phrase, grams, k, run),
+s AS (SELECT doc_id, label, phrase, min(pos) AS first, 1.0 AS share FROM a WHERE phrase AND votes = grams GROUP BY doc_id, template, label, phrase, diagonal
+    UNION ALL SELECT doc_id, label, phrase, first, share FROM m WHERE share >= {MIN_SHARE}),
 h AS (SELECT doc_id, count(*) FILTER (phrase) AS n_base, min(first) FILTER (phrase) AS first_word, max(first) FILTER (phrase) AS last_word,
     string_agg(DISTINCT label, ',' ORDER BY label) FILTER (phrase) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score
     FROM s GROUP BY doc_id)
