@@ -9,7 +9,6 @@ reach is marked as rejected; so are unseen languages and random letters.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,7 +27,7 @@ SLICE = 512  # texts that are classified together
 ENOUGH = 64  # training texts of a length for a floor of its own
 LENGTHS = 24  # classes of length: powers of two of the n-grams
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
+MAX_BROADCAST = 10_000  # languages whose sampling shares are sent to all tasks
 #: ASCII characters other than letters become spaces.
 TO_SPACE = bytes(c if c > 127 or chr(c).isalpha() else 32 for c in range(256))
 
@@ -43,6 +42,11 @@ def ngram_counts(text: str) -> np.ndarray:
     return np.bincount(slots, minlength=SIZE).astype(np.float32)
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is a letter; numbers of other kinds than digits, as ½ and Ⅷ, are none."""
+    return any(map(str.isalpha, text))
+
+
 @dataclass
 class Model:
     languages: list[str]  # of each centroid
@@ -57,7 +61,7 @@ class Model:
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
         """(language, cosine, rejected) of each text; ``und``, 0, rejected without a letter."""
         out: list[tuple[str, float, bool]] = [(UNKNOWN, 0.0, True)] * len(texts)
-        rows = [i for i, t in enumerate(texts) if t and LETTER.search(t)]
+        rows = [i for i, t in enumerate(texts) if t and has_letter(t)]
         if not self.languages:
             return out
         for k in range(0, len(rows), 128):
@@ -89,23 +93,40 @@ def _clusters(v: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
-def train(languages: list[str], counts: np.ndarray, per_language: int = CENTROIDS) -> Model:
-    """A model from the labelled n-gram counts of a sample, in an order that does not matter."""
-    order = sorted(range(len(languages)), key=lambda i: (languages[i], counts[i].tobytes()))
-    languages, counts = [languages[i] for i in order], counts[order]
-    idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + 1
+def _dense(rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    out = np.zeros((len(rows), SIZE), np.float32)
+    for i, (slots, values) in enumerate(rows):
+        out[i, slots] = values
+    return out
+
+
+def train(languages: list[str], rows: list[tuple[np.ndarray, np.ndarray]], per_language: int = CENTROIDS) -> Model:
+    """A model from the labelled n-gram counts of a sample, as (slots, counts), in an order that does not matter.
+
+    Only one language's counts are held in full at a time.
+    """
+    order = sorted(range(len(languages)), key=lambda i: (languages[i], rows[i][0].tobytes(), rows[i][1].tobytes()))
+    languages, rows = [languages[i] for i in order], [rows[i] for i in order]
+    seen_in = np.bincount(np.concatenate([s.astype(np.int64) for s, _ in rows]), minlength=SIZE) if rows else np.zeros(SIZE, np.int64)
+    idf = np.log((1 + len(rows)) / (1 + seen_in)).astype(np.float32) + 1
     model = Model([], np.zeros((0, SIZE), np.float32), idf, np.zeros(LENGTHS))
     if not languages:
         return model
-    v, labels = model.vectors(counts), np.array(languages)
-    groups = [(x, _clusters(v[labels == x], per_language)) for x in sorted(set(languages))]
+    labels = np.array(languages)
+    groups, own, classes = [], [], []
+    for x in sorted(set(languages)):
+        counts = _dense([rows[i] for i in np.flatnonzero(labels == x)])
+        v = model.vectors(counts)
+        c = _clusters(v, per_language)
+        groups.append((x, c))
+        own.append((v @ c.T).max(axis=1))
+        classes.append(_length_class(counts))
     model.languages = [x for x, c in groups for _ in c]
     model.centroids = np.concatenate([c for _, c in groups]).astype(np.float32)
     # a text's own language; a shorter text needs no more than longer ones.  Classes with few training
     # texts count with the nearest that has enough; below all of these a floor
     # falls as a cosine does with the root of the n-grams
-    own = np.array([max((v[i] @ c.T).max() for x, c in groups if x == labels[i]) for i in range(len(v))])
-    classes = _length_class(counts)
+    own, classes = np.concatenate(own), np.concatenate(classes)
     sizes = np.bincount(classes, minlength=LENGTHS)
     seen = np.flatnonzero(sizes >= min(ENOUGH, sizes.max()))
     near = seen[np.abs(np.arange(LENGTHS)[:, None] - seen).argmin(axis=1)]
@@ -131,8 +152,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     )
     sizes = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
     if not sizes:
-        return train([], np.zeros((0, SIZE), np.float32))
+        return train([], [])
     below = docs.sparkSession.createDataFrame([(x, min(1 << 30, (per_language << 30) // n)) for x, n in sizes.items()], "_lang string, below long")
+    if len(sizes) <= MAX_BROADCAST:  # so no text moves
+        below = F.broadcast(below)
     sample = usable.join(below, (F.col("lang") == F.col("_lang")) & (F.col("draw") < F.col("below"))).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,10 +169,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(slots, pa.binary()), pa.array(values, pa.binary())], ["lang", "slots", "values"])
 
     rows = sample.mapInArrow(run, "lang string, slots binary, values binary").collect()
-    counts = np.zeros((len(rows), SIZE), np.float32)
-    for i, r in enumerate(rows):
-        counts[i, np.frombuffer(r["slots"], "<u2")] = np.frombuffer(r["values"], "<f4")
-    return train([r["lang"] for r in rows], counts)
+    return train([r["lang"] for r in rows], [(np.frombuffer(r["slots"], "<u2"), np.frombuffer(r["values"], "<f4")) for r in rows])
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", prefix: str = "") -> DataFrame:
@@ -157,10 +177,15 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", prefix: str =
 
     Texts are read whole.  Null texts and texts without a letter get ``und``, score 0, and are
     rejected.  Languages are as in training; equal cosines go to the first language by name.
+    Columns of ``docs`` with one of the new names, in any case, are replaced.
     """
+    new = [f"{prefix}lang_pred", f"{prefix}score", f"{prefix}rejected"]
+    docs = docs.select(*[c for c in docs.columns if c == text_col or c.lower() not in [n.lower() for n in new]])
+    if text_col.lower() in [n.lower() for n in new]:
+        raise ValueError(f"{text_col} is the name of a new column; pass a prefix")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by languages x centroids x SIZE
     at = docs.columns.index(text_col)
-    names = [*docs.columns, f"{prefix}lang_pred", f"{prefix}score", f"{prefix}rejected"]
+    names = [*docs.columns, *new]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

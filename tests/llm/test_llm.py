@@ -192,6 +192,32 @@ def test_licenses_with_a_passage_put_in_or_left_out_are_found(spark):
     assert got["labels"].tolist() == [label] * len(changed) + [""] * len(apart) and (got["score"][: len(changed)] > 0.8).all()
 
 
+def test_repeated_and_mixed_licenses_have_the_spans_of_the_sql(spark):
+    import duckdb
+
+    r = random.Random(3)
+    notices = [t.split() for _, t in licenses.NOTICES]
+    short = "Released under the MIT License."
+    data = [(i, " ".join([short] * n)) for i, n in enumerate((1, 2, 3, 6, 50))]
+    for i in range(5, 60):
+        words = []
+        for _ in range(r.randint(1, 5)):
+            w = list(r.choice(notices))
+            for _ in range(r.randint(0, 3)):
+                at, n = r.randrange(len(w)), r.randint(1, 12)
+                w[at : at + n * r.randint(0, 1)] = ["filler"] * r.randint(0, 12)
+            words += w + ["between"] * r.randint(0, 40)
+        data.append((i, " ".join(words)))
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    votes = licenses.votes(df.select(F.col("doc_id").alias("d"), "text"), ["d"])
+    found = licenses.spans(votes, ["d"]).where("template = 14").groupBy("d").count().toPandas().set_index("d")["count"]
+    assert [found[i] for i in range(5)] == [1, 2, 3, 6, 50]  # each notice is a span of its own
+    con = duckdb.connect()
+    frame = pd.DataFrame(data, columns=["doc_id", "text"])
+    con.register("documents", frame)
+    same_rows(licenses.scan(df).toPandas(), con.sql(licenses.SQL).df())
+
+
 # ---------------------------------------------------------------- 4
 
 
@@ -211,6 +237,44 @@ def test_language_id_learns_and_rejects(spark, docs, empty):
     assert (unlabelled["lang_pred"] == "und").all()
 
 
+def test_language_id_is_that_of_a_plain_version(spark, docs):
+    """Counts, TF-IDF, cosines, the first of equal centroids, floors, and letters, one text at a time."""
+    import math
+
+    def slots(text):
+        kept = "".join(c if ord(c) > 127 or c.isascii() and c.isalpha() else " " for c in text.lower())
+        b, out = (" " + " ".join(kept.split(" ")).strip() + " ").encode("utf-8", "replace"), Counter()
+        b = b" " + b" ".join(b.split()) + b" "
+        for i in range(len(b) - 1):
+            out[((b[i] * 256 + b[i + 1]) * 0x9E3779B1 & 0xFFFFFFFF) >> 19] += 1
+        for i in range(len(b) - 2):
+            out[((b[i] * 65536 + b[i + 1] * 256 + b[i + 2]) * 0x85EBCA6B & 0xFFFFFFFF) >> 19] += 1
+        return out
+
+    data = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet").select("doc_id", "text", "lang").unionByName(docs.select("doc_id", "text", "lang"))
+    model = langid.fit(data)
+    pairs = [(langid.ngram_counts(t), slots(t)) for t in ("Ein Haus, ein Baum 12 Ölöfen", "a", "日本 x", "!!", "½ und Ⅷ")]
+    assert all({i: int(v) for i, v in enumerate(got) if v} == dict(want) for got, want in pairs)
+    got = langid.predict(data.select("doc_id", "text", F.lit(1).alias("Score")), model).toPandas()
+    assert got.columns.tolist() == ["doc_id", "text", "lang_pred", "score", "rejected"]
+    for text, language, score, rejected in got[["text", "lang_pred", "score", "rejected"]].itertuples(index=False):
+        if not any(c.isalpha() for c in text or ""):
+            assert (language, score, rejected) == ("und", 0, True)
+            continue
+        counts = slots(text)
+        v = {i: math.sqrt(n) * float(model.idf[i]) for i, n in counts.items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        cosines = [sum(x * float(c[i]) for i, x in v.items()) / norm for c in model.centroids]
+        assert score == pytest.approx(max(0, max(cosines)), abs=1e-5)
+        best = cosines.index(max(cosines))
+        assert language == model.languages[best] or abs(cosines[best] - score) < 1e-5
+        floor = model.floors[min(langid.LENGTHS - 1, int(math.log2(sum(counts.values()) + 1)))]
+        assert rejected == (score < floor)
+    tied = langid.Model(["aa", "bb"], np.repeat(model.centroids[:1], 2, axis=0), model.idf, model.floors)
+    assert tied.predict(["the house and the tree"])[0][0] == "aa"
+    assert [x[0] for x in model.predict(["½", "²", "Ⅷ", "①", "12 !", "", None])] == ["und"] * 7
+
+
 def test_unseen_languages_and_gibberish_are_rejected(spark):
     r = random.Random(1)
     letters = lambda n: " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 10))) for _ in range(n))
@@ -228,7 +292,7 @@ def test_empty_length_classes_leave_the_others_their_floors():
     words = np.random.default_rng(0).integers(97, 123, (40, 5), dtype=np.uint8)
     texts = [" ".join(bytes(w).decode() for w in words[np.random.default_rng(i).integers(0, 40, 100)]) for i in range(80)]
     counts = np.stack([langid.ngram_counts(t) for t in texts])
-    floors = langid.train(["xx"] * 80, counts).floors
+    floors = langid.train(["xx"] * 80, [(np.flatnonzero(c), c[c > 0]) for c in counts]).floors
     populated = int(langid._length_class(counts)[0])
     assert floors[populated] > 0.3 and (floors[populated:] == floors[populated]).all() and (np.diff(floors[: populated + 1]) > 0).all()
 
