@@ -1,18 +1,22 @@
 """Main text of web pages by two-pass block rules.
 
 A page is cut into blocks at block-level tags.  Blocks inside elements that hold no
-article text, by tag, role or name, are out.  The first pass decides the others by
-the density of stop words, length and link density; the second gives short and
-undecided blocks the label of their nearest decided neighbours.  On pages without
-an article element, scripts and languages without listed stop words are judged by
-length and link density alone.
+article text by tag, role or their whole name are out.  An element whose name only
+contains such a word is out if it holds less than half of the page's text: wrappers
+have names of all kinds.  The first pass decides blocks by the density of stop words,
+length and link density; the second gives short and undecided blocks the label of
+their nearest decided neighbours, those of an article the label of that article.
+Scripts and languages without listed stop words are judged by length and link
+density alone.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,6 +41,13 @@ NAMES = frozenset(
     "navigation menu menus breadcrumb breadcrumbs footer masthead comment comments commentlist reply replies respond disqus share sharing "
     "social related recommended recommendations newsletter subscribe subscription signup signin login search pagination pager toolbar".split()
 )
+#: Whole class names and ids of such elements, which mean the same inside an article (fixed values).
+WHOLE_NAMES = frozenset(
+    "ad ads ad-slot ad-container advert adverts advertisement advertisements adsbygoogle sponsored sponsored-content promo cookie-notice cookie-banner "
+    "cookie-consent comments comment comment-list commentlist comments-area comments-section user-comments reader-comments disqus_thread sidebar breadcrumb "
+    "breadcrumbs share-buttons social-share sharing-buttons related-posts related-articles newsletter-signup navbar site-header site-footer".split()
+)
+MODIFIERS = frozenset("has with no without is not".split())  # of names that say what an element contains or lacks
 ARTICLE = frozenset({"article", "main"})
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Frequent words of some languages (fixed values).
@@ -59,48 +70,80 @@ DENSE = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400
 GOOD, BAD, UNDECIDED = 1, 0, -1
 
 
-def _is_outside(tag: str, attributes: str, in_article: bool) -> bool:
-    if tag in OUTSIDE or tag == "header" and not in_article:
-        return True
-    if not attributes or tag in ("html", "body") or tag in ARTICLE:
-        return False
+IN, NAMED_SO, OUT = 0, 1, 2
+
+
+class Block(NamedTuple):
+    text: str
+    linked: int  # characters in links
+    outside: bool
+    inside: bool  # in an article or main element
+    article: int  # number of the innermost article element, -1 in none
+    named: int  # number of the outermost element that a part of its name puts outside, -1 in none
+    tag: str
+
+
+class Open(NamedTuple):
+    tag: str
+    outside: bool
+    inside: bool
+    article: int
+    named: int
+
+
+ROOT = Open("", False, False, -1, -1)
+
+
+def _place(tag: str, attributes: str, inside: bool) -> int:
+    """OUT for elements that hold no article text, NAMED_SO if only a part of the name says so."""
+    if tag in OUTSIDE or tag == "header" and not inside:
+        return OUT
+    if not attributes:
+        return IN
+    place = IN
     for name, value in NAMED.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return OUT
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
+            return OUT
+        if tag in ("html", "body") or tag in ARTICLE and name != "class":
+            continue
         if name == "role" and value in ROLES:
-            return True
+            return OUT
         if name in ("class", "id"):
-            parts = re.split(r"[^a-z0-9]+", value)
-            if not NAMES.isdisjoint(parts) or "header" in parts and not in_article:
-                return True
-    return False
-
-
-def blocks(html: str) -> list[tuple[str, int, bool, bool, str]]:
-    """(text, characters in links, outside, in an article, tag) of the blocks of a page in order."""
-    out: list[tuple[str, int, bool, bool, str]] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, outside, in an article
+            names = value.split()
+            if not WHOLE_NAMES.isdisjoint(names) and not (inside and tag in HEADINGS):
+                return OUT
+            if not inside and tag not in ARTICLE:
+                for parts in (re.split(r"[^a-z0-9]+", x) for x in names):
+                    if MODIFIERS.isdisjoint(parts) and ("header" in parts or not NAMES.isdisjoint(parts)):
+                        place = NAMED_SO
+    return place
+
+
+def blocks(html: str) -> list[Block]:
+    """The blocks of a page in order."""
+    out: list[Block] = []
+    stack: list[Open] = []
+    is_open: Counter[str] = Counter()
     pieces: list[str] = []
-    linked, link_depth, at = 0, 0, 0
+    linked, link_depth, at, articles, named = 0, 0, 0, 0, 0
 
     def flush() -> None:
         nonlocal linked
         if pieces:
             text = " ".join(unescape("".join(pieces)).split())
             if text:
-                tag, outside, inside = stack[-1] if stack else ("", False, False)
-                out.append((text, linked, outside, inside, tag))
+                tag, *place = stack[-1] if stack else ROOT
+                out.append(Block(text, linked, *place, tag))
             pieces.clear()
         linked = 0
 
-    def close(tag: str) -> None:
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] == tag:
-                del stack[i:]
-                return
+    def pop() -> str:
+        tag = stack.pop().tag
+        is_open[tag] -= 1
+        return tag
 
     def text_until(end: int) -> None:
         nonlocal linked
@@ -120,9 +163,12 @@ def blocks(html: str) -> list[tuple[str, int, bool, bool, str]]:
         if ending:
             if tag == "a":
                 link_depth = max(0, link_depth - 1)
-            elif tag in BLOCK or any(tag == s[0] for s in stack):
+            elif is_open[tag]:
+                flush()
+                while pop() != tag:
+                    pass
+            elif tag in BLOCK:
                 flush()
-                close(tag)
             continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
@@ -134,44 +180,59 @@ def blocks(html: str) -> list[tuple[str, int, bool, bool, str]]:
             pieces.append(" ")
         if tag == "a":
             link_depth = 1
-        inside = bool(stack) and stack[-1][2]
-        outside = bool(stack) and stack[-1][1] or _is_outside(tag, attributes, inside)
-        if tag in BLOCK or outside and not (stack and stack[-1][1]) and tag not in VOID:
+        above = stack[-1] if stack else ROOT
+        place = _place(tag, attributes, above.inside)
+        if tag in BLOCK or place != IN and not above.outside and tag not in VOID:
             flush()
             if tag in BLOCK:
                 link_depth = 0 if tag != "li" else link_depth
-                if stack and stack[-1][0] == "p" and not stack[-1][1]:
-                    stack.pop()  # a block ends a paragraph
-                elif stack and stack[-1][0] == "p" and tag == "p":
-                    stack.pop()
-                if stack and stack[-1][0] == tag and tag in ("li", "dt", "dd", "option", "td", "th", "tr"):
-                    stack.pop()
-                parent = stack[-1] if stack else ("", False, False)
-                outside = parent[1] or _is_outside(tag, attributes, parent[2])
-                inside = parent[2]
+                if above.tag == "p" and (tag == "p" or not above.outside):
+                    pop()  # a block ends a paragraph
+                above = stack[-1] if stack else ROOT
+                if above.tag == tag and tag in ("li", "dt", "dd", "option", "td", "th", "tr"):
+                    pop()
+                above = stack[-1] if stack else ROOT
+                place = _place(tag, attributes, above.inside)
             if tag not in VOID and not attributes.rstrip().endswith("/"):
-                stack.append((tag, outside, inside or tag in ARTICLE))
+                articles += tag == "article"
+                named += place == NAMED_SO and above.named < 0
+                stack.append(Open(
+                    tag, above.outside or place == OUT, above.inside or tag in ARTICLE, articles if tag == "article" else above.article,
+                    named if place == NAMED_SO and above.named < 0 else above.named,
+                ))
+                is_open[tag] += 1
     text_until(len(html))
     flush()
     return out
 
 
-def first_pass(block: tuple[str, int, bool, bool, str]) -> int:
+def first_pass(block: Block) -> int:
     """Good, bad or undecided by the block's own features."""
-    text, linked, outside, in_article, tag = block
-    if outside or linked > LINKS * len(text):
-        return BAD
-    if tag in HEADINGS or len(text) < SHORT:
-        return UNDECIDED if not linked or in_article else BAD
+    text = block.text
+    if block.linked > LINKS * len(text):
+        return UNDECIDED if block.inside else BAD
+    if block.tag in HEADINGS or len(text) < SHORT:
+        return UNDECIDED if not block.linked or block.inside else BAD
     found = WORDS.findall(text.lower())
     density = sum(w in STOP_WORDS for w in found) / max(1, len(found))
-    if density >= MANY or in_article and density >= FEW:
+    if density >= MANY or block.inside and density >= FEW:
         return GOOD
-    if density >= FEW or in_article:
+    if density >= FEW or block.inside:
         return UNDECIDED
     return BAD if len(text) < LONG or density < FEW / 2 else UNDECIDED
 
 
+def in_place(found: list[Block]) -> list[Block]:
+    """The blocks that are not outside, nor in a small element that its name puts outside."""
+    found = [b for b in found if not b.outside]
+    sizes: Counter[int] = Counter()
+    for b in found:
+        if b.linked <= LINKS * len(b.text):
+            sizes[b.named] += _length(b.text)
+    whole = sum(sizes.values())
+    return [b for b in found if b.named < 0 or 2 * sizes[b.named] > whole]
+
+
 def _length(text: str) -> int:
     """Characters, where one of a script without spaces counts as three."""
     return len(text) + 2 * len(DENSE.findall(text))
@@ -183,29 +244,45 @@ def _other_script(text: str) -> bool:
     return 2 * sum(len(LATIN.sub("", w)) for w in words) > sum(map(len, words))
 
 
-def unlisted(found: list[tuple[str, int, bool, bool, str]], labels: list[int]) -> list[int]:
-    """``labels`` of a page without an article element, with long blocks that stop words can't judge as good.
+def unlisted(found: list[Block], labels: list[int]) -> list[int]:
+    """``labels``, with long blocks that stop words can't judge as good.
 
     These are blocks of another script, and all blocks if those that are good by their stop words hold
-    less than half of the page's long text.
+    less than half of the page's long text.  Where an article element holds the text, it decides.
     """
-    if any(b[3] for b in found):
+    if any(b.inside for b in found):
         return labels
-    long = [i for i, b in enumerate(found) if b[4] not in HEADINGS and _length(b[0]) >= SHORT and not b[2] and b[1] <= LINKS * len(b[0])]
-    size = lambda which: sum(_length(found[i][0]) for i in which)
+    long = [i for i, b in enumerate(found) if b.tag not in HEADINGS and _length(b.text) >= SHORT and b.linked <= LINKS * len(b.text)]
+    size = lambda which: sum(_length(found[i].text) for i in which)
     no_language = 2 * size(i for i in long if labels[i] == GOOD) < size(long)
     out = list(labels)
     for i in long:
-        if labels[i] != GOOD and (no_language or _other_script(found[i][0])):
+        if labels[i] != GOOD and (no_language or _other_script(found[i].text)):
             out[i] = GOOD
     return out
 
 
+def of_articles(found: list[Block], labels: list[int]) -> list[int]:
+    """Labels of the undecided blocks of articles: good in articles with a good block.
+
+    If no article has one, as in languages without listed stop words, good in those that are at least
+    a quarter of the largest.
+    """
+    good = {b.article for b, label in zip(found, labels, strict=True) if label == GOOD and b.article >= 0}
+    if not good:
+        sizes: Counter[int] = Counter()
+        for b in found:
+            if b.article >= 0:
+                sizes[b.article] += _length(b.text)
+        good = {a for a, n in sizes.items() if 4 * n >= max(sizes.values())}
+    return [label if label != UNDECIDED or b.article < 0 else GOOD if b.article in good else BAD for b, label in zip(found, labels, strict=True)]
+
+
 def second_pass(labels: list[int], sizes: list[int], inside: list[bool]) -> list[bool]:
     """Undecided blocks get the label of their decided neighbours; where those differ, that of the nearer.
 
-    Distance counts characters between; at equal distance, and where no block is decided,
-    blocks of an article are good and others bad.
+    Distance counts characters between; at equal distance, and where no block is decided, blocks of a
+    main element are good and others bad.
     """
     n = len(labels)
     before: list[tuple[int, int] | None] = [None] * n
@@ -218,33 +295,27 @@ def second_pass(labels: list[int], sizes: list[int], inside: list[bool]) -> list
                 last = (labels[i], 0)
             elif last:
                 last = (last[0], last[1] + sizes[i])
+    some_good = GOOD in labels
     out = []
     for i, label in enumerate(labels):
         if label == UNDECIDED:
-            a, b = before[i], after[i]
-            if inside[i] and GOOD in (a and a[0], b and b[0]):
+            known = [x for x in (before[i], after[i]) if x]
+            if inside[i] and (not some_good or any(x[0] == GOOD for x in known)):
                 label = GOOD
-            elif a and b and a[0] != b[0] and a[1] != b[1]:
-                label = a[0] if a[1] < b[1] else b[0]
-            elif a and b and a[0] != b[0]:
+            elif len(known) == 2 and known[0][0] != known[1][0] and known[0][1] == known[1][1]:
                 label = GOOD if inside[i] else BAD
-            elif a or b:
-                label = (a or b)[0]  # type: ignore[index]
-                if inside[i] and label == BAD and not (a and b):
-                    label = GOOD
             else:
-                label = GOOD if inside[i] else BAD
-            if label == BAD and inside[i] and GOOD not in labels:
-                label = GOOD  # an article of short blocks only
+                label = min(known, key=lambda x: x[1])[0] if known else BAD
         out.append(label == GOOD)
     return out
 
 
 def main_text(html: str | None) -> str:
     """The article's blocks, one to a line; empty for null and for pages without one."""
-    found = [b for b in blocks(html or "") if not b[2]]
-    kept = second_pass(unlisted(found, [first_pass(b) for b in found]), [len(b[0]) for b in found], [b[3] for b in found])
-    return "\n".join(b[0] for b, k in zip(found, kept, strict=True) if k)
+    found = in_place(blocks(html or ""))
+    labels = of_articles(found, unlisted(found, [first_pass(b) for b in found]))
+    kept = second_pass(labels, [len(b.text) for b in found], [b.inside for b in found])
+    return "\n".join(b.text for b, k in zip(found, kept, strict=True) if k)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -523,7 +523,7 @@ def test_main_text():
 
 
 def test_pages_of_the_tables_give_their_articles(spark):
-    pages = spark.read.parquet(f"{DATA}/sf0.01/pages.parquet").limit(100)
+    pages = spark.read.parquet(f"{DATA}/sf0.01/pages.parquet")
     for r in html.extract(pages.withColumn("text", F.lit(1))).join(pages, "page_id").collect():
         article = re.search(r"<article>(.*?)(</article>|$)", r["html"], re.S)[1]
         want = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", b.replace("<br>", " "))).split()) for b in re.split(r"</?(?:p|h1)>", article)]
@@ -549,6 +549,56 @@ def test_pages_without_an_article_element_keep_unlisted_languages(text):
     assert text in html.main_text(page.replace("<footer>", notice + "<footer>"))
 
 
+SENTENCES = {
+    "en": "the house of the old man is on the hill and it was built by his father in that year",
+    "de": "das alte Haus des Mannes ist auf dem Berg und es wurde von seinem Vater in dem Jahr gebaut",
+    "ru": "старый дом этого человека стоит на холме и его построил отец в том самом году давно",
+    "ja": "その老人の家は丘の上にあり、彼の父がその年に建てたものである。庭には大きな木が立っている。",
+}
+
+
+@pytest.mark.parametrize("language", sorted(SENTENCES))
+@pytest.mark.parametrize("seed", range(6))
+def test_articles_without_an_article_element_in_wrappers_of_any_name(language, seed):
+    """Pages made of known parts: just the article's parts are the text."""
+    r = random.Random(seed)
+    long = lambda n: " ".join([SENTENCES[language]] * n)
+    body = [long(2), long(3), "1. " + SENTENCES[language][:20], long(2)]
+    inner = "".join(f"<p>{x}</p>" for x in body)
+    for name in r.sample(["content has-sidebar", "page-with-menu", "layout-sidebar-left", "widget-text", "main-content social", "post", "with-comments"], 3):
+        inner = f'<div {r.choice(["class", "id"])}="{name}">{inner}</div>'
+    out = [
+        f'<div class="cookie-notice"><p>{long(2)}</p></div>', f"<nav><ul>{''.join(f'<li><a href=/{i}>{long(1)}</a></li>' for i in range(5))}</ul></nav>",
+        f'<div class="sidebar"><p>{long(2)}</p></div>', f'<section id="comments"><p>{long(9)}</p></section>', f'<div class="promo-box"><p>{long(1)}</p></div>',
+        f"<footer><p>{long(2)}</p></footer>", f'<div role="search"><p>{long(1)}</p></div>', f"<form><p>{long(1)}</p></form>", f'<p hidden>{long(2)}</p>', f"<script>{long(3)}</script>",
+    ]
+    r.shuffle(out)
+    cut = r.randrange(len(out))
+    page = f"<html><body class='navbar-fixed'><h1>{SENTENCES[language][:15].strip()}</h1>" + "".join(out[:cut]) + inner + "".join(out[cut:]) + "</body></html>"
+    assert html.main_text(page).split("\n")[-4:] == body
+    assert len(html.main_text(page).split("\n")) in (4, 5)  # the heading stands before the text or before other blocks
+
+
+def test_names_inside_an_article_do_not_drop_its_text():
+    s = SENTENCES["en"] + "."
+    parts = ['<h2 id="search">Search</h2>', f'<section id="related-work"><p>{s}</p></section>', f'<p class="notice">{s}</p>', f'<div class="widget-text"><p>{s}</p></div>', f'<ul><li><a href="/x">{s}</a></li></ul>', f"<p>{s}</p>"]
+    page = f'<body><article><h1>Title</h1>{"".join(parts)}<div class="ad">{s}</div><section class="comments"><article><p>{s} {s}</p></article></section></article><aside>{s}</aside></body>'
+    assert html.main_text(page).split("\n") == ["Title", "Search", s, s, s, s, s]
+    teasers = "".join(f"<article><h2><a href=/{i}>Read more of it</a></h2></article>" for i in range(3))
+    assert html.main_text(f"<article><h1>Title</h1><p>{s}</p></article>{teasers}").split("\n") == ["Title", s]
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    took = []
+    for n in (20_000, 80_000):
+        began = time.perf_counter()
+        html.main_text("<b class=x><div>" * n + "</i></div>" * n)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 12 * took[0]
+
+
 # ---------------------------------------------------------------- 9
 
 
