@@ -1,13 +1,18 @@
 """Quality rules with thresholds adapted to each language and source.
 
-Four ratios of every text go into mergeable quantile sketches, one per language
-and source.  A sketch counts values in buckets of constant relative width (as
-DDSketch does, Masson et al. 2019): sketches merge by adding counts, so partial
-aggregation builds them in any order with the same result, and a quantile has a
-relative error of at most 1 %.  Sketches of sources with few documents are
-merged over the source, then over the language.  A text is rejected if a ratio
-lies beyond the fence that the quartiles of its own group give, or if it fails
-the base rules.  DataFrame operations only.
+Four ratios of every text, and its numbers of words and lines, go into mergeable
+quantile sketches, one per language and source.  A sketch counts values in buckets
+of constant relative width (as DDSketch does, Masson et al. 2019): sketches merge by
+adding counts, so partial aggregation builds them in any order with the same result,
+and a quantile has a relative error of at most 1 %.
+
+Every group's sketch is shrunk towards those of its language and of all documents,
+which are merged into it with the weight of ``PRIOR`` and a tenth of ``PRIOR``
+documents.  A ratio's fence lies ``FENCE`` interquartile ranges beyond the quartiles
+of its group.  Where most texts have a rate of zero the range says nothing; it is
+taken as at least ``EVENTS`` occurrences in a short text of the group, one at the
+first quartile of length, so these fences follow the group's lengths.  A text is
+rejected beyond a fence, or if it fails the base rules.  DataFrame operations only.
 """
 
 from __future__ import annotations
@@ -23,10 +28,14 @@ from ._text import WHITE, free_prefix, let, without, words
 SYMBOLS = "#*$%&|<>"
 ERROR = 0.01  # relative error of a sketch's quantiles
 GAMMA = (1 + ERROR) / (1 - ERROR)
-MIN_GROUP = 200  # documents from which a group's own sketch is used
+PRIOR = 200  # documents that the sketch of the language counts as in each of its groups
+PART = 1000  # sketches are merged in whole thousandths of a document
 FENCE = 5.0  # widths beyond the quartiles
-#: ratio, least width of a fence's unit: what counts as spread where a group has next to none
-RATIOS = {"word_length": 0.3, "symbol_rate": 0.03, "dup_line_rate": 0.1, "repeat_rate": 0.06}
+ZERO = -100_000  # the bucket of zero
+#: Rates, with what they are counted by, and the occurrences in a short text that make the least width (one repeated window has six words).
+EVENTS = {"symbol_rate": ("n_words", 3), "dup_line_rate": ("n_lines", 1), "repeat_rate": ("n_words", 6)}
+RATIOS = ("word_length", *EVENTS)
+LENGTHS = ("n_words", "n_lines")
 
 
 def _repeat_words(w: Column) -> Column:
@@ -70,19 +79,20 @@ def text_counts(text: Column) -> Column:
 
 
 def with_counts(docs: DataFrame, text_col: str = "text", prefix: str = "") -> DataFrame:
-    """``docs`` with its counts and ``base_failed``, each under ``prefix`` + name."""
-    c = f"{prefix}c"
+    """``docs`` with its counts and ``base_failed``, each under ``prefix`` + name; columns of ``docs`` with these names are replaced."""
+    c = free_prefix(docs.columns, "_counts_")
     n, repeat = F.col(c)["w"]["n_words"], F.col(c)["w"]["n_repeat_words"]
-    return docs.withColumn(c, text_counts(F.col(text_col))).select(
-        *[F.col(x) for x in docs.columns],
-        n.alias(f"{prefix}n_words"),
-        F.col(c)["word_chars"].alias(f"{prefix}word_chars"),
-        F.col(c)["n_symbols"].alias(f"{prefix}n_symbols"),
-        F.col(c)["l"]["n_lines"].alias(f"{prefix}n_lines"),
-        F.col(c)["l"]["n_dup_lines"].alias(f"{prefix}n_dup_lines"),
-        repeat.alias(f"{prefix}n_repeat_words"),
-        ((n < 50) | (100 * repeat > 50 * n)).alias(f"{prefix}base_failed"),
-    )
+    new = {
+        "n_words": n,
+        "word_chars": F.col(c)["word_chars"],
+        "n_symbols": F.col(c)["n_symbols"],
+        "n_lines": F.col(c)["l"]["n_lines"],
+        "n_dup_lines": F.col(c)["l"]["n_dup_lines"],
+        "n_repeat_words": repeat,
+        "base_failed": (n < 50) | (100 * repeat > 50 * n),
+    }
+    kept = [x for x in docs.columns if x.lower() not in {f"{prefix}{k}".lower() for k in new}]
+    return docs.withColumn(c, text_counts(F.col(text_col))).select(*kept, *[v.alias(f"{prefix}{k}") for k, v in new.items()])
 
 
 def _ratio(name: str, prefix: str) -> Column:
@@ -98,10 +108,11 @@ def _ratio(name: str, prefix: str) -> Column:
 def ratio_sketches(counted: DataFrame, lang_col: str, source_col: str, prefix: str = "") -> DataFrame:
     """``lang, source, ratio, bucket, n``: a mergeable sketch per group, of documents that pass the base rules.
 
-    Bucket b holds values in (GAMMA^(b-1), GAMMA^b]; zero has the bucket -100000.
+    Bucket b holds values in (GAMMA^(b-1), GAMMA^b]; zero has a bucket of its own.
     """
-    values = F.array(*[F.struct(F.lit(r).alias("ratio"), _ratio(r, prefix).alias("x")) for r in RATIOS])
-    bucket = F.when(F.col("v.x") > 0, F.ceil(F.log(F.col("v.x")) / F.lit(math.log(GAMMA)))).otherwise(-100000).cast("int")
+    found = {r: _ratio(r, prefix) for r in RATIOS} | {x: F.col(prefix + x).cast("double") for x in LENGTHS}
+    values = F.array(*[F.struct(F.lit(r).alias("ratio"), x.alias("x")) for r, x in found.items()])
+    bucket = F.when(F.col("v.x") > 0, F.ceil(F.log(F.col("v.x")) / F.lit(math.log(GAMMA)))).otherwise(ZERO).cast("int")
     return (
         counted.where(~F.col(f"{prefix}base_failed"))
         .select(F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), F.explode(values).alias("v"))
@@ -110,44 +121,52 @@ def ratio_sketches(counted: DataFrame, lang_col: str, source_col: str, prefix: s
     )
 
 
-def _quartiles(sketch: DataFrame, *by: str) -> DataFrame:
-    """Count and quartiles of each group's sketch, merged over all columns but ``by``."""
-    merged = sketch.groupBy(*by, "ratio", "bucket").agg(F.sum("n").alias("n"))
-    over = Window.partitionBy(*by, "ratio")
-    ranked = merged.withColumn("total", F.sum("n").over(over)).withColumn("upto", F.sum("n").over(over.orderBy("bucket")))
-    middle = F.when(F.col("bucket") == -100000, 0.0).otherwise(2 * F.pow(F.lit(GAMMA), F.col("bucket")) / (GAMMA + 1))
-    quartile = lambda q: F.min(F.when(F.col("upto") > F.floor(q * (F.col("total") - 1)), F.struct("bucket", middle.alias("x"))))["x"]
-    return ranked.groupBy(*by, "ratio").agg(F.max("total").alias("total"), quartile(0.25).alias("q1"), quartile(0.75).alias("q3"))
+def shrunk(sketch: DataFrame, prior: int = PRIOR) -> DataFrame:
+    """The sketch of each group with those of its language and of all documents merged in; ``n`` in parts of a document."""
+    own = sketch.select("lang", "source", "ratio", "bucket", (F.col("n") * PART).alias("n"))
+    groups = sketch.select("lang", "source", "ratio").distinct()
 
+    def merged_in(by: list[str], documents: int) -> DataFrame:
+        sums = sketch.groupBy(*by, "bucket").agg(F.sum("n").alias("n"))
+        whole = F.sum("n").over(Window.partitionBy(*by))  # a row for each bucket
+        share = sums.withColumn("_n", F.floor(F.lit(PART * documents) * F.col("n") / whole)).select(*[F.col(c).alias(f"_{c}") for c in by], "bucket", "_n")
+        same = F.lit(True)
+        for c in by:
+            same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+        return groups.join(share, same).select("lang", "source", "ratio", "bucket", F.col("_n").alias("n"))
 
-def fences(sketch: DataFrame, min_group: int = MIN_GROUP, widths: float = FENCE) -> DataFrame:
-    """``lang, source``, and ``lo_, hi_`` of each ratio.
+    everything = own.unionByName(merged_in(["lang", "ratio"], prior)).unionByName(merged_in(["ratio"], prior // 10))
+    return everything.groupBy("lang", "source", "ratio", "bucket").agg(F.sum("n").alias("n"))
 
-    Of a group with fewer than ``min_group`` documents the fences are those of its
-    language, or of all documents if that has too few as well.
-    """
-    one = _quartiles(sketch, "lang", "source")
-    lang = _quartiles(sketch, "lang").select(F.col("lang").alias("_lang"), F.col("ratio").alias("_ratio"), *[F.col(c).alias(f"lang_{c}") for c in ("total", "q1", "q3")])
-    every = _quartiles(sketch.withColumn("every", F.lit(1)), "every").select(F.col("ratio").alias("_all_ratio"), F.col("q1").alias("all_q1"), F.col("q3").alias("all_q3"))
-    joined = one.join(lang, F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("ratio") == F.col("_ratio"))).join(every, F.col("ratio") == F.col("_all_ratio"))
-    pick = lambda c: F.when(F.col("total") >= min_group, F.col(c)).when(F.col("lang_total") >= min_group, F.col(f"lang_{c}")).otherwise(F.col(f"all_{c}"))
-    unit = F.create_map(*[x for r, u in RATIOS.items() for x in (F.lit(r), F.lit(u))])
-    width = widths * F.greatest(F.col("b") - F.col("a"), unit[F.col("ratio")])
-    return (
-        joined.select("lang", "source", "ratio", pick("q1").alias("a"), pick("q3").alias("b"))
-        .select("lang", "source", "ratio", (F.col("a") - width).alias("lo"), (F.col("b") + width).alias("hi"))
-        .groupBy("lang", "source")
-        .agg(*[F.max(F.when(F.col("ratio") == r, F.col(e))).alias(f"{e}_{r}") for r in RATIOS for e in ("lo", "hi")])
+
+def quartiles(sketch: DataFrame) -> DataFrame:
+    """``lang, source, ratio, q1, q2, q3`` of each group's sketch."""
+    over = Window.partitionBy("lang", "source", "ratio")
+    ranked = sketch.withColumn("total", F.sum("n").over(over)).withColumn("upto", F.sum("n").over(over.orderBy("bucket")))
+    middle = F.when(F.col("bucket") == ZERO, 0.0).otherwise(2 * F.pow(F.lit(GAMMA), F.col("bucket")) / (GAMMA + 1))
+    quartile = lambda q: F.min(F.when(F.col("upto") > F.floor(q * (F.col("total") - 1)), F.struct("bucket", middle.alias("x"))))["x"]
+    return ranked.groupBy("lang", "source", "ratio").agg(*[quartile(k / 4).alias(f"q{k}") for k in (1, 2, 3)])
+
+
+def fences(sketch: DataFrame, prior: int = PRIOR, widths: float = FENCE) -> DataFrame:
+    """``lang, source``, and ``lo_, hi_`` of each ratio."""
+    q = quartiles(shrunk(sketch, prior))
+    wide = q.groupBy("lang", "source").agg(*[F.max(F.when(F.col("ratio") == r, F.col(f"q{k}"))).alias(f"{r}_{k}") for r in (*RATIOS, *LENGTHS) for k in (1, 2, 3)])
+    # a median is known to 2 * ERROR of itself
+    least = {"word_length": 2 * ERROR * F.col("word_length_2")} | {r: F.lit(float(n)) / F.col(f"{by}_1") for r, (by, n) in EVENTS.items()}
+    width = {r: widths * F.greatest(F.col(f"{r}_3") - F.col(f"{r}_1"), least[r]) for r in RATIOS}
+    return wide.select(
+        "lang", "source", *[(F.col(f"{r}_1") - width[r]).alias(f"lo_{r}") for r in RATIOS], *[(F.col(f"{r}_3") + width[r]).alias(f"hi_{r}") for r in RATIOS]
     )
 
 
-def judge(counted: DataFrame, lang_col: str = "lang", source_col: str = "source", prefix: str = "", min_group: int = MIN_GROUP) -> DataFrame:
+def judge(counted: DataFrame, lang_col: str = "lang", source_col: str = "source", prefix: str = "", prior: int = PRIOR) -> DataFrame:
     """Add ``prefix`` + ``kept``: false where base rules fail or a ratio lies beyond its group's fence.
 
     ``counted`` should be a stored table: it is read for the sketches and again for the verdicts.
     Nulls are a language and a source of their own.  In a group without sketch all have failed the base rules.
     """
-    limits = fences(ratio_sketches(counted, lang_col, source_col, prefix), min_group)
+    limits = fences(ratio_sketches(counted, lang_col, source_col, prefix), prior)
     f = free_prefix(counted.columns, "_fence_")
     limits = limits.select(*[F.col(c).alias(f"{f}{c}") for c in limits.columns])
     same = F.col(lang_col).eqNullSafe(F.col(f"{f}lang")) & F.col(source_col).eqNullSafe(F.col(f"{f}source"))
@@ -197,23 +216,21 @@ c AS (SELECT d.doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words,
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
     CAST(word_chars AS DOUBLE) / greatest(n_words, 1) AS word_length, CAST(n_symbols AS DOUBLE) / greatest(n_words, 1) AS symbol_rate,
     CAST(n_dup_lines AS DOUBLE) / greatest(n_lines, 1) AS dup_line_rate, CAST(n_repeat_words AS DOUBLE) / greatest(n_words, 1) AS repeat_rate FROM c),
-v AS (SELECT lang, source, ratio, x FROM (SELECT * FROM f WHERE NOT base_failed) UNPIVOT (x FOR ratio IN ({', '.join(RATIOS)}))),
-b AS (SELECT lang, source, ratio, CASE WHEN x > 0 THEN CAST(ceil(ln(x) / {math.log(GAMMA)!r}) AS INT) ELSE -100000 END AS bucket FROM v),
-s AS (SELECT 2 AS level, lang, source, ratio, bucket, count(*) AS n FROM b GROUP BY ALL
-    UNION ALL SELECT 1, lang, NULL, ratio, bucket, count(*) FROM b GROUP BY ALL
-    UNION ALL SELECT 0, NULL, NULL, ratio, bucket, count(*) FROM b GROUP BY ALL),
-k AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, ratio) AS total,
-    sum(n) OVER (PARTITION BY level, lang, source, ratio ORDER BY bucket) AS upto,
-    CASE WHEN bucket = -100000 THEN 0.0 ELSE 2 * pow({GAMMA!r}::DOUBLE, bucket) / ({GAMMA!r}::DOUBLE + 1) END AS x FROM s),
-q AS (SELECT level, lang, source, ratio, max(total) AS total,
-    min(CASE WHEN upto > floor(0.25 * (total - 1)) THEN x END) AS q1, min(CASE WHEN upto > floor(0.75 * (total - 1)) THEN x END) AS q3
-    FROM k GROUP BY ALL),
-p AS (SELECT o.lang, o.source, o.ratio,
-    CASE WHEN o.total >= {MIN_GROUP} THEN o.q1 WHEN m.total >= {MIN_GROUP} THEN m.q1 ELSE z.q1 END AS a,
-    CASE WHEN o.total >= {MIN_GROUP} THEN o.q3 WHEN m.total >= {MIN_GROUP} THEN m.q3 ELSE z.q3 END AS b
-    FROM q o JOIN q m ON m.level = 1 AND m.lang IS NOT DISTINCT FROM o.lang AND m.ratio = o.ratio
-    JOIN q z ON z.level = 0 AND z.ratio = o.ratio WHERE o.level = 2),
-h AS (SELECT lang, source, ratio, a, b, {FENCE} * greatest(b - a, CASE ratio {' '.join(f"WHEN '{r}' THEN {u}" for r, u in RATIOS.items())} END) AS width FROM p),
+u AS (SELECT *, CAST(n_words AS DOUBLE) AS words_x, CAST(n_lines AS DOUBLE) AS lines_x FROM f WHERE NOT base_failed),
+v AS (SELECT lang, source, CASE ratio WHEN 'words_x' THEN 'n_words' WHEN 'lines_x' THEN 'n_lines' ELSE ratio END AS ratio, x FROM u UNPIVOT (x FOR ratio IN ({', '.join(RATIOS)}, words_x, lines_x))),
+s AS (SELECT lang, source, ratio, CASE WHEN x > 0 THEN CAST(ceil(ln(x) / {math.log(GAMMA)!r}) AS INT) ELSE {ZERO} END AS bucket, count(*) AS n FROM v GROUP BY ALL),
+groups AS (SELECT DISTINCT lang, source, ratio FROM s),
+sl AS (SELECT lang, ratio, bucket, sum(n) AS n, sum(sum(n)) OVER (PARTITION BY lang, ratio) AS whole FROM s GROUP BY lang, ratio, bucket),
+sa AS (SELECT ratio, bucket, sum(n) AS n, sum(sum(n)) OVER (PARTITION BY ratio) AS whole FROM s GROUP BY ratio, bucket),
+m AS (SELECT lang, source, ratio, bucket, sum(n) AS n FROM (SELECT lang, source, ratio, bucket, n * {PART} AS n FROM s
+    UNION ALL SELECT g.lang, g.source, g.ratio, bucket, floor({PART * PRIOR} * n / CAST(whole AS DOUBLE)) FROM groups g JOIN sl ON sl.lang IS NOT DISTINCT FROM g.lang AND sl.ratio = g.ratio
+    UNION ALL SELECT g.lang, g.source, g.ratio, bucket, floor({PART * (PRIOR // 10)} * n / CAST(whole AS DOUBLE)) FROM groups g JOIN sa ON sa.ratio = g.ratio) GROUP BY ALL),
+k AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, ratio) AS total, sum(n) OVER (PARTITION BY lang, source, ratio ORDER BY bucket) AS upto,
+    CASE WHEN bucket = {ZERO} THEN 0.0 ELSE 2 * pow({GAMMA!r}::DOUBLE, bucket) / ({GAMMA!r}::DOUBLE + 1) END AS x FROM m),
+q AS (SELECT lang, source, ratio, {', '.join(f"min(CASE WHEN upto > floor({i / 4} * (total - 1)) THEN x END) AS q{i}" for i in (1, 2, 3))} FROM k GROUP BY ALL),
+h AS (SELECT q.lang, q.source, q.ratio, q1 AS a, q3 AS b, {FENCE} * greatest(q3 - q1, CASE q.ratio WHEN 'word_length' THEN {2 * ERROR} * q2
+    {' '.join(f"WHEN '{r}' THEN {float(n)} / (SELECT o.q1 FROM q o WHERE o.ratio = '{by}' AND o.lang IS NOT DISTINCT FROM q.lang AND o.source IS NOT DISTINCT FROM q.source)" for r, (by, n) in EVENTS.items())} END) AS width
+    FROM q WHERE q.ratio NOT IN ('n_words', 'n_lines')),
 o AS (SELECT f.doc_id, bool_and(y.x BETWEEN h.a - h.width AND h.b + h.width) AS inside
     FROM f JOIN (SELECT doc_id, ratio, x FROM f UNPIVOT (x FOR ratio IN ({', '.join(RATIOS)}))) y USING (doc_id)
     JOIN h ON h.lang IS NOT DISTINCT FROM f.lang AND h.source IS NOT DISTINCT FROM f.source AND h.ratio = y.ratio GROUP BY f.doc_id)
