@@ -25,7 +25,7 @@ from ._storage import materialize
 
 CAPACITY = 1024
 END = 2  # the id after each document
-SALTS = 64
+PER_SALT = 100_000  # pieces of one length that a task ranks, about
 #: The pre-tokenisation pattern of byte-level BPE (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -60,16 +60,23 @@ def encode_text(path: str):
     return lambda text: e.encode(text, allowed_special="all") if any(x in text for x in specials) else e.encode_ordinary(text)
 
 
-def token_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end: int = END) -> DataFrame:
+def default_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def token_pieces(docs: DataFrame, path: str | None, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end: int = END) -> DataFrame:
     """``id_col, piece, start, length, ids_crc32``: the pieces of each text's ids with ``end`` after them.
 
     Texts are encoded whole; null is empty, which gives a piece of length 1.  Only ids longer than
-    ``capacity`` are cut; then the first piece is the shorter one.
+    ``capacity`` are cut; then the first piece is the shorter one.  ``path`` is that of the tokenizer
+    on the machines of the executors; where it is None they ask the installed vocabulary files.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encode_text(path)
+        encode = encode_text(path or default_tokenizer())
         for batch in batches:
             at, piece, start, length, crc = [], [], [], [], []
             for row, text in enumerate(batch.column(1)):
@@ -154,23 +161,22 @@ def _slots(bins: list[tuple[list[int], int]]) -> list[tuple[int, int, int, int,
 def pack(pieces: DataFrame, id_col: str = "doc_id", capacity: int = CAPACITY) -> DataFrame:
     """``pieces``, a stored table, with ``sequence_id`` and ``offset``.
 
-    Lengths are from 1 to ``capacity``.  The lengths, their bins and the ranks of the salts reach the
-    driver: at most ``capacity`` times ``SALTS`` rows, whatever the input.
+    Lengths are from 1 to ``capacity``.  What reaches the driver is the histogram of the lengths, at
+    most ``capacity`` rows, whatever the input.  Each length has as many salted groups as its pieces need.
     """
     spark = pieces.sparkSession
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64(id_col, "piece"), F.lit(SALTS)).cast("int"))
-    sums = sorted((r["length"], r["_salt"], r["n"]) for r in salted.groupBy("length", "_salt").agg(F.count("*").alias("n")).collect())
-    counts: dict[int, int] = {}
-    before = []  # pieces of the same length with a smaller salt
-    for length, salt, n in sums:
-        before.append((length, salt, counts.get(length, 0)))
-        counts[length] = counts.get(length, 0) + n
+    counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     slots = _slots(minimum_bin_slack(counts, capacity))
-    first = spark.createDataFrame(before, "_l long, _s int, _before long")
+    salts = spark.createDataFrame([(x, -(-n // PER_SALT)) for x, n in sorted(counts.items())], "_l long, _salts long")
+    salted = pieces.join(F.broadcast(salts), F.col("length") == F.col("_l"))  # at most ``capacity`` rows
+    salted = salted.withColumn("_salt", F.pmod(F.xxhash64(id_col, "piece"), F.col("_salts"))).drop("_l", "_salts")
+    upto = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)  # a row for each salt
+    sums = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
+    first = sums.select(F.col("length").alias("_l"), F.col("_salt").alias("_s"), F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"))
     line = Window.partitionBy("length", "_salt").orderBy(id_col, "piece")
     ranked = (
         salted.withColumn("_in", F.row_number().over(line) - 1)
-        .join(F.broadcast(first), (F.col("length") == F.col("_l")) & (F.col("_salt") == F.col("_s")))
+        .join(first, (F.col("length") == F.col("_l")) & (F.col("_salt") == F.col("_s")))
         .withColumn("_rank", F.col("_before") + F.col("_in"))
         .drop("_l", "_s", "_before", "_in", "_salt")
     )
@@ -202,10 +208,6 @@ def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, id_col: s
     Null and empty texts give one piece of the end id.  Rows with equal ids are packed each for
     itself.  An empty table gives no rows; other columns are ignored.
     """
-    if tokenizer_path is None:
-        import public_tokenizers
-
-        tokenizer_path = public_tokenizers.path("byte_bpe_50k.json")
     pieces = materialize(token_pieces(docs, tokenizer_path, id_col, text_col, capacity), "token-pieces")
     return pack(pieces, id_col, capacity)
 
