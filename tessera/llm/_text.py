@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WHITE = "\t\n\x0b\f\r "  # the characters 0x09-0x0D and 0x20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -35,3 +36,8 @@ def free_prefix(columns: list[str], prefix: str) -> str:
     while any(c.lower().startswith(prefix) for c in columns):
         prefix += "_"
     return prefix
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns of a row but maps: rows with equal ids and hashes are equal."""
+    return F.xxhash64(*[F.col(f.name) for f in df.schema if not isinstance(f.dataType, T.MapType)])

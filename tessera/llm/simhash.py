@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ._buckets import Forest, bounded_groups, group_chunks, small_pairs, sorted_groups
 from ._components import connected_components
 from ._storage import materialize
-from ._text import free_prefix
+from ._text import free_prefix, row_hash
 
 LOW_BITS = 0x5555555555555555  # the low bit of every two-bit segment
 HALF = 16  # segments in each half
@@ -123,6 +123,14 @@ def fingerprint_links(fps: DataFrame, max_bits: int = MAX_BITS, limit: int = 204
     return sorted_groups(rows).mapInArrow(_compare(max_bits), "a long, b long")
 
 
+def _components(prints: DataFrame, id_col: str, max_bits: int) -> DataFrame:
+    """``fp, least_id, component``: a row for each fingerprint, with the smallest fingerprint that it reaches."""
+    least = prints.groupBy("fp").agg(F.min(id_col).alias("least_id"))
+    nodes = connected_components(fingerprint_links(prints, max_bits))
+    comps = least.join(nodes, F.col("fp") == F.col("node"), "left").select("fp", "least_id", F.coalesce("component", "fp").alias("component"))
+    return materialize(comps, "fingerprint-components")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = MAX_BITS) -> DataFrame:
     """``id_col, fp, component_id`` for each row of ``docs``.
 
@@ -132,13 +140,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     never becomes a component's id unless all its ids are null.  Other columns are ignored.
     """
     prints = materialize(with_fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    least = prints.groupBy("fp").agg(F.min(id_col).alias("least_id"))
-    nodes = connected_components(fingerprint_links(prints, max_bits))
-    comps = (
-        least.join(nodes, F.col("fp") == F.col("node"), "left")
-        .select("fp", "least_id", F.coalesce("component", "fp").alias("component"))
-    )
-    comps = materialize(comps, "fingerprint-components")
+    comps = _components(prints, id_col, max_bits)
     first = comps.groupBy(F.col("component").alias("c")).agg(F.min("least_id").alias("component_id"))
     by_fp = comps.join(first, F.col("component") == F.col("c")).select(F.col("fp").alias("_fp"), "component_id")
     by_fp = materialize(by_fp, "fingerprint-groups")
@@ -153,12 +155,19 @@ def op5_query(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each component, that of the smallest ``doc_id``; columns unchanged.
+    """``docs`` with one row of each component, columns unchanged: that of the smallest ``doc_id``, null last.
 
-    Of rows with equal id and text one stays.  Rows with a null id all stay unless their component
-    has ids.
+    Of rows with the same smallest id the one of the smallest row hash stays; of wholly equal rows
+    one.  Ids, fingerprints and hashes decide; each text then moves once.
     """
     p = free_prefix(docs.columns, "_dedup_")
-    found = near_duplicates(docs)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(f"{p}id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(f"{p}id")), "left_semi").dropDuplicates(["doc_id", "text"])
+    i, h = f"{p}id", f"{p}hash"
+    keyed = docs.withColumn(i, F.col("doc_id")).withColumn(h, row_hash(docs))
+    # the id and the hash are carried as one struct through the fingerprinting
+    prints = with_fingerprints(keyed.select(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col(h).alias("hash")).alias("doc_id"), "text"))
+    prints = materialize(prints, "fingerprints")
+    comps = _components(prints, "doc_id", MAX_BITS)
+    first = comps.groupBy("component").agg(F.min("least_id").alias("k")).select(F.col("k.id").alias("_id"), F.col("k.hash").alias("_hash"))
+    # equal rows meet before the shuffle, so no number of copies is one task's work
+    rows = keyed.dropDuplicates([i, h])
+    return rows.join(first, F.col(i).eqNullSafe(F.col("_id")) & (F.col(h) == F.col("_hash")), "left_semi").select(*docs.columns)
