@@ -18,13 +18,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._storage import materialize
-from ._text import free_prefix, let, words
+from ._text import free_prefix, let, row_hash, words
 
 MAX_REPEATS = 3  # times its size that a source or document may be taken
-BLOCKS_PER_SOURCE = 20_000  # blocks in the mean source: the grain of the mix
+BLOCKS_PER_SOURCE = 20_000  # blocks in the mean source at least: the grain of the mix
 MIN_BLOCK = 8  # words
-SHARD_BLOCKS = 64  # blocks of a shard at least; a source has at most about BLOCKS_PER_SOURCE / SHARD_BLOCKS shards times its part
+SHARD_BLOCKS = 64  # blocks of a shard at least
 SHARD_WORDS = 1_000_000  # words of a shard at least
+SHARDS = 200_000  # shards of all sources at most, about: what reaches the driver; beyond, shards have more words
 
 
 def capped_targets(sizes: np.ndarray, weights: np.ndarray, most: float = MAX_REPEATS) -> np.ndarray:
@@ -90,10 +91,10 @@ def _number(digest: Column) -> Column:
 def mix(sized: DataFrame, weights: tuple[float, ...] = (1, 2, 3), seed: int = 17, id_col: str = "doc_id", source_col: str = "source", size_col: str = "size", most: int = MAX_REPEATS, carry: tuple[str, ...] = ()) -> DataFrame:
     """``id_col, size_col, source_col, source_size, target, taken, spans`` for each row.
 
-    ``sized`` should be a stored table; its columns ``carry`` are returned as well.  Sources are ordered by code point, null last, and get
+    ``sized`` should be a stored table; its columns ``carry`` are returned as well and order rows of equal id and size.  Sources are ordered by code point, null last, and get
     ``weights`` in turn.  ``taken`` counts words with repeats; ``spans`` lists
     (first word, words, times) of what is taken, in order.  Rows of size 0 or null take nothing.
-    Equal rows lie next to each other and may take different parts.  An empty table gives no rows.
+    Equal rows lie next to each other and may take different parts; which of them takes which does not matter.  An empty table gives no rows.
     """
     spark = sized.sparkSession
     size = F.coalesce(F.col(size_col), F.lit(0)).cast("long")
@@ -103,10 +104,11 @@ def mix(sized: DataFrame, weights: tuple[float, ...] = (1, 2, 3), seed: int = 17
         key=lambda r: (r[source_col] is None, (r[source_col] or "").encode("utf-32-be")),
     )  # one row for each source
     total = sum(r["n"] for r in sources)
-    block = int(max(MIN_BLOCK, total // (BLOCKS_PER_SOURCE * max(1, len(sources)))))
+    shard_words = max(SHARD_WORDS, total // SHARDS)
+    block = int(max(MIN_BLOCK, min(total // (BLOCKS_PER_SOURCE * max(1, len(sources))), shard_words // SHARD_BLOCKS)))
     for i, r in enumerate(sources):
         r["weight"] = float(weights[i % len(weights)])
-        r["shards"] = int(max(1, r["n"] // max(SHARD_WORDS, SHARD_BLOCKS * block)))
+        r["shards"] = int(max(1, r["n"] // max(shard_words, SHARD_BLOCKS * block)))
     targets = capped_targets([r["n"] for r in sources], [r["weight"] for r in sources], most) if sources else []
     kind = sized.schema[source_col].dataType.simpleString()
     table = spark.createDataFrame(
@@ -118,7 +120,7 @@ def mix(sized: DataFrame, weights: tuple[float, ...] = (1, 2, 3), seed: int = 17
     dealt = dealt.withColumn("_shard", F.pmod(_number("_digest"), F.col("_shards").cast("long")).cast("int"))
     dealt = materialize(dealt.drop("_source", "_shards"), "mix-shards")
 
-    sums = dealt.groupBy(source_col, "_shard").agg(F.sum("_size").alias("n")).collect()  # a few hundred for each source
+    sums = dealt.groupBy(source_col, "_shard").agg(F.sum("_size").alias("n")).collect()  # about SHARDS rows at most
     by_source: dict = {}
     for r in sums:
         by_source.setdefault(r[source_col], []).append((r["_shard"], r["n"]))
@@ -137,7 +139,7 @@ def mix(sized: DataFrame, weights: tuple[float, ...] = (1, 2, 3), seed: int = 17
                 quotas.append((r[source_col], shard, q // c, q % c, c, first))
     shards = spark.createDataFrame(quotas, f"_source {kind}, _quota_shard int, _passes long, _extra long, _blocks long, _first long")
 
-    line = Window.partitionBy(source_col, "_shard").orderBy("_digest", id_col).rowsBetween(Window.unboundedPreceding, -1)
+    line = Window.partitionBy(source_col, "_shard").orderBy("_digest", id_col, *carry).rowsBetween(Window.unboundedPreceding, -1)
     placed = dealt.withColumn("_start", F.coalesce(F.sum("_size").over(line), F.lit(0)))
     joined = placed.join(shards, F.col(source_col).eqNullSafe(F.col("_source")) & (F.col("_shard") == F.col("_quota_shard")), "left")
     # the documents of a shard lie in a seeded order, so a run of blocks from a seeded first one is a seeded selection
@@ -169,22 +171,22 @@ def take(docs: DataFrame) -> DataFrame:
     A document is repeated as often as it is taken whole; words that are taken once more make a
     further row with the text of just those words, joined by spaces, and its length as ``n_chars``.
     Null and empty texts have no words and go.  Null ids and sources are values like others;
-    repeated rows take their parts one by one.  An empty table gives an empty one.
+    equal rows take their parts one by one.  An empty table gives an empty one.  Sizes, ids and row
+    hashes make the mix; each text then moves once.
     """
     columns, p = docs.columns, free_prefix(docs.columns, "_mix_")
     size = F.size(words(F.col("text"))).cast("long")
-    # equal ids are told apart by their place among their source and size
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("source", f"{p}size"))
-    sized = materialize(docs.select("doc_id", "source", size.alias(f"{p}size")).withColumn(f"{p}nth", nth), "mix-sizes")
-    got = materialize(mix(sized, size_col=f"{p}size", carry=(f"{p}nth",)).where("taken > 0"), "mix-spans")
+    keyed = docs.withColumn(f"{p}hash", row_hash(docs))
+    sized = materialize(keyed.select("doc_id", "source", size.alias(f"{p}size"), f"{p}hash"), "mix-sizes")
+    got = materialize(mix(sized, size_col=f"{p}size", carry=(f"{p}hash",)).where("taken > 0"), "mix-spans")
     covered = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["words"]) == F.col(f"{p}size")
     whole_passes = F.when(covered, F.array_min("spans.times")).otherwise(0)
     # parts beyond the whole passes are taken once more
     beyond = let(whole_passes, lambda n: F.struct(n.alias("whole"), F.filter("spans", lambda x: x["times"] > n).alias("parts")))
-    got = got.select(F.col("doc_id").alias(f"{p}id"), F.col(f"{p}nth").alias(f"{p}got_nth"), beyond.alias(f"{p}beyond"))
-    got = got.select(f"{p}id", f"{p}got_nth", F.col(f"{p}beyond.whole").cast("int").alias(f"{p}whole"), F.col(f"{p}beyond.parts").alias(f"{p}parts"))
-    numbered = docs.withColumn(f"{p}size", size).withColumn(f"{p}nth", nth)
-    joined = numbered.join(got, F.col("doc_id").eqNullSafe(F.col(f"{p}id")) & (F.col(f"{p}nth") == F.col(f"{p}got_nth")))
+    got = got.select(F.col("doc_id").alias(f"{p}id"), F.col(f"{p}hash").alias(f"{p}got_hash"), beyond.alias(f"{p}beyond"))
+    got = got.select(f"{p}id", f"{p}got_hash", F.col(f"{p}beyond.whole").cast("int").alias(f"{p}whole"), F.col(f"{p}beyond.parts").alias(f"{p}parts"))
+    # equal rows are one row here, met before the shuffle; each of their parts joins it
+    joined = keyed.dropDuplicates(["doc_id", f"{p}hash"]).join(got, F.col("doc_id").eqNullSafe(F.col(f"{p}id")) & (F.col(f"{p}hash") == F.col(f"{p}got_hash")))
     slices = lambda w: F.transform(f"{p}parts", lambda x: F.slice(w, (x["first"] + 1).cast("int"), x["words"].cast("int")))
     part_text = F.array_join(F.flatten(let(words(F.col("text")), slices)), " ")
     part = F.when(F.size(f"{p}parts") > 0, F.array(part_text)).otherwise(F.array().cast("array<string>"))
@@ -210,8 +212,8 @@ o AS (SELECT *, row_number() OVER (ORDER BY n / weight, place) - 1 AS capped, co
     sum(weight) OVER (ORDER BY n / weight, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM w),
 lam AS (SELECT min(capped) AS capped, min_by((total - {MAX_REPEATS} * small) / rest, capped) AS share FROM o WHERE (total - {MAX_REPEATS} * small) / rest * weight <= {MAX_REPEATS} * n),
 t AS (SELECT o.*, CASE WHEN o.capped < lam.capped THEN {MAX_REPEATS} * n ELSE lam.share * weight END AS target,
-    greatest({MIN_BLOCK}, total // ({BLOCKS_PER_SOURCE} * m)) AS block FROM o, lam),
-h AS (SELECT *, greatest(1, n // greatest({SHARD_WORDS}, {SHARD_BLOCKS} * block)) AS shards FROM t),
+    greatest({SHARD_WORDS}, total // {SHARDS}) AS shard_words, greatest({MIN_BLOCK}, least(total // ({BLOCKS_PER_SOURCE} * m), greatest({SHARD_WORDS}, total // {SHARDS}) // {SHARD_BLOCKS})) AS block FROM o, lam),
+h AS (SELECT *, greatest(1, n // greatest(shard_words, {SHARD_BLOCKS} * block)) AS shards FROM t),
 p AS (SELECT d.*, h.n AS source_size, h.target, h.block, h.place, {own} AS digest, CAST('0x' || substr({own}, 1, 12) AS BIGINT) % h.shards AS shard FROM d JOIN h ON h.source IS NOT DISTINCT FROM d.source),
 x AS (SELECT place, shard, any_value(source) AS source, any_value(block) AS block, CAST(sum(size) AS BIGINT) AS words, CAST(ceil(sum(size) / CAST(any_value(block) AS DOUBLE)) AS BIGINT) AS blocks FROM p GROUP BY place, shard),
 q AS (SELECT t.place, CAST(round_even(t.target, 0) AS DOUBLE) AS votes, unnest(range(1, CAST({MAX_REPEATS} * b.blocks + 1 AS BIGINT))) AS k, (SELECT round(sum(target) / min(block)) FROM t) AS seats FROM t JOIN (SELECT place, sum(blocks) AS blocks FROM x GROUP BY place) b USING (place)),

@@ -617,6 +617,18 @@ def test_quality_counts(docs, empty):
     assert quality.quality_filter(empty).count() == 0 and quality.quality_filter(docs).columns == docs.columns
 
 
+def test_small_groups_lean_on_their_language(spark):
+    rows = [("en", "big", "word_length", b, 100) for b in (70, 80, 90)] + [("en", "tiny", "word_length", 300, 3), (None, None, "word_length", 80, 1)]
+    sketch = spark.createDataFrame(rows, "lang string, source string, ratio string, bucket int, n long")
+    q = {(x["lang"], x["source"]): x for x in quality.quartiles(quality.shrunk(sketch)).collect()}
+    assert q["en", "tiny"]["q3"] == pytest.approx(q["en", "big"]["q3"]) and set(q) == {("en", "big"), ("en", "tiny"), (None, None)}
+    big = sketch.withColumn("n", F.col("n") * 10_000)  # with many documents a group's own sketch decides
+    own = {(x["lang"], x["source"]): x for x in quality.quartiles(quality.shrunk(big)).collect()}
+    assert own["en", "tiny"]["q2"] > 50 * own["en", "big"]["q2"]
+    clash = spark.createDataFrame([(1, "a b c", 9, 9, 9)], "doc_id long, text string, N_words int, c int, base_failed int")
+    assert quality.with_counts(clash).select("n_words", "base_failed", "c").first() == (3, True, 9)
+
+
 def test_quality_keeps_clean_and_drops_junk(spark):
     data = spark.read.parquet(f"{DATA}/sf0.1/documents.parquet")
     labels = spark.read.parquet(f"{DATA}/sf0.1/labels.parquet")
@@ -663,6 +675,25 @@ def test_taken_documents_hold_the_taken_words(docs, empty):
     assert {k: v for k, v in want.items() if v} == got
 
 
+def test_equal_ids_and_rows_are_taken_one_by_one(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    same = [(1, text, "a", 7)] * 9 + [(1, text[::-1], "a", 7), (None, text, None, 7), (None, text + " x", None, 7), (2, text, "b", 7)]
+    out = mixing.take(spark.createDataFrame(same, "doc_id long, text string, source string, n_chars long"))
+    sized = spark.createDataFrame([(i, s, len(t.split())) for i, t, s, _ in same], "doc_id long, source string, size long")
+    want = {r["source"]: r["n"] for r in mixing.mix(sized).groupBy("source").agg(F.sum("taken").alias("n")).collect()}
+    got = out.toPandas()
+    assert {k if isinstance(k, str) else None: int(g["text"].str.split().map(len).sum()) for k, g in got.groupby("source", dropna=False)} == want
+    again = mixing.take(spark.createDataFrame(same[::-1], "doc_id long, text string, source string, n_chars long").repartition(3)).toPandas()
+    assert sorted(map(str, got.to_numpy().tolist())) == sorted(map(str, again.to_numpy().tolist()))
+
+
+def test_one_row_of_each_component_stays(spark):
+    t = "a b c d e f g h"
+    data = [(1, t, "x"), (1, t, "x"), (1, t, "y"), (1, "other words are in this one here", "x"), (2, "other words are in this one here", "x"), (3, t, "x"), (None, "only without an id it is", "x"), (None, "only without an id it is", "z")]
+    got = simhash.keep_first(spark.createDataFrame(data, "doc_id long, text string, more string")).toPandas()
+    assert len(got) == 3 and got["text"].nunique() == 3 and sorted(got["doc_id"].fillna(-1)) == [-1, 1, 1]
+
+
 # ---------------------------------------------------------------- pipeline
 
 
