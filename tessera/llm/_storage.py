@@ -38,7 +38,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, with the scheme of its file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(path).toString()
+
+
+def keep_path(path: str) -> str:
+    """Note a folder that an operator writes itself, so that :func:`clean` deletes it."""
+    _tables.append(path)
+    return path
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

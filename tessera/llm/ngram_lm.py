@@ -13,6 +13,12 @@ are pruned, which leaves none out at 1; the others have a probability with
 absolute discount, quantised to 16 bits, and each context has the mass that is
 left for shorter contexts.
 
+Frequent words have too many successors for one shard: theirs are dealt by ranges
+of the successor's hash.  Which words are so dealt is learned from a few thousand
+documents; it decides where counts lie, not what they are.  A shard has the
+probabilities of a range within the range; the share of the range among all of the
+word's successors is multiplied in when scoring.
+
 Scoring maps the files into memory, looks the distinct bigrams of some megabytes
 of text up, and sums log10 probabilities by document.
 
@@ -24,22 +30,25 @@ from __future__ import annotations
 
 import json
 import mmap
+import os
 import uuid
-from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._storage import materialize, new_path
+from ._storage import keep_path, materialize, new_path
 
 CHUNK = 24 << 20  # bytes of text whose counts are summed at once
 SHARD_TEXT = 32 << 20  # bytes of training text for each shard
-MAX_SHARDS = 4096
+MAX_SHARDS = 1 << 16  # a task deals its counts to so many; beyond a terabyte of text shards grow
+HOT_DOCS = 4096  # documents from which the frequent words are learned
 DISCOUNT = 0.75
 MIN_COUNT = 2  # bigrams seen less often are pruned
 STEP = 10.0 / 65535  # of log10 in a quantised probability
@@ -58,47 +67,54 @@ CHILD_SHIFT = np.uint64(64 - 8 * CHILD_BYTES)
 # ---------------------------------------------------------------- texts
 
 
+@dataclass
 class Tokens:
-    """The words of some texts as numbers of a local vocabulary; an end after each text."""
-
-    def __init__(self) -> None:
-        self.number: defaultdict[bytes, int] = defaultdict()
-        self.number.default_factory = self.number.__len__
-        self.parts: list[np.ndarray] = []
-        self.rows: list[int] = []
-        self.size = 0
-        self.end, self.start = self.number[END], self.number[START]
-
-    def add(self, row: int, text: bytes | None) -> None:
-        words = text.lower().split() if text else []
-        ids = np.empty(len(words) + 1, np.int64)
-        ids[:-1] = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
-        ids[-1] = self.end
-        self.parts.append(ids)
-        self.rows.append(row)
-        self.size += len(text or b"") + 8
-
-    def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Hashes of the vocabulary, all tokens, the token before each, starts of the texts."""
-        hashes = np.fromiter(map(word_hash, self.number), np.uint64, len(self.number))
-        tokens = np.concatenate(self.parts)
-        starts = np.cumsum([0, *map(len, self.parts[:-1])])
-        before = np.concatenate([[0], tokens[:-1]])
-        before[starts] = self.start
-        return hashes, tokens, before, starts
+    """The tokens of some texts as numbers of a local vocabulary in the order of its hashes; an end after each text."""
+
+    hashes: np.ndarray  # of the vocabulary, the end and the start
+    ids: np.ndarray
+    before: np.ndarray  # the token before each
+    starts: np.ndarray  # of the texts
+    start: int  # the number of the start
+
+
+def tokenise(texts: pa.Array) -> Tokens:
+    """Words between the characters 0x09-0x0D and 0x20, A-Z lower-cased; null is empty."""
+    words = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(texts)))
+    sizes = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = pc.list_flatten(words)
+    blank = pc.equal(flat, "").to_numpy(zero_copy_only=False)  # a text without a word gives one empty string
+    if blank.any():
+        sizes -= np.add.reduceat(np.append(blank, False).astype(np.int64), np.cumsum(sizes) - sizes) * (sizes > 0)
+        flat = flat.filter(pa.array(~blank))
+    coded = flat.dictionary_encode()
+    coded = coded if isinstance(coded, pa.DictionaryArray) else coded.combine_chunks()
+    known = coded.dictionary.cast(pa.binary()).to_pylist()
+    hashes = np.concatenate([np.fromiter(map(word_hash, known), np.uint64, len(known)), [END_HASH, START_HASH]])
+    order = np.argsort(hashes)
+    rank = np.empty(len(hashes), np.int64)
+    rank[order] = np.arange(len(hashes))
+    ends = np.cumsum(sizes + 1) - 1
+    ids = np.full(int(sizes.sum()) + len(sizes), rank[-2], np.int64)
+    is_word = np.ones(len(ids), bool)
+    is_word[ends] = False
+    ids[is_word] = rank[coded.indices.to_numpy()]
+    starts = ends - sizes
+    before = np.concatenate([[0], ids[:-1]])
+    before[starts] = rank[-1]
+    return Tokens(hashes[order], ids, before, starts, int(rank[-1]))
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], column: int, size: int = CHUNK) -> Iterator[tuple[pa.RecordBatch, Tokens]]:
     """Batches cut into pieces of about ``size`` bytes of text, tokenised; a text is never cut."""
     for batch in batches:
-        tokens, first = Tokens(), 0
-        for i, text in enumerate(batch.column(column).cast(pa.binary())):
-            tokens.add(i - first, text.as_py())
-            if tokens.size >= size:
-                yield batch.slice(first, i + 1 - first), tokens
-                tokens, first = Tokens(), i + 1
-        if tokens.rows:
-            yield batch.slice(first), tokens
+        upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 8)
+        first = 0
+        while first < batch.num_rows:
+            done = upto[first - 1] if first else 0
+            after = min(batch.num_rows, int(np.searchsorted(upto, done + size)) + 1)
+            yield batch.slice(first, after - first), tokenise(batch.column(column).slice(first, after - first))
+            first = after
 
 
 # ---------------------------------------------------------------- counting
@@ -116,25 +132,46 @@ def _unpack(low: np.ndarray) -> np.ndarray:
     return wide.view("<u8").ravel()
 
 
-def _count_rows(shards: int, order: int):
+@dataclass
+class Hot:
+    """Frequent words: their successors are dealt to 2 ** bits ranges of the successor's hash."""
+
+    hashes: np.ndarray
+    bits: np.ndarray
+
+    def find(self, context: np.ndarray) -> np.ndarray:
+        """The number of each context among the frequent words, -1 for others."""
+        if not len(self.hashes):
+            return np.full(len(context), -1)
+        at = np.minimum(np.searchsorted(self.hashes, context), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == context, at, -1)
+
+    def shard(self, context: np.ndarray, child: np.ndarray, shards: int) -> np.ndarray:
+        """The shard of each pair."""
+        hot = self.find(context)
+        key = context.copy()
+        at = np.flatnonzero(hot >= 0)
+        spread = child[at] >> (np.uint64(63) - self.bits[hot[at]].astype(np.uint64)) >> np.uint64(1)
+        key[at] += spread * np.uint64(0x9E3779B97F4A7C15)
+        return _shard(key, shards)
+
+
+def _count_rows(shards: int, order: int, hot: Hot):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, chunk in _chunks(batches, 0, CHUNK if order == 2 else CHUNK // 2):
-            hashes, tokens, before, starts = chunk.arrays()
+            hashes, tokens, before, starts = chunk.hashes, chunk.ids, chunk.before, chunk.starts
             counts = np.bincount(tokens, minlength=len(hashes))
             counts[chunk.start] = len(starts)  # as a context
             n = np.int64(len(hashes))
             triples, triple_counts = np.zeros((2, 0), np.int64)
-            if order == 2:
-                pairs, pair_counts = np.unique(before * n + tokens, return_counts=True)
-            else:
-                pairs, which, pair_counts = np.unique(before * n + tokens, return_inverse=True, return_counts=True)
+            pairs, which, pair_counts = np.unique(before * n + tokens, return_inverse=True, return_counts=True)
+            if order == 3:
                 triples, triple_counts = np.unique(_triples(which, tokens, starts, n), return_counts=True)
-                del which
+            del which
             context, child = hashes[pairs // n], hashes[pairs % n]
-            word_shard, pair_shard = _shard(hashes, shards), _shard(context, shards)
-            word_order = np.lexsort((hashes, word_shard))
-            pair_order = np.lexsort((child, context, pair_shard))
-            word_cut = np.searchsorted(word_shard[word_order], np.arange(shards + 1))
+            word_shard, pair_shard = _shard(hashes, shards), hot.shard(context, child, shards)
+            pair_order = np.argsort(pair_shard, kind="stable")  # in order already but for frequent words
+            word_cut = np.searchsorted(word_shard, np.arange(shards + 1))
             pair_cut = np.searchsorted(pair_shard[pair_order], np.arange(shards + 1))
             rank = np.empty(len(pairs), np.int64)
             rank[pair_order] = np.arange(len(pairs))
@@ -143,19 +180,17 @@ def _count_rows(shards: int, order: int):
             triple_sizes = np.bincount(above, minlength=len(pairs))
             triple_cut = np.concatenate([[0], np.cumsum(triple_sizes)])[pair_cut]
             out_shard, blobs = [], []
-            for s in range(shards):
-                w, p = word_order[word_cut[s] : word_cut[s + 1]], pair_order[pair_cut[s] : pair_cut[s + 1]]
-                if len(w) or len(p):
-                    heads, sizes = np.unique(context[p], return_counts=True)
-                    t = triple_order[triple_cut[s] : triple_cut[s + 1]]
-                    arrays = [hashes[w].astype("<u8"), counts[w].astype("<u4"), heads.astype("<u8"), sizes.astype("<u4"), _pack_children(child[p]), pair_counts[p].astype("<u4")]
-                    if order == 3:
-                        arrays += [triple_sizes[pair_cut[s] : pair_cut[s + 1]].astype("<u4"), _pack_children(third[t]), triple_counts[t].astype("<u4")]
-                    head = np.array([len(w), len(heads), len(p), len(p) * (order == 3), len(t)], "<u8")
-                    blobs.append(pa.compress(b"".join(x.tobytes() for x in [head, *arrays]), codec="zstd", asbytes=True))
-                    out_shard.append(s)
-                    sizes_raw = sum(x.nbytes for x in arrays) + head.nbytes
-                    blobs[-1] = sizes_raw.to_bytes(8, "little") + blobs[-1]
+            for s in np.flatnonzero((np.diff(word_cut) > 0) | (np.diff(pair_cut) > 0)).tolist():
+                w, p = slice(word_cut[s], word_cut[s + 1]), pair_order[pair_cut[s] : pair_cut[s + 1]]
+                heads, sizes = np.unique(context[p], return_counts=True)
+                t = triple_order[triple_cut[s] : triple_cut[s + 1]]
+                arrays = [hashes[w].astype("<u8"), counts[w].astype("<u4"), heads.astype("<u8"), sizes.astype("<u4"), _pack_children(child[p]), pair_counts[p].astype("<u4")]
+                if order == 3:
+                    arrays += [triple_sizes[pair_cut[s] : pair_cut[s + 1]].astype("<u4"), _pack_children(third[t]), triple_counts[t].astype("<u4")]
+                head = np.array([w.stop - w.start, len(heads), len(p), len(p) * (order == 3), len(t)], "<u8")
+                raw = b"".join(x.tobytes() for x in [head, *arrays])
+                blobs.append(len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True))
+                out_shard.append(s)
             yield pa.RecordBatch.from_arrays([pa.array(out_shard, pa.int32()), pa.array(blobs, pa.binary())], ["shard", "counts"])
 
     return run
@@ -209,8 +244,27 @@ class EliasFano:
     #: place of the k-th zero in a byte, low bit first
     PLACE = np.array([[next((i for i in range(8) if not b >> i & 1 and sum(not b >> j & 1 for j in range(i)) == k), 0) for k in range(8)] for b in range(256)], np.uint8)
 
+    PAD = 8  # bytes after the low parts, so that eight bytes can be read from each
+
     def __init__(self, low: np.ndarray, bits: np.ndarray, zeros: np.ndarray) -> None:
         self.low, self.bits, self.zeros = low, bits, zeros
+        self.padded: np.ndarray | None = None
+
+    @classmethod
+    def mapped(cls, low: np.ndarray, width: int, bits: np.ndarray, zeros: np.ndarray) -> EliasFano:
+        """From arrays of a file, where ``low`` is flat and has the bytes after it."""
+        n = (len(low) - cls.PAD) // width
+        out = cls(low[: n * width].reshape(n, width), bits, zeros)
+        out.padded = low
+        return out
+
+    def _lows(self) -> tuple[np.ndarray, np.uint64]:
+        """Eight bytes from the start of each low part, as numbers, and the mask of the part."""
+        n, width = self.low.shape
+        if self.padded is None:
+            self.padded = np.concatenate([self.low.reshape(-1), np.zeros(self.PAD, np.uint8)])
+        wide = np.lib.stride_tricks.as_strided(self.padded[:8].view("<u8"), (n,), (width,), writeable=False)
+        return wide, np.uint64((1 << (8 * width)) - 1)
 
     @classmethod
     def build(cls, high: np.ndarray, low: np.ndarray, highs: int) -> EliasFano:
@@ -227,28 +281,40 @@ class EliasFano:
         k = np.maximum(h - 1, 0)  # the zero that ends high part h - 1
         block = np.searchsorted(self.zeros, k, side="right") - 1
         inside = self.ZEROS[(window := self.bits.reshape(-1, self.BLOCK)[block])]
-        upto = np.cumsum(inside, axis=1, dtype=np.int64)
+        upto = np.cumsum(inside, axis=1, dtype=np.uint8)  # a block has 128 bits
         rest = k - self.zeros[block]
-        byte = (upto <= rest[:, None]).sum(axis=1)
+        byte = (upto <= rest.astype(np.uint8)[:, None]).sum(axis=1)
         rows = np.arange(len(k))
         rest -= np.where(byte > 0, upto[rows, byte - 1], 0)
         place = (block * self.BLOCK + byte) * 8 + self.PLACE[window[rows, byte], rest]
         return np.where(h > 0, place - k, 0)
 
     def find(self, high: np.ndarray, low: np.ndarray) -> np.ndarray:
-        """Places of the entries with these parts, -1 where there is none: a search from the pointer on."""
-        a, b = self.first(high), self.first(high + 1)
+        """Places of the entries with these parts, -1 where there is none: a search from the pointer on.
+
+        Equal high parts next to each other share their pointers.
+        """
+        out = np.full(len(high), -1, np.int64)
+        if not len(high) or not len(self.low):
+            return out
+        change = np.flatnonzero(np.append(True, high[1:] != high[:-1]))
+        ends = self.first(np.concatenate([high[change], high[change] + 1]))
+        times = np.diff(np.append(change, len(high)))
+        a, b = np.repeat(ends[: len(change)], times), np.repeat(ends[len(change) :], times)
+        lows, mask = self._lows()
         end = b.copy()
         active = np.flatnonzero(a < b)
+        lo, hi, ask = a[active], b[active], low[active]
         while len(active):
-            middle = (a[active] + b[active]) // 2
-            less = _unpack(self.low[middle]) < low[active]
-            a[active[less]] = middle[less] + 1
-            b[active[~less]] = middle[~less]
-            active = active[a[active] < b[active]]
+            middle = (lo + hi) // 2
+            less = (lows[middle] & mask) < ask
+            lo, hi = np.where(less, middle + 1, lo), np.where(less, hi, middle)
+            open_ = lo < hi
+            if not open_.all():
+                a[active[~open_]] = lo[~open_]
+                active, lo, hi, ask = active[open_], lo[open_], hi[open_], ask[open_]
         found = np.flatnonzero(a < end)
-        hit = found[_unpack(self.low[a[found]]) == low[found]]
-        out = np.full(len(high), -1, np.int64)
+        hit = found[(lows[a[found]] & mask) == low[found]]
         out[hit] = a[hit]
         return out
 
@@ -267,20 +333,20 @@ class Trie:
     """Two or three levels of a shard; arrays may be mapped from a file."""
 
     NAMES = (
-        "word_low", "word_bits", "word_zeros", "counts", "rest", "pair_low", "pair_bits", "pair_zeros", "probability",
+        "word_low", "word_bits", "word_zeros", "counts", "sizes", "rest", "pair_low", "pair_bits", "pair_zeros", "probability",
         "pair_rest", "triple_low", "triple_bits", "triple_zeros", "triple_probability",
     )
 
     def __init__(self, facts: dict, arrays: dict[str, np.ndarray]) -> None:
         self.facts, self.arrays = facts, arrays
-        self.words = EliasFano(arrays["word_low"].reshape(-1, facts["word_bytes"]), arrays["word_bits"], arrays["word_zeros"])
-        self.pairs = EliasFano(arrays["pair_low"].reshape(-1, CHILD_BYTES), arrays["pair_bits"], arrays["pair_zeros"])
-        self.triples = EliasFano(arrays["triple_low"].reshape(-1, CHILD_BYTES), arrays["triple_bits"], arrays["triple_zeros"])
+        level = lambda name, width: EliasFano.mapped(arrays[f"{name}_low"], width, arrays[f"{name}_bits"], arrays[f"{name}_zeros"])
+        self.words, self.pairs, self.triples = level("word", facts["word_bytes"]), level("pair", CHILD_BYTES), level("triple", CHILD_BYTES)
 
     @classmethod
     def build(cls, blobs: list[bytes], order: int = 2, min_count: int = MIN_COUNT) -> Trie:
         parts = [_read_counts(b) for b in blobs]
-        words, counts = _sum_by(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+        # contexts whose own count is in another shard count nothing here
+        words, counts = _sum_by(np.concatenate([x for p in parts for x in (p[0], p[2])]), np.concatenate([x for p in parts for x in (p[1], np.zeros(len(p[2]), "<u4"))]))
         by_part = [(np.repeat(np.searchsorted(words, p[2]).astype(np.uint64), p[3]) << np.uint64(8 * CHILD_BYTES)) | p[4] for p in parts]
         pairs, pair_counts = _sum_by(np.concatenate(by_part), np.concatenate([p[5] for p in parts]))
         triples, triple_counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -289,7 +355,7 @@ class Trie:
             triples, triple_counts = _sum_by(np.concatenate(keys), np.concatenate([p[8] for p in parts]))
             del keys
         del by_part
-        real = (words != START_HASH)
+        real = (words != START_HASH) & (counts > 0)
         facts = {"tokens": int(counts[real].sum()), "vocabulary": int(real.sum()), "pairs": len(pairs), "words": len(words), "triples": len(triples)}
         # a pair is followed by a word whenever it is no end, so its count is that of the context
         pair_place = (triples >> np.uint64(8 * CHILD_BYTES)).astype(np.int64)
@@ -297,10 +363,11 @@ class Trie:
         pair_rest = _codes(np.maximum(1e-12, 1.0 - np.bincount(pair_place, _decode(triple_codes), minlength=len(pairs))))[: len(pairs) if order == 3 else 0]
         third = np.ascontiguousarray(triples.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :CHILD_BYTES])
         lowest = EliasFano.build(pair_place, third, len(pairs) if order == 3 else 0)
+        sizes = np.bincount((pairs >> np.uint64(8 * CHILD_BYTES)).astype(np.int64), pair_counts, minlength=len(words))  # of the successors in this shard
         kept = pair_counts >= min_count
         pairs, pair_counts = pairs[kept], pair_counts[kept]
         context = (pairs >> np.uint64(8 * CHILD_BYTES)).astype(np.int64)
-        codes = _codes((pair_counts - DISCOUNT) / counts[context])
+        codes = _codes((pair_counts - DISCOUNT) / sizes[context])
         rest = _codes(np.maximum(1e-12, 1.0 - np.bincount(context, _decode(codes), minlength=len(words))))
         # the low bytes of a word's hash: so many that about 16 words share the rest
         word_bytes = min(7, max(4, -(-(64 - max(0, len(words).bit_length() - 4)) // 8)))
@@ -310,7 +377,8 @@ class Trie:
         child = np.ascontiguousarray(pairs.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :CHILD_BYTES])
         lower = EliasFano.build(context, child, len(words))
         facts |= {"word_bytes": word_bytes, "kept": len(pairs)}
-        arrays = [level.low, level.bits, level.zeros, counts.astype("<u8"), rest, lower.low, lower.bits, lower.zeros, codes, pair_rest, lowest.low, lowest.bits, lowest.zeros, triple_codes]
+        flat = lambda e: np.concatenate([e.low.reshape(-1), np.zeros(EliasFano.PAD, np.uint8)])
+        arrays = [flat(level), level.bits, level.zeros, counts.astype("<u8"), sizes.astype("<u8"), rest, flat(lower), lower.bits, lower.zeros, codes, pair_rest, flat(lowest), lowest.bits, lowest.zeros, triple_codes]
         return cls(facts, dict(zip(cls.NAMES, arrays, strict=True)))
 
     def to_bytes(self) -> bytes:
@@ -364,77 +432,110 @@ class Trie:
 
 
 def _local(path: str) -> str | None:
-    if path.startswith("file:"):
-        return "/" + path.removeprefix("file:").lstrip("/")
-    return path if "://" not in path else None
+    return "/" + path.removeprefix("file:").lstrip("/") if path.startswith("file:") else None
 
 
 def _write(path: str, data: bytes) -> None:
-    """Write a new file under a name that is used once; a repeated task writes another one."""
-    import os
-
+    """Write a file and then give it its name: a repeated task replaces the file by an equal one."""
+    part = f"{path}.{uuid.uuid4().hex}"
     if local := _local(path):
         os.makedirs(os.path.dirname(local), exist_ok=True)
-        with open(local, "xb") as f:
+        with open(_local(part), "xb") as f:
             f.write(data)
+        os.replace(_local(part), local)
         return
     from pyarrow import fs
 
-    system, where = fs.FileSystem.from_uri(path)
+    system, where = fs.FileSystem.from_uri(part)
     system.create_dir(where.rpartition("/")[0], recursive=True)
     with system.open_output_stream(where) as f:
         f.write(data)
+    system.move(where, fs.FileSystem.from_uri(path)[1])
 
 
 @lru_cache(maxsize=1024)
-def _map(path: str) -> Trie:
-    return Trie.from_buffer(np.memmap(path, np.uint8, "r"))
+def _map(path: str) -> Trie | None:
+    return Trie.from_buffer(np.memmap(path, np.uint8, "r")) if os.path.exists(path) else None
 
 
 @lru_cache(maxsize=4)
-def _fetch(path: str) -> Trie:
+def _fetch(path: str) -> Trie | None:
     """A trie read into mapped memory, from a store that is no file system of this machine; few are kept."""
     from pyarrow import fs
 
     system, where = fs.FileSystem.from_uri(path)
-    memory = mmap.mmap(-1, max(1, system.get_file_info(where).size))
+    info = system.get_file_info(where)
+    if info.type == fs.FileType.NotFound:
+        return None
+    memory = mmap.mmap(-1, max(1, info.size))
     with system.open_input_stream(where) as f:
         while part := f.read(1 << 24):
             memory.write(part)
     return Trie.from_buffer(np.frombuffer(memory, np.uint8))
 
 
-def _open(path: str) -> Trie:
+def _open(model: dict, shard: int) -> Trie | None:
+    """The trie of a shard; None if nothing was dealt to it."""
+    path = _path(model["folder"], shard)
     local = _local(path)
     return _map(local) if local else _fetch(path)
 
 
+def _path(folder: str, shard: int) -> str:
+    return f"{folder}/{shard:06d}.trie"
+
+
 # ---------------------------------------------------------------- the operator
 
 
+def _hot_words(texts: DataFrame, shards: int) -> Hot:
+    """Words with more successors than a quarter of a shard, by some thousand documents, and the start of texts.
+
+    The sample decides about places only.  At most 4 * ``shards`` words reach the driver.
+    """
+    if shards < 4:
+        return Hot(np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, chunk in _chunks(batches, 0):
+            counts = np.bincount(chunk.before, minlength=len(chunk.hashes))
+            yield pa.RecordBatch.from_arrays([pa.array(chunk.hashes.view(np.int64)), pa.array(counts)], ["h", "n"])
+
+    text_col = texts.columns[0]
+    found = texts.select(text_col).limit(HOT_DOCS).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n >= 16").orderBy(F.desc("n")).limit(4 * shards).collect()
+    total = sum(r["n"] for r in found)
+    rows = sorted((np.uint64(r["h"] & (2**64 - 1)), 4 * shards * r["n"] / total) for r in found if 4 * shards * r["n"] > total)
+    return Hot(np.array([h for h, _ in rows], np.uint64), np.array([min(30, int(np.ceil(np.log2(x)))) for _, x in rows], np.int64))
+
+
 def train(texts: DataFrame, text_col: str = "text", order: int = 2, min_count: int = MIN_COUNT) -> dict:
-    """A model of all ``texts``, of bigrams or trigrams: paths of the shards' tries, and the sums N and V.
+    """A model of all ``texts``, of bigrams or trigrams: the folder of the shards' tries, and the sums N and V.
 
-    What reaches the driver is one row for each shard.  Null texts are empty; no text at all
+    What reaches the driver are sums, and a row for each frequent word.  Null texts are empty; no text at all
     gives a model of no word.
     """
     if order not in (2, 3) or order == 3 and min_count != 1:
         raise ValueError("order is 2 or 3, and trigrams need min_count 1")
     spark = texts.sparkSession
-    size = texts.agg(F.sum(F.octet_length(F.coalesce(text_col, F.lit("")))).alias("n")).first()["n"] or 0
+    texts = texts.select(F.col(text_col).alias("text"))
+    size = texts.agg(F.sum(F.octet_length(F.coalesce("text", F.lit("")))).alias("n")).first()["n"] or 0
     shards = int(min(MAX_SHARDS, max(1, -(-size // (SHARD_TEXT if order == 2 else SHARD_TEXT // 2)))))
-    folder = new_path(spark, "tries")
-    counts = texts.select(text_col).mapInArrow(_count_rows(shards, order), "shard int, counts binary")
+    folder = keep_path(new_path(spark, "tries"))
+    hot = _hot_words(texts, shards)
+    counts = texts.mapInArrow(_count_rows(shards, order, hot), "shard int, counts binary")
+    schema = "shard int, tokens long, vocabulary long, pairs long, kept long, hot array<struct<word:int,size:double,rest:double>>"
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(shard: int, blobs: list[bytes]) -> pa.RecordBatch:
             trie = Trie.build(blobs, order, min_count)
-            path = f"{folder}/{shard:05d}-{uuid.uuid4().hex}.trie"
-            _write(path, trie.to_bytes())
-            f = trie.facts
-            return pa.RecordBatch.from_pylist([{"shard": shard, "path": path, "tokens": f["tokens"], "vocabulary": f["vocabulary"], "pairs": f["pairs"], "kept": f["kept"]}], schema=shape)
-
-        shape = pa.schema([("shard", pa.int32()), ("path", pa.string()), *((c, pa.int64()) for c in ("tokens", "vocabulary", "pairs", "kept"))])
+            _write(_path(folder, shard), trie.to_bytes())
+            at = trie.lookup(hot.hashes)
+            here = [{"word": int(i), "size": float(trie.arrays["sizes"][at[i]]), "rest": float(_decode(trie.arrays["rest"][at[i]]))} for i in np.flatnonzero(at >= 0)]
+            row = {"shard": shard, "hot": here} | {k: trie.facts[k] for k in ("tokens", "vocabulary", "pairs", "kept")}
+            return pa.RecordBatch.from_pylist([row], schema=shape)
+
+        kind = pa.list_(pa.struct([("word", pa.int32()), ("size", pa.float64()), ("rest", pa.float64())]))
+        shape = pa.schema([("shard", pa.int32()), *((c, pa.int64()) for c in ("tokens", "vocabulary", "pairs", "kept")), ("hot", kind)])
         now, blobs = -1, []
         for batch in batches:
             for shard, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -447,33 +548,31 @@ def train(texts: DataFrame, text_col: str = "text", order: int = 2, min_count: i
             yield done(now, blobs)
 
     dealt = counts.repartition(shards, "shard").sortWithinPartitions("shard")
-    built = materialize(dealt.mapInArrow(build, "shard int, path string, tokens long, vocabulary long, pairs long, kept long"), "trie-shards")
-    rows = built.collect()
-    return {
-        "order": order,
-        "shards": shards,
-        "paths": {r["shard"]: r["path"] for r in rows},
-        "tokens": sum(r["tokens"] for r in rows),
-        "vocabulary": sum(r["vocabulary"] for r in rows),
-        "pairs": sum(r["pairs"] for r in rows),
-        "kept": sum(r["kept"] for r in rows),
-    }
+    built = materialize(dealt.mapInArrow(build, schema), "trie-shards")
+    sums = built.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "vocabulary", "pairs", "kept")]).first().asDict()
+    total, rest = np.zeros(len(hot.hashes)), np.zeros(len(hot.hashes))
+    one = built.select(F.explode("hot").alias("h")).groupBy("h.word").agg(F.sum("h.size").alias("n"), F.sum(F.col("h.size") * F.col("h.rest")).alias("r"))
+    for r in one.collect():  # one for each frequent word
+        total[r["word"]], rest[r["word"]] = r["n"], r["r"]
+    rest = np.where(total > 0, rest / np.maximum(total, 1), 1.0)
+    return {"order": order, "shards": shards, "folder": folder, "hot": hot, "hot_total": total, "hot_rest": rest} | sums
 
 
-def _by_shard(hashes: np.ndarray, model: dict) -> Iterator[tuple[np.ndarray, Trie]]:
-    shard = _shard(hashes, model["shards"])
+def _by_shard(shard: np.ndarray, model: dict) -> Iterator[tuple[np.ndarray, Trie]]:
     order = np.argsort(shard, kind="stable")
-    for s, at in zip(*np.unique(shard[order], return_index=True), strict=True):
-        if path := model["paths"].get(int(s)):
-            end = np.searchsorted(shard[order], s, side="right")
-            yield order[at:end], _open(path)
+    ordered = shard[order]
+    first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(ordered) else np.zeros(0, int)
+    for a, b in zip(first, np.append(first[1:], len(ordered)), strict=True):
+        if trie := _open(model, int(ordered[a])):
+            yield order[a:b], trie
 
 
 def score_chunk(tokens: Tokens, model: dict) -> dict[str, np.ndarray]:
     """n_tokens, n_known, base_score and score of each text."""
-    hashes, ids, before, starts = tokens.arrays()
+    hashes, ids, before, starts = tokens.hashes, tokens.ids, tokens.before, tokens.starts
+    hot = model["hot"]
     place, counts = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes))
-    for at, trie in _by_shard(hashes, model):
+    for at, trie in _by_shard(_shard(hashes, model["shards"]), model):
         place[at] = trie.lookup(hashes[at])
         hit = at[place[at] >= 0]
         counts[hit] = trie.arrays["counts"][place[hit]]
@@ -482,16 +581,25 @@ def score_chunk(tokens: Tokens, model: dict) -> dict[str, np.ndarray]:
     pairs, which = np.unique(before * n + ids, return_inverse=True)
     context, child = pairs // n, pairs % n
     p, rest, found = np.zeros(len(pairs)), np.ones(len(pairs)), np.full(len(pairs), -1, np.int64)
-    for at, trie in _by_shard(hashes[context], model):
-        p[at], rest[at], found[at] = trie.conditional(place[context[at]], hashes[child[at]])
+    frequent = hot.find(hashes)[context]
+    pair_shard = hot.shard(hashes[context], hashes[child], model["shards"])
+    for at, trie in _by_shard(pair_shard, model):
+        own, many = place[context[at]], np.flatnonzero(frequent[at] >= 0)
+        own[many] = trie.lookup(hashes[context[at[many]]])
+        p[at], rest[at], found[at] = trie.conditional(own, hashes[child[at]])
+        there = many[own[many] >= 0]  # the share of the range among all successors
+        p[at[there]] *= trie.arrays["sizes"][own[there]] / model["hot_total"][frequent[at[there]]]
+    of_hot = frequent >= 0
+    rest[of_hot] = model["hot_rest"][frequent[of_hot]]
     by_token = (p + rest * unigram[child])[which]
     if model["order"] == 3:
         triples, which_triple = np.unique(_triples(which, ids, starts, n), return_inverse=True)
         above, third = triples // n, triples % n
         p, rest = np.zeros(len(triples)), np.ones(len(triples))
-        for at, trie in _by_shard(hashes[context[above]], model):
+        for at, trie in _by_shard(pair_shard[above], model):
             p[at], rest[at] = trie.after_pair(found[above[at]], hashes[third[at]])
-        inner = np.setdiff1d(np.arange(len(ids)), starts, assume_unique=True)
+        inner = np.ones(len(ids), bool)
+        inner[starts] = False
         by_token[inner] = p[which_triple] + rest[which_triple] * by_token[inner]
     total = lambda x: np.add.reduceat(x, starts)
     return {
@@ -505,11 +613,11 @@ def score_chunk(tokens: Tokens, model: dict) -> dict[str, np.ndarray]:
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, n_tokens, n_known, base_score, score`` of each row; a null or empty text is one end."""
     kind = docs.schema[id_col].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # a path for each shard
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # some numbers for each frequent word
     names = ["n_tokens", "n_known", "base_score", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, tokens in _chunks(batches, 1, CHUNK // 2 if shared.value["order"] == 2 else CHUNK // 4):
+        for batch, tokens in _chunks(batches, 1, CHUNK // 2):
             found = score_chunk(tokens, shared.value)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(found[c]) for c in names)], [id_col, *names])
 

@@ -457,11 +457,30 @@ def test_trigrams_are_all_kept(docs, empty, monkeypatch):
     assert ngram_lm.score(docs, ngram_lm.train(empty, order=3, min_count=1)).count() == docs.count()
 
 
-def test_tries_are_the_same_mapped_and_fetched(docs, monkeypatch):
+def test_tries_are_the_same_mapped_and_fetched(spark, docs):
+    import os
+
+    from tessera.llm import _storage
+
     model = ngram_lm.train(docs)
-    path = next(iter(model["paths"].values()))
-    mapped, fetched = ngram_lm._open(path), ngram_lm._fetch(path)
+    mapped, fetched = ngram_lm._open(model, 0), ngram_lm._fetch(ngram_lm._path(model["folder"], 0))
     assert mapped.facts == fetched.facts and all((mapped.arrays[k] == fetched.arrays[k]).all() for k in mapped.NAMES)
+    assert ngram_lm._open(model, 1) is None and model["folder"].startswith("file:")
+    folder = ngram_lm._local(model["folder"])
+    assert os.path.exists(folder)
+    _storage.clean(spark)
+    assert not os.path.exists(folder)
+
+
+def test_frequent_words_are_dealt_to_many_shards(docs, monkeypatch):
+    plain = ngram_lm.score(docs, ngram_lm.train(docs, order=3, min_count=1)).toPandas()
+    monkeypatch.setattr(ngram_lm, "SHARD_TEXT", 16 << 10)
+    model = ngram_lm.train(docs, order=3, min_count=1)
+    assert model["shards"] > 50 and model["hot"].bits.max() > 3
+    dealt = ngram_lm.score(docs, model).toPandas()
+    order = ["doc_id", "n_tokens", "base_score"]
+    a, b = (x.sort_values(order).reset_index(drop=True) for x in (plain, dealt))
+    assert (a["n_known"] == b["n_known"]).all() and np.allclose(a["score"], b["score"], rtol=2e-3, atol=0.01)
 
 
 # ---------------------------------------------------------------- 7
