@@ -385,19 +385,6 @@ def _(spark, d):
     return rounded(spark.createDataFrame([(float(s),) for s in splits], "split double"), 4)
 
 
-@query("cart_prebins")
-def _(spark, d):
-    df = lines(spark, d)
-    h = binned(df, "l_extendedprice", "y1", "binary")
-    while True:
-        cells: set[int] = set()
-        splits = cart_splits(h, "binary", 20, np.ceil(0.05 * h.total), cells)
-        if not cells:
-            break
-        h = refine(h, df, "l_extendedprice", "y1", "binary", np.array(sorted(cells)))
-    return spark.createDataFrame([(i, float(s)) for i, s in enumerate(splits)], "split_id long, split double")
-
-
 DISCOUNT_H = f"h AS (SELECT l_discount AS v, count(*) AS n, sum(y2) AS e FROM ({L}) GROUP BY 1), k AS (SELECT *, lead(v) OVER o AS nv, lead(n) OVER o AS nn, lead(e) OVER o AS ne FROM h WINDOW o AS (ORDER BY v)), cand AS (SELECT (v + nv) / 2 AS split FROM k WHERE nv IS NOT NULL AND NOT ((e = 0 AND ne = 0) OR (e = n AND ne = nn)))"
 
 
@@ -422,11 +409,6 @@ def _(spark, d):
     return rounded(spark.createDataFrame([(best[1],)], "split double"), 4)
 
 
-@query("mdlp_splits")
-def _(spark, d):
-    return spark.createDataFrame([(float(s),) for s in mdlp_splits(binned(lines(spark, d), "l_quantity", "y1", "binary"))], "split double")
-
-
 FINE = [2000.0, 5000.0, 20000.0, 50000.0, 99000.0]
 
 
@@ -555,12 +537,6 @@ def _(spark, d):
     return rounded(as_frame(spark, tests[["bin_a", "bin_b", "statistic"]]), 4)
 
 
-@query("binning_analysis")
-def _(spark, d):
-    _, tests = fixed_binner(PAIR_BINS).fit(lines(spark, d), "l_extendedprice", "y1").table().analysis("fisher")
-    return as_frame(spark, tests)
-
-
 @query("sign_changes", f"""WITH g AS (SELECT {case('l_extendedprice', NINE)} AS i, avg(y1) AS r1, avg(y2) AS r2 FROM ({L}) GROUP BY 1),
 s AS (SELECT i, sign(r1 - lag(r1) OVER (ORDER BY i)) AS s1, sign(r2 - lag(r2) OVER (ORDER BY i)) AS s2 FROM g),
 c AS (SELECT s1 <> lag(s1) OVER (ORDER BY i) AS c1, s2 <> lag(s2) OVER (ORDER BY i) AS c2 FROM s)
@@ -651,16 +627,6 @@ def _(spark, d):
     return spark.createDataFrame(rows, "top long, left long, bottom long, right long, non_event long, event long")
 
 
-@query("table2d")
-def _(spark, d):
-    return Binner2D(monotonic_trend_x="ascending", monotonic_trend_y="ascending").fit(lines(spark, d), "l_extendedprice", "l_quantity", "y1").binning_table(spark)
-
-
-@query("table2d_continuous")
-def _(spark, d):
-    return Binner2D(kind="continuous", strategy="cart").fit(lines(spark, d), "l_extendedprice", "l_quantity", "yc").binning_table(spark)
-
-
 # ---------------------------------------------------------------- scenarios
 
 
@@ -754,11 +720,6 @@ def _(spark, d):
     return rounded(card(spark, d).predict_proba(lines(spark, d)).select(*KEY, "probability"))
 
 
-@query("scorecard_rounded")
-def _(spark, d):
-    return card(spark, d, scaling_method="min_max", scaling_method_params={"min": 300, "max": 850}, rounding=True).table(spark=spark)
-
-
 @query("scorecard_logistic")
 def _(spark, d):
     return Scorecard(BinningPipeline(["l_extendedprice", "l_quantity", "l_discount"])).fit(lines(spark, d), "y1").table("detailed", spark=spark)
@@ -799,15 +760,6 @@ def _(spark, d):
     return rounded(as_frame(spark, t), psi=8)
 
 
-@query("monitoring_report")
-def _(spark, d):
-    from .operators.monitoring import Monitoring
-
-    df = lines(spark, d)
-    m = Monitoring(card(spark, d)).fit(df.where("l_linenumber % 2 = 0"), df.where("l_linenumber % 2 = 1"), "y1")
-    return as_frame(spark, m.psi_variable_table(style="detailed"))
-
-
 SCORED = f"SELECT l_orderkey, l_linenumber, y1, round(l_extendedprice / 1000) AS s, CAST(l_extendedprice > 50000 AS INT) AS guess, yc, l_extendedprice AS pred FROM ({L})"
 COUNTED = f"c AS (SELECT s, sum(y1) AS e, sum(1 - y1) AS ne FROM ({SCORED}) GROUP BY s)"
 
@@ -887,12 +839,6 @@ def _(spark, d):
     return p.fit(lines(spark, d), "y1").summary(spark).select("name", "selected")
 
 
-@query("process_transform")
-def _(spark, d):
-    df = lines(spark, d)
-    return process().fit(df, "y1").transform(df, keep=KEY, metric="woe")
-
-
 # ---------------------------------------------------------------- streams
 
 
@@ -918,21 +864,6 @@ def _(spark, d):
     return merge_states(*states).select("kind", "event", "n")
 
 
-@query("sketch_quantiles")
-def _(spark, d):
-    state = merge_states(*[chunk_state(c, {"l_extendedprice": True}, "y1") for c in chunks(spark, d)])
-    q = [i / 10 for i in range(1, 10)]
-    return spark.createDataFrame(list(zip(q, sketch_quantiles(state, "l_extendedprice", q), strict=True)), "q double, value double")
-
-
-@query("streaming_binning")
-def _(spark, d):
-    b = StreamingBinner(spark, {"l_extendedprice": "numerical", "l_returnflag": "categorical"}, "y1")
-    for c in chunks(spark, d):
-        b.add(c)
-    return b.solve().get_binned_variable("l_extendedprice").binning_table(spark)
-
-
 @query("sketch_progress", "WITH g AS (SELECT CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS BIGINT) AS solve, avg(value) AS divergence FROM events GROUP BY 1), w AS (SELECT *, avg(divergence) OVER o AS mean, stddev_samp(divergence) OVER o / sqrt(count(*) OVER o) AS stderr FROM g WINDOW o AS (ORDER BY solve)) SELECT solve, round(divergence, 6) AS divergence, round(mean, 6) AS mean, round(stderr, 6) AS stderr, round(mean - 1.959963984540054 * stderr, 6) AS low, round(mean + 1.959963984540054 * stderr, 6) AS high FROM w")
 def _(spark, d):
     g = _read(spark, d, "events").groupBy(F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).cast("long").alias("solve")).agg(F.avg("value").alias("divergence"))
@@ -942,11 +873,6 @@ def _(spark, d):
 # ---------------------------------------------------------------- piecewise
 
 
-@query("piecewise_table")
-def _(spark, d):
-    return PiecewiseBinner(kind="continuous", max_n_prebins=6).fit(lines(spark, d), "l_extendedprice", "yc").binning_table(spark)
-
-
 @query("piecewise_constant", f"SELECT l_orderkey, l_linenumber, round(avg(yc) OVER (PARTITION BY {case('l_extendedprice', SPLITS)}), 3) AS code FROM ({L})")
 def _(spark, d):
     df = lines(spark, d)
@@ -957,12 +883,6 @@ def _(spark, d):
 PIECE_SPLITS = [25000.0, 55000.0]
 
 
-@query("piecewise_metrics")
-def _(spark, d):
-    df = lines(spark, d)
-    return PiecewiseBinner(max_n_prebins=8).fit(df, "l_extendedprice", "y1").metrics(df, "l_extendedprice", "y1")
-
-
 @query("piecewise_lines", f"""WITH b AS (SELECT *, {case('l_extendedprice', PIECE_SPLITS)} AS i FROM ({L})), f AS (SELECT i, regr_slope(yc, l_extendedprice) AS s, regr_intercept(yc, l_extendedprice) AS c FROM b GROUP BY i)
 SELECT l_orderkey, l_linenumber, round(c + s * l_extendedprice, 2) AS code FROM b JOIN f USING (i)""")
 def _(spark, d):
@@ -974,26 +894,6 @@ def _(spark, d):
 # ---------------------------------------------------------------- whole fits
 
 
-@query("optimal_binning")
-def _(spark, d):
-    return BinaryBinner(max_pvalue=0.05).fit(lines(spark, d), "l_extendedprice", "y1").binning_table(spark)
-
-
-@query("optimal_binning_continuous")
-def _(spark, d):
-    return ContinuousBinner().fit(lines(spark, d), "l_extendedprice", "yc").binning_table(spark)
-
-
-@query("optimal_binning_multiclass")
-def _(spark, d):
-    return MulticlassBinner().fit(lines(spark, d), "l_extendedprice", "ym").binning_table(spark)
-
-
-@query("optimal_binning_outliers")
-def _(spark, d):
-    return BinaryBinner(outlier_detector="zscore").fit(lines(spark, d), "l_extendedprice", "y1").binning_table(spark)
-
-
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An optimal ascending binning of lineitem, applied to its rows as weight of evidence."""
     df = lines(spark, sf_dir)
@@ -1001,4 +901,6 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select(*KEY, model.encode(F.col("l_extendedprice")).alias("woe"))
 
 
+from . import queries_fits  # noqa: E402, F401  registers its queries
+
 __all__ = ["QUERIES", "SQL", "Column", "Histogram", "Window", "flagship"]
