@@ -259,9 +259,9 @@ g AS (SELECT ix, iy, {sums} FROM cls WHERE class = 'clean' GROUP BY 1, 2), tot A
 shape AS (SELECT a.i AS top, b.i AS bottom, c.i AS lft, e.i AS rgt FROM range(3) a(i) JOIN range(3) b(i) ON a.i <= b.i CROSS JOIN range(3) c(i) JOIN range(3) e(i) ON c.i <= e.i),
 r0 AS (SELECT top, bottom, lft, rgt, CAST(sum(n) AS DOUBLE) AS n, CAST(sum(e) AS DOUBLE) AS e, CAST(sum(1 << CAST(3 * iy + ix AS INT)) AS INT) AS mask, CAST(3 * top + lft AS INT) AS corner FROM shape JOIN g ON iy BETWEEN top AND bottom AND ix BETWEEN lft AND rgt GROUP BY ALL),
 r AS MATERIALIZED (SELECT top, bottom, lft, rgt, mask, corner, CAST(trunc(1000000 * ({value})) AS BIGINT) AS v, CAST(trunc(1000000 * ({rate})) AS BIGINT) AS d FROM r0, tot),
-p AS (SELECT 0 AS covered, CAST(0 AS BIGINT) AS value, [{{'t': CAST(-9 AS BIGINT), 'l': CAST(-9 AS BIGINT), 'b': CAST(-9 AS BIGINT), 'r': CAST(-9 AS BIGINT), 'd': CAST(0 AS BIGINT)}}] AS used
-    UNION ALL SELECT p.covered | r.mask, p.value + r.v, list_append(p.used, {{'t': r.top, 'l': r.lft, 'b': r.bottom, 'r': r.rgt, 'd': r.d}}) FROM p JOIN r ON p.covered & r.mask = 0 AND (p.covered >> r.corner) & 1 = 0 AND p.covered & ((1 << r.corner) - 1) = (1 << r.corner) - 1 WHERE p.covered < 511 {grows}),
-win AS MATERIALIZED (SELECT used FROM p WHERE covered = 511 ORDER BY value DESC, len(used) LIMIT 1),
+path AS (SELECT 0 AS covered, CAST(0 AS BIGINT) AS value, [{{'t': CAST(-9 AS BIGINT), 'l': CAST(-9 AS BIGINT), 'b': CAST(-9 AS BIGINT), 'r': CAST(-9 AS BIGINT), 'd': CAST(0 AS BIGINT)}}] AS used
+    UNION ALL SELECT p.covered | r.mask, p.value + r.v, list_append(p.used, {{'t': r.top, 'l': r.lft, 'b': r.bottom, 'r': r.rgt, 'd': r.d}}) FROM path p JOIN r ON p.covered & r.mask = 0 AND (p.covered >> r.corner) & 1 = 0 AND p.covered & ((1 << r.corner) - 1) = (1 << r.corner) - 1 WHERE p.covered < 511 {grows}),
+win AS MATERIALIZED (SELECT used FROM path WHERE covered = 511 ORDER BY value DESC, len(used) LIMIT 1),
 rect AS (SELECT u.t AS top, u.l AS lft, u.b AS bottom, u.r AS rgt, {range_label(XS, 'u.l', 'u.r')} || ' ∪ ' || {range_label(YS, 'u.t', 'u.b')} AS bin FROM (SELECT unnest(used) AS u FROM win) WHERE u.t >= 0),
 own AS (SELECT cls.*, CASE WHEN class = 'clean' THEN rect.bin ELSE class END AS bin FROM cls LEFT JOIN rect ON class = 'clean' AND iy BETWEEN top AND bottom AND ix BETWEEN lft AND rgt)"""
 
