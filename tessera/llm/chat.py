@@ -16,15 +16,23 @@ SYSTEM = "system"
 PART = 64  # turn numbers of a part: places are summed in parts, then over the parts
 #: The markers of a turn (fixed values of the ChatML format).
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
+#: What stands for a marker inside a text or a name, where it must not begin or end a turn.
+PLAIN = {"<|im_start|>": "<im_start>", "<|im_end|>": "<im_end>"}
 CLOSE_MASKED = len(CLOSE) - 1  # the closing marker is predicted, its line break is not
 
 
+def _plain(text: Column) -> Column:
+    for marker, plain in PLAIN.items():
+        text = F.replace(text, F.lit(marker), F.lit(plain))
+    return text
+
+
 def _head(seen: Column, speaker: Column) -> Column:
     return (
         F.when(speaker == seen, F.lit(f"{OPEN}assistant\n"))
         .when(speaker == SYSTEM, F.lit(f"{OPEN}system\n"))
         .when(speaker.isNull(), F.lit(f"{OPEN}user\n"))
-        .otherwise(F.concat(F.lit(f"{OPEN}user name="), speaker, F.lit("\n")))
+        .otherwise(F.concat(F.lit(f"{OPEN}user name="), F.translate(_plain(speaker), "\r\n", "  "), F.lit("\n")))
     )
 
 
@@ -39,13 +47,14 @@ def perspectives(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     Turns are ordered by number (null first), speaker and text; equal rows follow one another
     and are all rendered.  A null text is empty.  A null speaker is an unnamed user and no
     participant; a dialogue of none but system and unnamed turns has no perspective and so no
-    rows.  Null dialogue ids are one dialogue.  Other columns are ignored.
+    rows.  Markers of turns inside a text or name, and line breaks in a name, are written so that
+    they forge no turn.  Null dialogue ids are one dialogue.  Other columns are ignored.
     """
     rows = turns.select(
         F.col(conv_col).alias("conv"),
         F.col(turn_col).cast("long").alias("turn"),
         F.col(speaker_col).alias("speaker"),
-        F.coalesce(text_col, F.lit("")).alias("text"),
+        _plain(F.coalesce(text_col, F.lit(""))).alias("text"),
     )
     # repeated rows are counted first, so that no number of copies is one task's work
     rows = rows.groupBy("conv", "turn", "speaker", "text").agg(F.count("*").alias("copies"))
@@ -97,12 +106,18 @@ def op1_query(spark, sf_dir: str) -> DataFrame:
     return perspectives(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def _plain_sql(text: str) -> str:
+    for marker, plain in PLAIN.items():
+        text = f"replace({text}, '{marker}', '{plain}')"
+    return text
+
+
 #: The same rows in DuckDB.
 SQL = f"""
 WITH p AS (SELECT DISTINCT conv_id, role AS perspective FROM conversations WHERE role IS NOT NULL AND role <> '{SYSTEM}'),
-r AS (SELECT c.conv_id, perspective, turn, c.role AS speaker, coalesce(text, '') AS t, coalesce(c.role = perspective, false) AS own,
+r AS (SELECT c.conv_id, perspective, turn, c.role AS speaker, {_plain_sql("coalesce(text, '')")} AS t, coalesce(c.role = perspective, false) AS own,
     CASE WHEN c.role = perspective THEN '{OPEN}assistant' WHEN c.role = '{SYSTEM}' THEN '{OPEN}system' WHEN c.role IS NULL THEN '{OPEN}user'
-    ELSE '{OPEN}user name=' || c.role END || chr(10) AS head FROM conversations c JOIN p ON p.conv_id IS NOT DISTINCT FROM c.conv_id),
+    ELSE '{OPEN}user name=' || translate({_plain_sql('c.role')}, chr(13) || chr(10), '  ') END || chr(10) AS head FROM conversations c JOIN p ON p.conv_id IS NOT DISTINCT FROM c.conv_id),
 s AS (SELECT *, head || t || '{CLOSE.strip()}' || chr(10) AS rendered FROM r),
 w AS (SELECT *, row_number() OVER o - 1 AS position, sum(length(rendered)) OVER o - length(rendered) AS char_start FROM s
     WINDOW o AS (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker NULLS FIRST, t ROWS UNBOUNDED PRECEDING))

@@ -48,7 +48,7 @@ from ._storage import keep_path, materialize, new_path
 CHUNK = 24 << 20  # bytes of text whose counts are summed at once
 SHARD_TEXT = 32 << 20  # bytes of training text for each shard
 MAX_SHARDS = 1 << 16  # a task deals its counts to so many; beyond a terabyte of text shards grow
-HOT_DOCS = 4096  # documents from which the frequent words are learned
+HOT_DOCS = 4096  # documents, about, from which the frequent words are learned
 DISCOUNT = 0.75
 MIN_COUNT = 2  # bigrams seen less often are pruned
 STEP = 10.0 / 65535  # of log10 in a quantised probability
@@ -167,7 +167,8 @@ def _count_rows(shards: int, order: int, hot: Hot):
             pairs, which, pair_counts = np.unique(before * n + tokens, return_inverse=True, return_counts=True)
             if order == 3:
                 triples, triple_counts = np.unique(_triples(which, tokens, starts, n), return_counts=True)
-            del which
+            del which, tokens, before
+            chunk.ids = chunk.before = None
             context, child = hashes[pairs // n], hashes[pairs % n]
             word_shard, pair_shard = _shard(hashes, shards), hot.shard(context, child, shards)
             pair_order = np.argsort(pair_shard, kind="stable")  # in order already but for frequent words
@@ -488,7 +489,7 @@ def _path(folder: str, shard: int) -> str:
 # ---------------------------------------------------------------- the operator
 
 
-def _hot_words(texts: DataFrame, shards: int) -> Hot:
+def _hot_words(texts: DataFrame, shards: int, rows: int) -> Hot:
     """Words with more successors than a quarter of a shard, by some thousand documents, and the start of texts.
 
     The sample decides about places only.  At most 4 * ``shards`` words reach the driver.
@@ -501,8 +502,8 @@ def _hot_words(texts: DataFrame, shards: int) -> Hot:
             counts = np.bincount(chunk.before, minlength=len(chunk.hashes))
             yield pa.RecordBatch.from_arrays([pa.array(chunk.hashes.view(np.int64)), pa.array(counts)], ["h", "n"])
 
-    text_col = texts.columns[0]
-    found = texts.select(text_col).limit(HOT_DOCS).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n >= 16").orderBy(F.desc("n")).limit(4 * shards).collect()
+    share = min(1 << 30, (HOT_DOCS << 30) // max(1, rows))  # a filter, so no text moves
+    found = texts.where(F.pmod(F.xxhash64("text", F.lit(6)), F.lit(1 << 30)) < share).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n >= 16").orderBy(F.desc("n")).limit(4 * shards).collect()
     total = sum(r["n"] for r in found)
     rows = sorted((np.uint64(r["h"] & (2**64 - 1)), 4 * shards * r["n"] / total) for r in found if 4 * shards * r["n"] > total)
     return Hot(np.array([h for h, _ in rows], np.uint64), np.array([min(30, int(np.ceil(np.log2(x)))) for _, x in rows], np.int64))
@@ -518,10 +519,11 @@ def train(texts: DataFrame, text_col: str = "text", order: int = 2, min_count: i
         raise ValueError("order is 2 or 3, and trigrams need min_count 1")
     spark = texts.sparkSession
     texts = texts.select(F.col(text_col).alias("text"))
-    size = texts.agg(F.sum(F.octet_length(F.coalesce("text", F.lit("")))).alias("n")).first()["n"] or 0
+    facts = texts.agg(F.sum(F.octet_length(F.coalesce("text", F.lit("")))).alias("n"), F.count("*").alias("rows")).first()
+    size = facts["n"] or 0
     shards = int(min(MAX_SHARDS, max(1, -(-size // (SHARD_TEXT if order == 2 else SHARD_TEXT // 2)))))
     folder = keep_path(new_path(spark, "tries"))
-    hot = _hot_words(texts, shards)
+    hot = _hot_words(texts, shards, facts["rows"])
     counts = texts.mapInArrow(_count_rows(shards, order, hot), "shard int, counts binary")
     schema = "shard int, tokens long, vocabulary long, pairs long, kept long, hot array<struct<word:int,size:double,rest:double>>"
 
@@ -617,7 +619,7 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
     names = ["n_tokens", "n_known", "base_score", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, tokens in _chunks(batches, 1, CHUNK // 2):
+        for batch, tokens in _chunks(batches, 1, CHUNK // 3):
             found = score_chunk(tokens, shared.value)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(found[c]) for c in names)], [id_col, *names])
 
