@@ -114,6 +114,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], column: int, size: int = CHUNK) -
             done = upto[first - 1] if first else 0
             after = min(batch.num_rows, int(np.searchsorted(upto, done + size)) + 1)
             yield batch.slice(first, after - first), tokenise(batch.column(column).slice(first, after - first))
+            pa.default_memory_pool().release_unused()
             first = after
 
 
@@ -158,7 +159,7 @@ class Hot:
 
 def _count_rows(shards: int, order: int, hot: Hot):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, chunk in _chunks(batches, 0, CHUNK if order == 2 else CHUNK // 2):
+        for _, chunk in _chunks(batches, 0, CHUNK if order == 2 else CHUNK // 3):
             hashes, tokens, before, starts = chunk.hashes, chunk.ids, chunk.before, chunk.starts
             counts = np.bincount(tokens, minlength=len(hashes))
             counts[chunk.start] = len(starts)  # as a context
@@ -619,7 +620,7 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
     names = ["n_tokens", "n_known", "base_score", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, tokens in _chunks(batches, 1, CHUNK // 3):
+        for batch, tokens in _chunks(batches, 1, CHUNK // 4):
             found = score_chunk(tokens, shared.value)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(found[c]) for c in names)], [id_col, *names])
 
