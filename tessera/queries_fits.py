@@ -15,6 +15,7 @@ from . import queries as q
 from .functions import stats
 from .operators.binning import BinaryBinner, BinningModel, ContinuousBinner, MulticlassBinner
 from .operators.binning2d import Binner2D, Model2D
+from .operators.histogram import refine
 from .operators.monitoring import Monitoring
 from .operators.piecewise import PiecewiseBinner
 from .operators.process import BinningPipeline
@@ -192,7 +193,7 @@ def tree(spark, d, kind: str, y: str):
     return rounded(spark.createDataFrame([(i, float(s)) for i, s in enumerate(cart_splits(h, kind, 6, np.ceil(0.05 * h.total)))], "split_id long, split double"), 4)
 
 
-@query("cart_prebins", cart_sql(6, "e", "(2 * {e} * ({n} - {e}) / {n})"))
+@query("cart_prebins_few_values", cart_sql(6, "e", "(2 * {e} * ({n} - {e}) / {n})"))
 def _(spark, d):
     return tree(spark, d, "binary", "y1")
 
@@ -586,3 +587,70 @@ def _(spark, d):
     m = line_binner("binary", estimator=FixedModel([SLOPE], LEVEL)).fit(df, "l_extendedprice", "y1")
     return rounded(m.metrics(df, "l_extendedprice", "y1").select("brier"))
 
+
+
+# ---------------------------------------------------------------- default fits of long columns: trees and searches that SQL has no short form of
+
+
+@query("cart_prebins")
+def _(spark, d):
+    df = q.lines(spark, d)
+    h = q.binned(df, "l_extendedprice", "y1", "binary")
+    while True:
+        cells: set[int] = set()
+        splits = cart_splits(h, "binary", 20, np.ceil(0.05 * h.total), cells)
+        if not cells:
+            break
+        h = refine(h, df, "l_extendedprice", "y1", "binary", np.array(sorted(cells)))
+    return spark.createDataFrame([(i, float(s)) for i, s in enumerate(splits)], "split_id long, split double")
+
+
+@query("optimal_binning_default")
+def _(spark, d):
+    return BinaryBinner(max_pvalue=0.05).fit(q.lines(spark, d), "l_extendedprice", "y1").binning_table(spark)
+
+
+@query("optimal_binning_continuous_default")
+def _(spark, d):
+    return ContinuousBinner().fit(q.lines(spark, d), "l_extendedprice", "yc").binning_table(spark)
+
+
+@query("optimal_binning_multiclass_default")
+def _(spark, d):
+    return MulticlassBinner().fit(q.lines(spark, d), "l_extendedprice", "ym").binning_table(spark)
+
+
+@query("optimal_binning_zscore_default")
+def _(spark, d):
+    return BinaryBinner(outlier_detector="zscore").fit(q.lines(spark, d), "l_extendedprice", "y1").binning_table(spark)
+
+
+@query("table2d_default")
+def _(spark, d):
+    return Binner2D(monotonic_trend_x="ascending", monotonic_trend_y="ascending").fit(q.lines(spark, d), "l_extendedprice", "l_quantity", "y1").binning_table(spark)
+
+
+@query("table2d_cart_default")
+def _(spark, d):
+    return Binner2D(kind="continuous", strategy="cart").fit(q.lines(spark, d), "l_extendedprice", "l_quantity", "yc").binning_table(spark)
+
+
+@query("mdlp_splits_quantity")
+def _(spark, d):
+    return spark.createDataFrame([(float(s),) for s in mdlp_splits(q.binned(q.lines(spark, d), "l_quantity", "y1", "binary"))], "split double")
+
+
+@query("piecewise_table_default")
+def _(spark, d):
+    return PiecewiseBinner(kind="continuous", max_n_prebins=6).fit(q.lines(spark, d), "l_extendedprice", "yc").binning_table(spark)
+
+
+@query("piecewise_metrics_default")
+def _(spark, d):
+    df = q.lines(spark, d)
+    return PiecewiseBinner(max_n_prebins=8).fit(df, "l_extendedprice", "y1").metrics(df, "l_extendedprice", "y1")
+
+
+@query("scorecard_rounded_min_max")
+def _(spark, d):
+    return q.card(spark, d, scaling_method="min_max", scaling_method_params={"min": 300, "max": 850}, rounding=True).table(spark=spark)
