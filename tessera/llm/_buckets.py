@@ -15,7 +15,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._storage import materialize
+
 GROUP = ("_key", "_lo", "_hi")
+HOT_KEYS = 1_000_000  # up to so many hot keys of 12 bytes go to all executors; more are joined by shuffling
 
 
 def bounded_groups(rows: DataFrame, key: str, ident: Column, limit: int) -> DataFrame:
@@ -29,6 +32,9 @@ def bounded_groups(rows: DataFrame, key: str, ident: Column, limit: int) -> Data
         .where(F.col("_n") > limit)
         .select("_hot_key", F.ceil(F.col("_n") / limit).cast("int").alias("_blocks"))
     )
+    hot = materialize(hot, "hot-keys")
+    if hot.count() <= HOT_KEYS:  # then rows are not shuffled for this join
+        hot = F.broadcast(hot)
     joined = rows.join(hot, F.col(key) == F.col("_hot_key"), "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
     placed = joined.withColumn("_block", F.pmod(F.xxhash64(ident, F.lit(11)), F.col("_blocks").cast("long")).cast("int"))
     spread = placed.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))

@@ -3,20 +3,25 @@
 Unit vectors are projected at random to 8 dimensions, several times, and decoded
 to the nearest point of the E8 lattice, the home cell of that table.  A vector
 also probes the lattice neighbours (home plus a root) nearest to its projection.
-Vectors that meet in a cell are compared by cosine in double precision.
-
-Equal vectors are one node.  Of each group of the cells only links that join it
-are returned; connected components follow, and the links of each vector are then
-counted inside its component, in blocks, which is exact for all its members.
-
-With the defaults a pair at cosine 0.93 meets with probability 0.97 and one at
-0.98 with more than 0.999; a random pair meets with probability 0.008.  A larger
-``scale`` with more ``tables`` suits more vectors of a label.
+Only ids travel to the cells, with 64 signs of random projections.  Vectors of a
+cell whose signs differ in few places form a set; equal sets of different cells
+are one, and only their members' vectors are fetched and compared by cosine in
+double precision.
+
+Equal vectors are one node.  Of each set only links that join it are returned;
+connected components follow, and the links of each vector are then counted
+inside its component, in blocks, which is exact for all its members.
+
+The lattice grows finer with the largest label, so a vector meets about as many
+strangers at any size; the number of tables follows from the share of simulated
+pairs at the least cosine that meet (``recall``).  Signs miss such a pair with
+probability ``MISS`` at most.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,11 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._buckets import bounded_groups, group_chunks, sorted_groups
+from ._buckets import bounded_groups, group_chunks, small_pairs, sorted_groups
 from ._components import connected_components
 from ._storage import materialize
 
 DIM = 8
+BITS = 64
+MISS = 1e-6  # of pairs at the least cosine whose signs differ in too many places
+SMALL = 48  # rows of a cell up to which the pairs of many cells are compared at once
 
 
 def _roots() -> np.ndarray:
@@ -85,7 +93,7 @@ def cell_rows(units: np.ndarray, salts: np.ndarray, tables: int, probes: int, sc
     for t in range(tables):
         random = np.random.default_rng([seed, t, dim])
         basis, _ = np.linalg.qr(random.normal(size=(max(dim, DIM), DIM)))
-        y = units @ basis[:dim] * (scale * np.sqrt(DIM)) + random.uniform(-1, 1, DIM)
+        y = units @ basis[:dim] * (scale * np.sqrt(max(dim, DIM) / DIM)) + random.uniform(-1, 1, DIM)
         home = nearest_e8(y)
         order = np.argsort(-((y - home) @ ROOTS.T), axis=1, kind="stable")[:, :probes]
         points = np.concatenate([home[:, None, :], home[:, None, :] + ROOTS[order]], axis=1)
@@ -108,6 +116,37 @@ def _by_width(column: pa.Array) -> Iterator[np.ndarray]:
         yield np.flatnonzero(widths == w)
 
 
+def lattice(largest: int, least: float, probes: int, recall: float, seed: int) -> tuple[int, float]:
+    """(tables, scale) for labels of up to ``largest`` vectors.
+
+    Half a step of scale makes random pairs meet about a tenth as often; the tables make up for the near pairs it parts.
+    """
+    scale = 2.0 + 0.5 * max(0.0, math.log10(max(1, largest) / 50_000))
+    random = np.random.default_rng([seed, 8])
+    a, b = _unit(random.normal(size=(2000, 64))), random.normal(size=(2000, 64))
+    b = _unit(b - (b * a).sum(axis=1, keepdims=True) * a)
+    n, trials = len(a), 4
+    cells = [cell_rows(x, np.zeros(n, np.int64), trials, probes, scale, seed)[1].reshape(trials, n, probes + 1) for x in (a, least * a + math.sqrt(1 - least**2) * b)]
+    meet = ((cells[0][..., :1] == cells[1]).any(axis=-1) | (cells[1][..., :1] == cells[0]).any(axis=-1)).mean()
+    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - min(0.999, max(1e-4, float(meet)))))), scale
+
+
+def most_signs(least: float) -> int:
+    """Signs that may differ: more do with probability ``MISS`` at most for a pair at the least cosine."""
+    p = math.acos(min(1.0, max(-1.0, least))) / math.pi
+    tail = 1.0
+    for k in range(BITS + 1):
+        tail -= math.comb(BITS, k) * p**k * (1 - p) ** (BITS - k)
+        if tail <= MISS:
+            return k
+    return BITS
+
+
+def _signs(units: np.ndarray, seed: int) -> np.ndarray:
+    planes = np.random.default_rng([seed, 64, units.shape[1]]).normal(size=(units.shape[1], BITS))
+    return np.packbits(units @ planes >= 0, axis=1).view(np.int64).ravel()
+
+
 def _rows_of(nodes: DataFrame, tables: int, probes: int, scale: float, seed: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -117,13 +156,59 @@ def _rows_of(nodes: DataFrame, tables: int, probes: int, scale: float, seed: int
                     part = batch.take(pa.array(at))
                     units = _unit(_matrix(part.column("vector")))
                     rows, cells, probe = cell_rows(units, part.column("salt").to_numpy(), tables, probes, scale, seed)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(cells), part.column("id").take(pa.array(rows)), part.column("vector").take(pa.array(rows)), pa.array(probe)],
-                        ["cell", "id", "vector", "probe"],
-                    )
+                    ids, signs = part.column("id").to_numpy()[rows], _signs(units, seed)[rows]
+                    yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(ids), pa.array(signs), pa.array(probe)], ["cell", "id", "signs", "probe"])
+
+    return nodes.mapInArrow(run, "cell long, id long, signs long, probe boolean")
 
-    kind = nodes.schema["vector"].dataType.simpleString()
-    return nodes.mapInArrow(run, f"cell long, id long, vector {kind}, probe boolean")
+
+def _mixed(ids: np.ndarray) -> np.ndarray:
+    h = ids.astype(np.uint64)
+    for odd in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(odd)
+    return h ^ (h >> np.uint64(29))
+
+
+def _sets_of_cells(most: int):
+    """Sets of two or more ids of a cell that signs link, named by a hash of their members."""
+
+    def differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(a ^ b) <= most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, bounds in group_chunks(batches):
+            ids, signs = table.column("id").to_numpy(), table.column("signs").to_numpy().view(np.uint64)
+            home = ~table.column("probe").to_numpy(zero_copy_only=False)
+            root = np.arange(len(ids))
+            sizes = np.diff(bounds)
+            small = sizes <= SMALL
+            # rows of large cells stand alone here
+            edges = np.unique(np.concatenate([bounds, np.flatnonzero(np.repeat(~small, sizes))]))
+            some = [np.zeros((2, 0), np.int64)]
+            for i, j in small_pairs(edges) if small.any() else ():
+                near = (home[i] | home[j]) & differ(signs[i], signs[j])
+                some.append(np.stack([i[near], j[near]]))
+            i, j = np.concatenate(some, axis=1)
+            while len(i):
+                lower = np.minimum(root[i], root[j])
+                if (lower == root[i]).all() and (lower == root[j]).all():
+                    break
+                np.minimum.at(root, i, lower)
+                np.minimum.at(root, j, lower)
+            for a, b in ((bounds[k], bounds[k + 1]) for k in np.flatnonzero(~small)):
+                if home[a:b].any():
+                    near = differ(signs[a:b, None], signs[None, a:b]) & (home[a:b, None] | home[None, a:b])
+                    np.fill_diagonal(near, True)
+                    root[a:b] = _smallest_linked(near, root[a:b])
+            members = np.flatnonzero(np.bincount(root, minlength=len(root))[root] > 1)
+            members = members[np.argsort(root[members], kind="stable")]
+            if len(members):
+                starts = np.flatnonzero(np.diff(root[members], prepend=-1))
+                names = np.add.reduceat(_mixed(ids[members]), starts).view(np.int64)
+                names = np.repeat(names, np.diff(np.append(starts, len(members))))
+                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(ids[members])], ["_key", "id"])
+
+    return run
 
 
 def _smallest_linked(near: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -136,22 +221,19 @@ def _smallest_linked(near: np.ndarray, ids: np.ndarray) -> np.ndarray:
         root = lower
 
 
-def _join_cells(least: float):
+def _join_sets(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, bounds in group_chunks(batches):
-            ids, probe = table.column("id").to_numpy(), table.column("probe").to_numpy(zero_copy_only=False)
+            ids = table.column("id").to_numpy()
             out: list[np.ndarray] = []
             for a, b in itertools.pairwise(bounds.tolist()):
-                if b - a < 2 or probe[a:b].all():
-                    continue
                 column = pa.concat_arrays(table.column("vector").slice(a, b - a).chunks)
                 for at in _by_width(column):
                     if len(at) < 2:
                         continue
                     own = ids[a:b][at]
                     units = _unit(_matrix(column.take(pa.array(at))))
-                    near = units @ units.T >= least
-                    root = _smallest_linked(near, own)
+                    root = _smallest_linked(units @ units.T >= least, own)
                     joined = root != own
                     out.append(np.stack([own[joined], root[joined]], axis=1))
             links = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
@@ -183,7 +265,7 @@ def _count_links(least: float):
 
 def near_duplicates(
     vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label",
-    least: float = 0.93, tables: int = 4, probes: int = 8, scale: float = 2.0, seed: int = 7, limit: int = 512,
+    least: float = 0.93, recall: float = 0.995, probes: int = 4, seed: int = 7, limit: int = 512,
 ) -> DataFrame:
     """``id_col, n_links, component_id, kept`` for each row.
 
@@ -204,12 +286,16 @@ def near_duplicates(
         keyed.where("valid")
         .groupBy("key", "label", "vector")
         .agg(F.min("own").alias("id"), F.count("*").alias("copies"))
-        .select("id", "key", "label", "vector", "copies", F.xxhash64("label").alias("salt"))
+        .select("id", "key", "label", "vector", "copies", F.xxhash64("label", F.size("vector")).alias("salt"))
     )
     nodes = materialize(nodes, "vector-nodes")
+    largest = nodes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
+    tables, scale = lattice(largest, least, probes, recall, seed)
     cells = _rows_of(nodes.select("id", "vector", "salt"), tables, probes, scale, seed)
     groups = sorted_groups(bounded_groups(cells, "cell", F.col("id"), limit))
-    comps = materialize(connected_components(groups.mapInArrow(_join_cells(least), "a long, b long")), "vector-components")
+    sets = groups.mapInArrow(_sets_of_cells(most_signs(least)), "_key long, id long").distinct()
+    fetched = sets.join(nodes.select("id", "vector"), "id").select("_key", F.lit(0).alias("_lo"), F.lit(0).alias("_hi"), "id", "vector")
+    comps = materialize(connected_components(sorted_groups(fetched).mapInArrow(_join_sets(least), "a long, b long")), "vector-components")
     members = nodes.join(comps, F.col("id") == F.col("node")).select("component", "id", "vector", "copies")
     counted = sorted_groups(bounded_groups(members, "component", F.col("id"), limit)).mapInArrow(_count_links(least), "id long, n long")
     linked = counted.groupBy("id").agg(F.sum("n").alias("others"))

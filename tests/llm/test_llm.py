@@ -1,6 +1,7 @@
 """The training-data operators against plain versions on small hostile tables."""
 
 import itertools
+import math
 import random
 import re
 import zlib
@@ -8,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 import xxhash
 from conftest import DATA, same_rows
@@ -507,6 +509,38 @@ def test_lattice_points_are_the_nearest():
         assert (((y - p - root) ** 2).sum(axis=1) >= near - 1e-9).all()
 
 
+def test_lattice_follows_the_largest_label():
+    steps = [embeddings.lattice(n, 0.93, 4, 0.995, 7) for n in (0, 50_000, 500_000, 5_000_000)]
+    assert [s for _, s in steps] == [2.0, 2.0, 2.5, 3.0] and [t for t, _ in steps] == sorted(t for t, _ in steps)
+    p = np.arccos(0.93) / np.pi
+    assert 0.5 > sum(math.comb(64, k) * p**k * (1 - p) ** (64 - k) for k in range(embeddings.most_signs(0.93) + 1, 65)) / embeddings.MISS > 0
+
+
+def test_sets_of_cells_are_those_of_the_signs():
+    r = np.random.default_rng(2)
+    sizes = [1, 2, 30, 120, 1, 48, 49]
+    keys, signs = np.repeat(np.arange(7), sizes), np.concatenate([r.integers(0, 2**62, max(1, n // 3))[r.integers(0, max(1, n // 3), n)] for n in sizes])
+    ids, probe = np.arange(sum(sizes)) * 7 + 3, r.random(sum(sizes)) < 0.6
+    zero = np.zeros(len(keys), np.int32)
+    rows = pa.RecordBatch.from_arrays([pa.array(x) for x in (keys, zero, zero, ids, signs, probe)], ["_key", "_lo", "_hi", "id", "signs", "probe"])
+    want = []
+    for k in range(7):
+        at, done = np.flatnonzero(keys == k), set()
+        for i in at:
+            member, grown = {i}, True
+            while grown:
+                more = {j for j in at for m in member if j != m and not (probe[j] and probe[m]) and bin(int(signs[j]) ^ int(signs[m])).count("1") <= 9} | member
+                grown, member = more != member, more
+            if len(member) > 1 and i not in done:
+                want.append(sorted(ids[list(member)].tolist()))
+                done |= member
+    got = {}
+    for batch in embeddings._sets_of_cells(9)(iter([rows])):
+        for k, i in zip(batch.column("_key").to_pylist(), batch.column("id").to_pylist(), strict=True):
+            got.setdefault(k, []).append(i)
+    assert sorted(sorted(x) for x in got.values()) == sorted(want)
+
+
 def test_vector_links(spark):
     r = np.random.default_rng(3)
     base = r.normal(size=(40, 16))
