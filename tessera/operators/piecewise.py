@@ -2,7 +2,8 @@
 
 Least squares needs power sums by bin only, which one aggregation gives; the
 other objectives reweight rows and aggregate again, a few times.  Continuity is
-an equality constraint, a monotonic trend is met by holding slopes at 0.
+an equality constraint; trends are linear inequalities, so the curve is the
+optimum among those with the trend.  Peaks and valleys turn at the best split.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import stats
 from . import evaluate
 from .binning import BinaryBinner, BinningModel, ContinuousBinner, NotFittedError, _need
 from .encode import by_interval, override, polynomial, with_classes
@@ -25,31 +27,110 @@ OBJECTIVES = ("l2", "l1", "huber", "quantile")
 ROUNDS = 15  # of reweighting
 
 
-def _solve(sums: list[tuple[np.ndarray, np.ndarray]], splits: list[float], degree: int, continuous: bool, smooth: bool, ridge: np.ndarray, flat: set[int]) -> list[np.ndarray]:
-    """Coefficients by rising power in each bin; bins in ``flat`` have slope 0, ``ridge`` is the price of each squared coefficient."""
+def nonnegative_least_squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """x >= 0 with the least ||a x - b||: free variables join one at a time while that helps, and leave when they turn negative."""
+    x, free = np.zeros(a.shape[1]), np.zeros(a.shape[1], bool)
+    slack = 1e-10 * max(1.0, float(np.abs(a.T @ b).max(initial=0.0)))
+    for _ in range(30 * a.shape[1] + 1):
+        gain = np.where(free, -np.inf, a.T @ (b - a @ x))
+        if free.all() or gain.max() <= slack:
+            break
+        free[gain.argmax()] = True
+        while True:
+            new = np.zeros(len(x))
+            new[free] = np.linalg.lstsq(a[:, free], b, rcond=None)[0]
+            low = free & (new <= 0)
+            if not low.any():
+                break
+            step = (x[low] / np.maximum(x[low] - new[low], 1e-300)).min()
+            x += step * (new - x)
+            free &= x > 1e-14
+            x[~free] = 0.0
+        x = new
+    return x
+
+
+def _least(a: np.ndarray, b: np.ndarray, equal: np.ndarray, above: np.ndarray) -> np.ndarray:
+    """x with the least x'ax / 2 - b'x where ``equal`` x = 0 and ``above`` x >= 0.
+
+    The equalities are eliminated; the multipliers of the inequalities solve a least squares problem in
+    the metric of the rest.
+    """
+    space = np.eye(len(b))
+    if len(equal):
+        _, size, basis = np.linalg.svd(equal)
+        space = basis[int((size > 1e-12 * size[0]).sum()) :].T
+    h = space.T @ a @ space
+    h += np.eye(len(h)) * (1e-12 * max(1e-300, np.trace(h)))
+    root = np.linalg.cholesky(h)
+    goal = np.linalg.solve(root, space.T @ b)
+    if len(above):
+        sides = above @ space
+        sides = sides[np.linalg.norm(sides, axis=1) > 1e-12]
+        sides = np.linalg.solve(root, (sides / np.linalg.norm(sides, axis=1, keepdims=True)).T)
+        goal = goal + sides @ nonnegative_least_squares(sides, -goal)
+    return space @ np.linalg.solve(root.T, goal)
+
+
+def _powers(degree: int, x: float, order: int) -> np.ndarray:
+    """The derivative of that order of each power at x."""
+    return np.array([float(np.prod(range(p - order + 1, p + 1))) * x ** (p - order) if p >= order else 0.0 for p in range(degree + 1)])
+
+
+def _joints(splits: list[float], degree: int, order: int) -> np.ndarray:
+    """Rows that give the rise of a derivative at each split."""
+    k = degree + 1
+    out = np.zeros((len(splits), (len(splits) + 1) * k))
+    for i, s in enumerate(splits):
+        out[i, i * k : (i + 1) * k], out[i, (i + 1) * k : (i + 2) * k] = -_powers(degree, s, order), _powers(degree, s, order)
+    return out
+
+
+def trend_rows(splits: list[float], degree: int, trend: str, change: int = 0) -> np.ndarray:
+    """Rows that are not negative on a curve with the trend, on the scaled range from -1 to 1.
+
+    Slopes are bounded at the ends and at seven places inside each bin, which is exact up to degree 2.
+    Curves also rise or fall from bin to bin.  Peaks and valleys turn at the start of bin ``change``.
+    Slopes, or with degree 0 the steps, of convex curves rise.
+    """
+    m, k = len(splits) + 1, degree + 1
+    edges = [-1.0, *splits, 1.0]
+    jumps = _joints(splits, degree, 0)
+    if trend in ("convex", "concave"):
+        if degree == 0:
+            middle = [(edges[i] + edges[i + 1]) / 2 for i in range(m)]
+            steps = jumps / np.diff(middle)[:, None] if m > 1 else jumps
+            bends = np.diff(steps, axis=0)
+        else:
+            bends = _joints(splits, degree, 1)
+        return bends if trend == "convex" else -bends
+    first = {"ascending": 1, "descending": -1, "peak": 1, "valley": -1}[trend]
+    sign = [first if trend in ("ascending", "descending") or i < change else -first for i in range(m)]
+    out = [np.zeros((0, m * k))]
+    for i in range(m):
+        places = np.linspace(edges[i], edges[i + 1], 9 if degree > 1 else 1) if degree else []
+        for x in places:
+            row = np.zeros((1, m * k))
+            row[0, i * k : (i + 1) * k] = sign[i] * _powers(degree, x, 1)
+            out.append(row)
+    # with the turn at the start of a bin the curve may step either way there, but not for steps of degree 0
+    out += [jumps[i : i + 1] * sign[i + 1] for i in range(m - 1) if sign[i] == sign[i + 1] or degree == 0]
+    return np.concatenate(out)
+
+
+def _solve(sums: list[tuple[np.ndarray, np.ndarray]], splits: list[float], degree: int, continuous: bool, smooth: bool, ridge: np.ndarray, trend: str | None) -> list[np.ndarray]:
+    """Coefficients by rising power in each bin; ``ridge`` is the price of each squared coefficient."""
     m, k = len(sums), degree + 1
     a, b = np.zeros((m * k, m * k)), np.zeros(m * k)
     for i, (moments, cross) in enumerate(sums):
         part = np.array([[moments[p + q] for q in range(k)] for p in range(k)])
         a[i * k : (i + 1) * k, i * k : (i + 1) * k] = part + np.diag(ridge[i * k : (i + 1) * k])
         b[i * k : (i + 1) * k] = cross[:k]
-    rows = []
-    for i, s in enumerate(splits):
-        orders = ([0] if continuous else []) + ([1] if continuous and smooth and degree > 1 else [])
-        for d in orders:
-            row = np.zeros(m * k)
-            for p in range(d, k):
-                f = float(np.prod(range(p - d + 1, p + 1))) if d else 1.0
-                row[i * k + p], row[(i + 1) * k + p] = f * s ** (p - d), -f * s ** (p - d)
-            rows.append(row)
-    for i in flat:
-        for p in range(1, k):
-            row = np.zeros(m * k)
-            row[i * k + p] = 1.0
-            rows.append(row)
-    c = np.array(rows).reshape(-1, m * k)
-    full = np.block([[a, c.T], [c, np.zeros((len(c), len(c)))]])
-    x = np.linalg.lstsq(full, np.concatenate([b, np.zeros(len(c))]), rcond=None)[0]
+    orders = ([0] if continuous else []) + ([1] if continuous and smooth and degree > 1 else [])
+    equal = np.concatenate([np.zeros((0, m * k)), *[_joints(splits, degree, d) for d in orders]])
+    changes = range(m + 1) if trend in ("peak", "valley") else [0]
+    found = [_least(a, b, equal, trend_rows(splits, degree, trend, t) if trend else np.zeros((0, m * k))) for t in changes]
+    x = min(found, key=lambda v: float(v @ a @ v / 2 - b @ v))
     return [x[i * k : (i + 1) * k] for i in range(m)]
 
 
@@ -119,6 +200,14 @@ class PiecewiseModel:
         values = {k: v for part in parts for k, v in part.first().asDict().items()}
         return df.sparkSession.createDataFrame([tuple(values.values())], ", ".join(f"{k} double" for k in values))
 
+    def analysis(self, df: DataFrame, x: str, y: str, pvalue_test: str = "chi2", n_samples: int = 100) -> tuple[dict, Any]:
+        """(measures of the curve's predictions with quality score and trend, tests of neighbouring bins)."""
+        table = self.model.table()
+        out, tests = table.analysis(pvalue_test, n_samples) if self.model.kind == "binary" else table.analysis()
+        out |= self.metrics(df, x, y).first().asDict()
+        if self.model.kind == "binary":
+            out["quality_score"] = stats.quality_binary(out["iv"], tests["p_value"].tolist(), out["hhi_norm"])
+        return out, tests
 
     def divergences(self, rows: DataFrame, rate: str) -> DataFrame:
         """Divergences of the distributions that the predicted rates give: each row adds its rate to the events, the rest to the nonevents."""
@@ -206,24 +295,14 @@ class PiecewiseBinner:
         return F.when(e >= 0, F.lit(q)).otherwise(F.lit(1 - q)) / small
 
     def _constrained(self, sums, splits: list[float], trend: str | None) -> list[np.ndarray]:
-        flat: set[int] = set()
-        want = {"ascending": 1, "descending": -1}.get(trend or "", 0)
-        while True:
-            c = self._regularised(sums, splits, flat)
-            if not want or not self.degree:
-                return c
-            edges = [-1.0, *splits, 1.0]
-            slopes = [min(want * sum(p * v[p] * x ** (p - 1) for p in range(1, self.degree + 1)) for x in np.linspace(edges[i], edges[i + 1], 1 if self.degree == 1 else 9)) for i, v in enumerate(c)]
-            worst = min((i for i in range(len(c)) if i not in flat), key=lambda i: slopes[i], default=None)
-            if worst is None or slopes[worst] >= -1e-9:
-                return c
-            flat.add(worst)
-
-    def _regularised(self, sums, splits: list[float], flat: set[int]) -> list[np.ndarray]:
-        """With l1, coefficients are priced by their size, by reweighting their squares."""
+        """The best curve with the trend; with l1, coefficients are priced by their size, by reweighting their squares."""
+        trend = {"peak_heuristic": "peak", "valley_heuristic": "valley"}.get(trend, trend)
+        trend = trend if trend in ("ascending", "descending", "peak", "valley", "convex", "concave") else None
+        if trend in ("convex", "concave") and self.degree > 1:
+            trend = None
         shape = np.tile([0.0] + [1.0] * self.degree, len(sums))
         price = {None: 0.0, "l2": self.reg_l2, "l1": self.reg_l1}[self.regularization] * shape
-        solve = lambda ridge: _solve(sums, splits, self.degree, self.continuous, self.continuous_deriv, ridge, flat)
+        solve = lambda ridge: _solve(sums, splits, self.degree, self.continuous, self.continuous_deriv, ridge, trend)
         c = solve(price)
         for _ in range(30 if self.regularization == "l1" else 0):
             c = solve(price / np.maximum(1e-6, np.abs(np.concatenate(c))))
