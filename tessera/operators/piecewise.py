@@ -61,15 +61,25 @@ def _least(a: np.ndarray, b: np.ndarray, equal: np.ndarray, above: np.ndarray) -
         _, size, basis = np.linalg.svd(equal)
         space = basis[int((size > 1e-12 * size[0]).sum()) :].T
     h = space.T @ a @ space
-    h += np.eye(len(h)) * (1e-12 * max(1e-300, np.trace(h)))
-    root = np.linalg.cholesky(h)
+    free = space @ np.linalg.lstsq(h, space.T @ b, rcond=None)[0]
+    if (above @ free >= -1e-9).all():
+        return free
+    root = _root(h)
     goal = np.linalg.solve(root, space.T @ b)
-    if len(above):
-        sides = above @ space
-        sides = sides[np.linalg.norm(sides, axis=1) > 1e-12]
-        sides = np.linalg.solve(root, (sides / np.linalg.norm(sides, axis=1, keepdims=True)).T)
-        goal = goal + sides @ nonnegative_least_squares(sides, -goal)
-    return space @ np.linalg.solve(root.T, goal)
+    sides = above @ space
+    sides = sides[np.linalg.norm(sides, axis=1) > 1e-12]
+    sides = np.linalg.solve(root, (sides / np.linalg.norm(sides, axis=1, keepdims=True)).T)
+    return space @ np.linalg.solve(root.T, goal + sides @ nonnegative_least_squares(sides, -goal))
+
+
+def _root(h: np.ndarray) -> np.ndarray:
+    """The Cholesky factor; the diagonal grows a little where bins hold too few values."""
+    more = 0.0
+    while True:
+        try:
+            return np.linalg.cholesky(h + more * np.eye(len(h)))
+        except np.linalg.LinAlgError:
+            more = max(10 * more, 1e-14 * max(1e-300, np.trace(h)))
 
 
 def _powers(degree: int, x: float, order: int) -> np.ndarray:
