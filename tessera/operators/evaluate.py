@@ -12,6 +12,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import quantiles
+
 BUCKETS = 256
 
 
@@ -113,7 +115,7 @@ def regression(df: DataFrame, y: str, prediction: str) -> DataFrame:
     e = a - p
     share = F.when(a != 0, e / a)
     both = F.when(F.abs(a) + F.abs(p) > 0, F.abs(e) / (F.abs(a) + F.abs(p)))
-    half = lambda c: F.percentile(c, F.lit(0.5))
+    half = lambda c: F.lit((quantiles(df, c, [0.5]) or [None])[0]).cast("double")
     return df.agg(
         F.avg(F.abs(e)).alias("mae"), F.avg(e * e).alias("mse"), half(F.abs(e)).alias("median_absolute_error"),
         (1 - F.var_pop(e) / F.var_pop(a)).alias("explained_variance"), (1 - F.sum(e * e) / (F.count(a) * F.var_pop(a))).alias("r2"),

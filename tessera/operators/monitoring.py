@@ -16,6 +16,7 @@ from . import evaluate
 from .binning import NotFittedError, _need
 from .encode import by_interval
 from .histogram import cell_edges, histogram
+from .quantiles import quantiles
 from .scorecard import Scorecard
 from .splits import prebin_splits
 from .tables import interval_labels
@@ -93,8 +94,8 @@ class Monitoring:
             rows.append(["non_event", rows[0][1] - rows[1][1], rows[0][2] - rows[1][2]])
             return pd.DataFrame(rows, columns=["metric", "actual", "expected"])
         t = F.col(y).cast("double")
-        got = both.groupBy("_set").agg(F.avg(t).alias("mean"), F.stddev_pop(t).alias("std"), F.percentile(t, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("p")).collect()
-        by = {r["_set"]: [r["mean"], r["std"], *r["p"]] for r in got}
+        got = both.groupBy("_set").agg(F.avg(t).alias("mean"), F.stddev_pop(t).alias("std")).collect()
+        by = {r["_set"]: [r["mean"], r["std"], *(quantiles(both.where(F.col("_set") == r["_set"]), t, [0.25, 0.5, 0.75]) or [None] * 3)] for r in got}
         return pd.DataFrame({"metric": ["mean", "std", "p25", "median", "p75"], "actual": by["a"], "expected": by["e"]})
 
     def _performance(self, df: DataFrame, y: str, binary: bool) -> dict[str, float]:

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .quantiles import quantiles
+
 CLEAN, MISSING, SPECIAL = "clean", "missing", "special"
 
 
@@ -76,7 +78,7 @@ def range_bounds(df: DataFrame, x: str, interval_length: float = 0.5, k: float =
     rows = df.where(~is_missing(F.col(x), True)).select(F.col(x).cast("double").alias("v"))
     if method == "ETI":
         tail = (1 - interval_length) / 2
-        low, high = rows.agg(F.percentile("v", F.array(F.lit(tail), F.lit(1 - tail))).alias("p")).first()["p"] or (math.nan, math.nan)
+        low, high = quantiles(rows, "v", [tail, 1 - tail]) or (math.nan, math.nan)
     else:
         low, high = _shortest(rows, interval_length)
     return Bounds(low - k * (high - low), high + k * (high - low))
@@ -114,10 +116,11 @@ def _shortest(rows: DataFrame, share: float) -> tuple[float, float]:
 def zscore_bounds(df: DataFrame, x: str, threshold: float = 3.5) -> Bounds:
     """Bounds of the modified z-score: 0.6745 |x - median| / MAD up to ``threshold``; none if MAD is 0."""
     rows = df.where(~is_missing(F.col(x), True)).select(F.col(x).cast("double").alias("v"))
-    middle = rows.agg(F.percentile("v", F.lit(0.5)).alias("m")).first()["m"]
+    middle = quantiles(rows, "v", [0.5])
     if middle is None:
         return Bounds(-math.inf, math.inf)
-    mad = rows.agg(F.percentile(F.abs(F.col("v") - F.lit(middle)), F.lit(0.5)).alias("m")).first()["m"]
+    middle = middle[0]
+    mad = quantiles(rows, F.abs(F.col("v") - F.lit(middle)), [0.5])[0]
     if not mad:
         return Bounds(-math.inf, math.inf)
     reach = threshold * mad / 0.6745
@@ -127,7 +130,7 @@ def zscore_bounds(df: DataFrame, x: str, threshold: float = 3.5) -> Bounds:
 def y_quantile_bounds(df: DataFrame, x: str, y: str, outlier_detector: str = "zscore", outlier_params: dict | None = None, n_bins: int = 5) -> list[Bounds]:
     """Bounds on ``y`` for each of ``n_bins`` quantile bins of ``x``."""
     rows = df.where(~is_missing(F.col(x), True) & ~is_missing(F.col(y), True))
-    inner = rows.agg(F.percentile(F.col(x).cast("double"), F.array(*[F.lit(i / n_bins) for i in range(1, n_bins)])).alias("p")).first()["p"] or []
+    inner = quantiles(rows, x, [i / n_bins for i in range(1, n_bins)]) or []
     edges = [-math.inf, *sorted(set(inner)), math.inf]
     out = []
     for a, b in zip(edges, edges[1:], strict=False):
