@@ -19,6 +19,9 @@ from .rows import CLEAN, MISSING, SPECIAL, Bounds, is_missing, is_numeric, is_ou
 #: It also bounds the categories of a column, which all reach the driver.
 MAX_DISTINCT = 200_000
 CELLS = 1024
+#: Cells that are looked at again come by value up to this many values, else by finer cells of their own.
+FEW = 50_000
+FINE_CELLS = 8192
 #: Inputs of more bytes than this are scanned once for both.
 ONE_PASS = 1 << 30
 
@@ -84,8 +87,8 @@ class Histogram:
         return out
 
 
-def many_edges(df: DataFrame, columns: list[str], special_codes: dict | None = None) -> dict[str, list[float]]:
-    """Edges of cells of about equal counts for each long column; columns with few distinct values have none.
+def many_edges(df: DataFrame, columns: list[str], special_codes: dict | None = None, most: int | None = None, cells: int = CELLS) -> dict[str, list[float]]:
+    """Edges of cells of about equal counts for each long column; columns with at most ``most`` distinct values have none.
 
     Distinct values are counted by sketches; of small inputs, only long columns pay for quantiles, in another pass.
     """
@@ -93,14 +96,15 @@ def many_edges(df: DataFrame, columns: list[str], special_codes: dict | None = N
         return {}
     codes = special_codes or {}
     value = lambda c: F.when(row_class(F.col(c), True, codes.get(c)) == CLEAN, F.col(c).cast("double"))
-    at = [i / CELLS for i in range(1, CELLS)]
+    most = MAX_DISTINCT if most is None else most
+    at = [i / cells for i in range(1, cells)]
     distinct = [F.approx_count_distinct(value(c), 0.05).alias(f"n{i}") for i, c in enumerate(columns)]
-    quantiles = lambda names: [F.percentile_approx(value(c), at, 4 * CELLS).alias(f"p_{c}") for c in names]
+    quantiles = lambda names: [F.percentile_approx(value(c), at, 4 * cells).alias(f"p_{c}") for c in names]
     if int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) > ONE_PASS:
         found = sizes = df.agg(*distinct, *quantiles(columns)).first()  # a further scan costs more than quantiles that are not needed
     else:
         sizes, found = df.agg(*distinct).first(), None
-    long = [c for i, c in enumerate(columns) if sizes[f"n{i}"] > MAX_DISTINCT]
+    long = [c for i, c in enumerate(columns) if sizes[f"n{i}"] > most]
     if not long:
         return {}
     found = found or df.agg(*quantiles(long)).first()
@@ -174,13 +178,16 @@ def histogram(
 
 
 def refine(h: Histogram, df: DataFrame, x: str, y: str, kind: str, cells: np.ndarray) -> Histogram:
-    """``h`` of the clean values of ``x`` with these cells by value, or by smaller cells if they hold too many values."""
-    v = F.col(x).cast("double")
-    inside = F.lit(False)
-    for a, b in zip(h.low[cells].tolist(), h.high[cells].tolist(), strict=True):
-        inside = inside | v.between(a, b)
-    rows = df.where(inside)
-    edges = cell_edges(rows, x)
+    """``h`` of the clean values of ``x`` with these cells by value, or by smaller cells if they hold too many values.
+
+    A row is placed by one search in the ends of the cells, however many there are.
+    """
+    nexts = np.append(h.low, np.inf)  # no value lies between a cell and the next one
+    splits = sorted({-np.inf, np.inf, *h.low[cells].tolist(), *nexts[cells + 1].tolist()})
+    wanted = np.searchsorted(splits, h.low[cells]).astype(float).tolist()
+    place = Bucketizer(splits=splits, inputCol="_x", outputCol="_place", handleInvalid="keep")
+    rows = place.transform(df.withColumn("_x", F.col(x).cast("double"))).where(F.col("_place").isin(wanted)).drop("_x", "_place")
+    edges = many_edges(rows, [x], most=FEW, cells=FINE_CELLS).get(x)
     if edges is not None:
         # a new cell stays inside an old one, and no cell of several values comes back whole
         ends = h.low[cells].tolist() + h.high[cells].tolist()
