@@ -203,10 +203,12 @@ def refine(h: Histogram, df: DataFrame, x: str, y: str, kind: str, cells: np.nda
 
 def histograms(
     df: DataFrame, variables: dict[str, bool], y: str, kind: str, weight: str | None = None, special_codes: dict | None = None, classes: list | None = None,
+    splits: dict[str, list[float]] | None = None,
 ) -> dict[str, Histogram]:
     """Histograms of many columns from one aggregation (two if some columns are long).
 
     ``variables`` says of each column whether it is numeric, ``special_codes`` may have codes by column.
+    Numeric columns with ``splits`` have the bins at these as their cells, at every size.
     """
     codes = special_codes or {}
     rows = df.where(~is_missing(F.col(y), is_numeric(df, y)))
@@ -215,7 +217,8 @@ def histograms(
     if texts:
         found = rows.agg(*[F.approx_count_distinct(v, 0.05).alias(f"n{i}") for i, v in enumerate(texts)]).first()
         check_categories({v: found[f"n{i}"] for i, v in enumerate(texts)})
-    edges = many_edges(rows, numeric, codes)
+    given = {v: [-np.inf, *sorted(map(float, s)), np.inf] for v, s in (splits or {}).items() if v in numeric and len(s)}
+    edges = given | many_edges(rows, [v for v in numeric if v not in given], codes)
     if edges:
         long = list(edges)
         doubles = rows.withColumns({f"_v{i}": F.col(v).cast("double") for i, v in enumerate(long)})

@@ -104,7 +104,8 @@ class BinningPipeline:
         binners = {v: self._binner(v, not number[v]) for v in self.variable_names}
         together = {v: n for v, n in number.items() if not (binners[v].outlier_detector or binners[v].class_weight)}
         classes = BINNERS["multiclass"]._class_list(MulticlassBinner(), df, y) if self.kind == "multiclass" else []
-        shared = histograms(df, together, y, self.kind, weight, {v: binners[v].special_codes for v in together}, classes)
+        splits = {v: binners[v].user_splits for v in together if binners[v].dtype == "numerical" and binners[v].user_splits is not None}
+        shared = histograms(df, together, y, self.kind, weight, {v: binners[v].special_codes for v in together}, classes, splits)
         for v, b in binners.items():
             b.classes = classes
             self.models[v] = b.fit_histogram(shared[v]) if v in shared else b.fit(df, v, y, weight)

@@ -1,9 +1,13 @@
 """Queries and operators whose columns have more distinct values than cells, on small tables with lowered bounds."""
 
 import numpy as np
+import pytest
+from conftest import DATA, same_rows
 from pyspark.sql import functions as F
 
+from tessera.operators import histogram as cells
 from tessera.operators.histogram import histogram, refine
+from tessera.queries import QUERIES, SQL
 
 
 def test_many_cells_are_refined_at_once(spark):
@@ -12,3 +16,10 @@ def test_many_cells_are_refined_at_once(spark):
     got, want = refine(h, df, "x", "y", "binary", np.arange(1, 4000, 1)), histogram(df, "x", "y", "binary")
     assert got.low.tolist() == [0.0, *want.low[2:]] and got.high.tolist() == want.low[1:].tolist()
     assert got.moments["n1"].tolist() == [want.moments["n1"][:2].sum(), *want.moments["n1"][2:]]
+
+
+@pytest.mark.parametrize("name", ["disk_fit_transform"])
+def test_rows_of_long_columns_with_user_splits_are_those_of_the_sql(spark, oracle, monkeypatch, name):
+    monkeypatch.setattr(cells, "MAX_DISTINCT", 500)
+    monkeypatch.setattr(cells, "CELLS", 64)
+    same_rows(QUERIES[name](spark, f"{DATA}/sf0.01").toPandas(), oracle.sql(SQL[name]).df())
