@@ -18,7 +18,7 @@ def test_many_cells_are_refined_at_once(spark):
     assert got.moments["n1"].tolist() == [want.moments["n1"][:2].sum(), *want.moments["n1"][2:]]
 
 
-@pytest.mark.parametrize("name", ["disk_fit_transform", "process_fit_transform", "process_transform", "scorecard_points_intercept_based", "scorecard_points_min_max", "scorecard_points_pdo", "scorecard_probability", "scorecard_rounded", "scorecard_saved", "scorecard_score"])
+@pytest.mark.parametrize("name", ["disk_fit_transform", "process_fit_transform", "process_transform", "scorecard_points_intercept_based", "scorecard_points_min_max", "scorecard_points_pdo", "scorecard_probability", "scorecard_rounded", "scorecard_saved", "scorecard_score", "scorecard_transform"])
 def test_rows_of_long_columns_with_user_splits_are_those_of_the_sql(spark, oracle, monkeypatch, name):
     monkeypatch.setattr(cells, "MAX_DISTINCT", 500)
     monkeypatch.setattr(cells, "CELLS", 64)
