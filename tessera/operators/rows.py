@@ -87,9 +87,9 @@ def range_bounds(df: DataFrame, x: str, interval_length: float = 0.5, k: float =
 def _shortest(rows: DataFrame, share: float) -> tuple[float, float]:
     """Ends of the shortest run of ceil(share * n) of the sorted values, the first of equally short ones.
 
-    A shortest run ends at the value that is reached from the last copy of its first value.  The
-    values are numbered by running sums in buckets, then each first value is matched to the value
-    whose numbers hold its goal by a merge of both in the same order.
+    A shortest run that starts at a value starts at the value's first copy.  The values are numbered
+    by running sums in buckets, then each first value is matched to the value whose numbers hold its
+    goal by a merge of both in the same order.
     """
     from .evaluate import prefix_sums
 
@@ -102,7 +102,7 @@ def _shortest(rows: DataFrame, share: float) -> tuple[float, float]:
     # goals and first numbers on one line of numbers, in blocks of it; a block's last value is carried on
     block = max(1, n // 256)
     marks = ranked.select((F.col("upto_c") - F.col("c") + 1).alias("at"), F.col("v").alias("to"), F.lit(None).cast("double").alias("a"), F.lit(0).alias("goal"))
-    goals = ranked.select((F.col("upto_c") + reach - 1).alias("at"), F.lit(None).cast("double").alias("to"), F.col("v").alias("a"), F.lit(1).alias("goal")).where(F.col("at") <= n)
+    goals = ranked.select((F.col("upto_c") - F.col("c") + reach).alias("at"), F.lit(None).cast("double").alias("to"), F.col("v").alias("a"), F.lit(1).alias("goal")).where(F.col("at") <= n)
     both = marks.unionByName(goals).withColumn("block", F.floor(F.col("at") / block))
     line = Window.partitionBy("block").orderBy("at", "goal").rowsBetween(Window.unboundedPreceding, 0)
     ends = both.groupBy("block").agg(F.max("to").alias("last"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import histogram as cells
 from tessera.operators.histogram import histogram, refine
+from tessera.operators.rows import range_bounds
 from tessera.queries import QUERIES, SQL
 
 
@@ -23,3 +24,15 @@ def test_rows_of_long_columns_with_user_splits_are_those_of_the_sql(spark, oracl
     monkeypatch.setattr(cells, "MAX_DISTINCT", 500)
     monkeypatch.setattr(cells, "CELLS", 64)
     same_rows(QUERIES[name](spark, f"{DATA}/sf0.01").toPandas(), oracle.sql(SQL[name]).df())
+
+
+@pytest.mark.parametrize("value", ["floor(40 * sin(id))", "floor(exp(id % 100 / 12))", "id % 2"])
+@pytest.mark.parametrize("share", [0.1, 0.5, 1.0])
+def test_shortest_interval_of_repeated_values(spark, value, share):
+    df = spark.range(1000).select(F.expr(value).cast("double").alias("v"))
+    v = np.sort(df.toPandas()["v"].to_numpy())
+    reach = int(np.ceil(share * len(v)))
+    width = v[reach - 1 :] - v[: len(v) - reach + 1]
+    k = int(np.argmin(width))
+    got = range_bounds(df, "v", share, 0.0, "HDI")
+    assert (got.low, got.high) == (v[k], v[k + reach - 1])
