@@ -36,3 +36,13 @@ def test_shortest_interval_of_repeated_values(spark, value, share):
     k = int(np.argmin(width))
     got = range_bounds(df, "v", share, 0.0, "HDI")
     assert (got.low, got.high) == (v[k], v[k + reach - 1])
+
+
+@pytest.mark.parametrize("name", ["disk_fit_transform"])
+@pytest.mark.parametrize(("most", "one_pass"), [(0, 0), (0, 1 << 60), (1 << 60, 0)])
+def test_rows_with_user_splits_depend_on_no_bound_of_sizes(spark, monkeypatch, name, most, one_pass):
+    want = QUERIES[name](spark, f"{DATA}/sf0.001").toPandas()
+    monkeypatch.setattr(cells, "MAX_DISTINCT", most)
+    monkeypatch.setattr(cells, "ONE_PASS", one_pass)
+    monkeypatch.setattr(cells, "CELLS", 8)
+    same_rows(QUERIES[name](spark, f"{DATA}/sf0.001").toPandas(), want)
