@@ -38,7 +38,7 @@ def test_shortest_interval_of_repeated_values(spark, value, share):
     assert (got.low, got.high) == (v[k], v[k + reach - 1])
 
 
-@pytest.mark.parametrize("name", ["disk_fit_transform", "scorecard_points_pdo", "scorecard_probability"])
+@pytest.mark.parametrize("name", ["disk_fit_transform", "scorecard_points_pdo", "scorecard_probability", "scorecard_score"])
 @pytest.mark.parametrize(("most", "one_pass"), [(0, 0), (0, 1 << 60), (1 << 60, 0)])
 def test_rows_with_user_splits_depend_on_no_bound_of_sizes(spark, monkeypatch, name, most, one_pass):
     want = QUERIES[name](spark, f"{DATA}/sf0.001").toPandas()
