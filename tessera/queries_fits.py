@@ -500,7 +500,7 @@ def _(spark, d):
 
 @query("process_fit_transform", process_sql())
 def _(spark, d):
-    return rounded(q.process().fit_transform(q.lines(spark, d), "y1", keep=KEY, metric="woe"))
+    return rounded(q.process().fit_transform(q.lines(spark, d), "y1", keep=KEY, metric="woe", metric_missing="empirical"))
 
 
 # ---------------------------------------------------------------- streams

@@ -1,5 +1,6 @@
 """Queries and operators whose columns have more distinct values than cells, on small tables with lowered bounds."""
 
+import duckdb
 import numpy as np
 import pytest
 from conftest import DATA, same_rows
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from tessera.operators import histogram as cells
 from tessera.operators.histogram import histogram, refine
 from tessera.operators.rows import range_bounds
-from tessera.queries import QUERIES, SQL
+from tessera.queries import FOUR, QUERIES, SQL
 
 
 def test_many_cells_are_refined_at_once(spark):
@@ -46,3 +47,12 @@ def test_rows_with_user_splits_depend_on_no_bound_of_sizes(spark, monkeypatch, n
     monkeypatch.setattr(cells, "ONE_PASS", one_pass)
     monkeypatch.setattr(cells, "CELLS", 8)
     same_rows(QUERIES[name](spark, f"{DATA}/sf0.001").toPandas(), want)
+
+
+@pytest.mark.parametrize("name", ["process_fit_transform"])
+def test_rows_of_missing_values_are_those_of_the_sql(spark, tmp_path, name):
+    gaps = ", ".join(f"CASE WHEN hash(l_orderkey, l_linenumber, '{c}') % 50 > 0 THEN {c} END AS {c}" for c in FOUR)
+    con = duckdb.connect()
+    con.sql(f"COPY (SELECT * REPLACE ({gaps}) FROM '{DATA}/sf0.001/lineitem.parquet') TO '{tmp_path}/lineitem.parquet' (FORMAT parquet)")
+    con.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet'")
+    same_rows(QUERIES[name](spark, str(tmp_path)).toPandas(), con.sql(SQL[name]).df())
