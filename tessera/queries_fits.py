@@ -495,7 +495,7 @@ def process_sql() -> str:
 @query("process_transform", process_sql())
 def _(spark, d):
     df = q.lines(spark, d)
-    return rounded(q.process().fit(df, "y1").transform(df, keep=KEY, metric="woe"))
+    return rounded(q.process().fit(df, "y1").transform(df, keep=KEY, metric="woe", metric_missing="empirical"))
 
 
 @query("process_fit_transform", process_sql())

@@ -49,7 +49,7 @@ def test_rows_with_user_splits_depend_on_no_bound_of_sizes(spark, monkeypatch, n
     same_rows(QUERIES[name](spark, f"{DATA}/sf0.001").toPandas(), want)
 
 
-@pytest.mark.parametrize("name", ["process_fit_transform"])
+@pytest.mark.parametrize("name", ["process_fit_transform", "process_transform"])
 def test_rows_of_missing_values_are_those_of_the_sql(spark, tmp_path, name):
     gaps = ", ".join(f"CASE WHEN hash(l_orderkey, l_linenumber, '{c}') % 50 > 0 THEN {c} END AS {c}" for c in FOUR)
     con = duckdb.connect()
